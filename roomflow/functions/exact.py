@@ -1,0 +1,31 @@
+"""Reproducible money aggregates.
+
+Double sums depend on the order partial sums meet, so on a cluster the same
+report can differ in its last digits from run to run. Money totals here are
+summed as ``decimal(38, 6)`` (exact, order-free, still a partial+final hash
+aggregate) and returned as ``double``; means are that exact total over the
+count of non-null values. Six places cover cents times two-place rates.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+SCALE = 6
+DECIMAL = f"decimal(38,{SCALE})"
+
+
+def exact_sum(c: Column) -> Column:
+    """Sum as exact decimal, then double. NULL when every value is NULL."""
+    return F.sum(c.cast(DECIMAL)).cast("double")
+
+
+def exact_total(c: Column) -> Column:
+    """Sum with pandas' empty rule: 0.0 when nothing is summed."""
+    return F.coalesce(exact_sum(c), F.lit(0.0))
+
+
+def exact_mean(c: Column) -> Column:
+    """Mean of non-null values from the exact sum; NULL when none."""
+    return F.try_divide(exact_sum(c), F.count(c).cast("double"))
