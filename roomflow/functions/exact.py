@@ -1,10 +1,13 @@
 """Reproducible money aggregates.
 
 Double sums depend on the order partial sums meet, so on a cluster the same
-report can differ in its last digits from run to run. Money totals here are
-summed as ``decimal(38, 6)`` (exact, order-free, still a partial+final hash
-aggregate) and returned as ``double``; means are that exact total over the
-count of non-null values. Six places cover cents times two-place rates.
+report can differ in its last digits from run to run. Here each value is
+rounded half-up to millionths with plain IEEE steps (``floor(x * 1e6 + 0.5)``,
+identical in every engine), the whole numbers are summed as
+``decimal(38, 0)`` (exact, order-free, still a partial+final hash
+aggregate, no overflow), and the total is returned as ``double``. Means are
+that exact total over the count of non-null values. Six places cover cents
+times two-place rates exactly; other values move by at most 5e-7 per row.
 """
 
 from __future__ import annotations
@@ -12,13 +15,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SCALE = 6
-DECIMAL = f"decimal(38,{SCALE})"
+UNITS_PER_ONE = 1_000_000.0
+
+
+def millionths(c: Column) -> Column:
+    """``c`` in whole millionths, rounded half up, as an exact decimal."""
+    return F.floor(c.cast("double") * F.lit(UNITS_PER_ONE) + F.lit(0.5)).cast("decimal(38,0)")
 
 
 def exact_sum(c: Column) -> Column:
-    """Sum as exact decimal, then double. NULL when every value is NULL."""
-    return F.sum(c.cast(DECIMAL)).cast("double")
+    """Exact sum of millionths, as double. NULL when every value is NULL."""
+    return F.sum(millionths(c)).cast("double") / F.lit(UNITS_PER_ONE)
 
 
 def exact_total(c: Column) -> Column:

@@ -46,7 +46,8 @@ def revenue(spark: SparkSession, sf_dir: str, with_room: bool = False) -> DataFr
 
 def money_sum_sql(x: str) -> str:
     """Exact money total, as the library computes it (decimal, then double)."""
-    return f"CAST(SUM(CAST({x} AS DECIMAL(38,6))) AS DOUBLE)"
+    return (f"(CAST(SUM(CAST(floor(CAST({x} AS DOUBLE) * 1000000.0 + 0.5) AS DECIMAL(38,0))) "
+            f"AS DOUBLE) / 1000000.0)")
 
 
 def money_total_sql(x: str) -> str:
