@@ -18,14 +18,32 @@ from pyspark.sql import functions as F
 UNITS_PER_ONE = 1_000_000.0
 
 
-def millionths(c: Column) -> Column:
-    """``c`` in whole millionths, rounded half up, as an exact decimal."""
-    return F.floor(c.cast("double") * F.lit(UNITS_PER_ONE) + F.lit(0.5)).cast("decimal(38,0)")
+SPLIT = 16_777_216.0  # 2^24
 
 
-def exact_sum(c: Column) -> Column:
-    """Exact sum of millionths, as double. NULL when every value is NULL."""
-    return F.sum(millionths(c)).cast("double") / F.lit(UNITS_PER_ONE)
+def millionths(c: Column) -> Column:
+    """``c`` in whole millionths, rounded half up, as an exact decimal.
+
+    ``floor`` returns a bigint, which large values (squares of big residuals)
+    would overflow, so the scaled value ``t`` is split as hi * 2^24 + lo:
+    both parts and the subtraction are exact in double arithmetic.
+    """
+    t = c.cast("double") * F.lit(UNITS_PER_ONE) + F.lit(0.5)
+    hi = F.floor(t / F.lit(SPLIT))
+    lo = F.floor(t - hi.cast("double") * F.lit(SPLIT))
+    return (hi.cast("decimal(38,0)") * F.lit(int(SPLIT)).cast("decimal(38,0)")
+            + lo.cast("decimal(38,0)"))
+
+
+def exact_sum(c: Column, over=None) -> Column:
+    """Exact sum of millionths, as double. NULL when every value is NULL.
+
+    ``over`` (a WindowSpec) turns it into the same sum over a window.
+    """
+    total = F.sum(millionths(c))
+    if over is not None:
+        total = total.over(over)
+    return total.cast("double") / F.lit(UNITS_PER_ONE)
 
 
 def exact_total(c: Column) -> Column:

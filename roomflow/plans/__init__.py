@@ -1,6 +1,6 @@
 """Named queries over the driver tables (Spark) with their DuckDB oracles."""
 
-from . import report_plans, summary_plans, utilization_plans  # noqa: F401  (registers queries)
+from . import forecast_plans, report_plans, summary_plans, utilization_plans  # noqa: F401  (registers queries)
 from .catalog import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

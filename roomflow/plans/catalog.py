@@ -46,8 +46,11 @@ def revenue(spark: SparkSession, sf_dir: str, with_room: bool = False) -> DataFr
 
 def money_sum_sql(x: str) -> str:
     """Exact money total, as the library computes it (decimal, then double)."""
-    return (f"(CAST(SUM(CAST(floor(CAST({x} AS DOUBLE) * 1000000.0 + 0.5) AS DECIMAL(38,0))) "
-            f"AS DOUBLE) / 1000000.0)")
+    t = f"(CAST({x} AS DOUBLE) * 1000000.0 + 0.5)"
+    hi = f"floor({t} / 16777216.0)"
+    units = (f"CAST({hi} AS DECIMAL(38,0)) * CAST(16777216 AS DECIMAL(38,0)) "
+             f"+ CAST(floor({t} - {hi} * 16777216.0) AS DECIMAL(38,0))")
+    return f"(CAST(SUM({units}) AS DOUBLE) / 1000000.0)"
 
 
 def money_total_sql(x: str) -> str:

@@ -152,4 +152,8 @@ def with_views(sql: str, *extra_ctes: str, revenue_with_room: bool = False) -> s
     ctes.extend(extra_ctes)
     if not ctes:
         return sql
-    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + sql
+    head = "WITH " + ",\n".join(c.strip() for c in ctes)
+    body = sql.lstrip()
+    if body[:5].upper() == "WITH ":
+        return head + ",\n" + body[5:]
+    return head + "\n" + sql
