@@ -16,9 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
-    BooleanType,
     DoubleType,
-    IntegerType,
     StringType,
     StructField,
     StructType,
@@ -145,5 +143,3 @@ def ml_product_upsell(bookings: DataFrame, min_support: float = 0.05,
     return (rules.select("antecedent", F.col("consequents")[0].alias("consequent"), "consequents",
                          "support", "confidence", "lift")
             .orderBy(F.desc("confidence"), F.desc("support"), "antecedent", "consequents"))
-
-
