@@ -35,6 +35,20 @@ def millionths(c: Column) -> Column:
             + lo.cast("decimal(38,0)"))
 
 
+TWO_32 = 4_294_967_296
+
+
+def decimal_to_double(d: Column) -> Column:
+    """Correctly rounded double of a whole ``decimal(38, 0)``.
+
+    Written as hi * 2^32 + lo with both parts exact doubles, so one IEEE
+    addition does the only rounding; any engine gets the same bits.
+    """
+    hi = (d / F.lit(TWO_32)).cast("bigint")
+    lo = d - hi.cast("decimal(38,0)") * F.lit(TWO_32).cast("decimal(38,0)")
+    return hi.cast("double") * F.lit(float(TWO_32)) + lo.cast("double")
+
+
 def exact_sum(c: Column, over=None) -> Column:
     """Exact sum of millionths, as double. NULL when every value is NULL.
 
@@ -43,7 +57,7 @@ def exact_sum(c: Column, over=None) -> Column:
     total = F.sum(millionths(c))
     if over is not None:
         total = total.over(over)
-    return total.cast("double") / F.lit(UNITS_PER_ONE)
+    return decimal_to_double(total) / F.lit(UNITS_PER_ONE)
 
 
 def exact_total(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401  (importing registers the queries)
     forecast_plans,
+    profile_plans,
     recommend_plans,
     report_plans,
     summary_plans,

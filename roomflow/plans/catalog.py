@@ -50,7 +50,13 @@ def money_sum_sql(x: str) -> str:
     hi = f"floor({t} / 16777216.0)"
     units = (f"CAST({hi} AS DECIMAL(38,0)) * CAST(16777216 AS DECIMAL(38,0)) "
              f"+ CAST(floor({t} - {hi} * 16777216.0) AS DECIMAL(38,0))")
-    return f"(CAST(SUM({units}) AS DOUBLE) / 1000000.0)"
+    return f"({decimal_to_double_sql(f'SUM({units})')} / 1000000.0)"
+
+
+def decimal_to_double_sql(d: str) -> str:
+    hi = f"CAST(CAST({d} AS DOUBLE) / 4294967296.0 AS BIGINT)"
+    lo = f"({d} - CAST({hi} AS DECIMAL(38,0)) * CAST(4294967296 AS DECIMAL(38,0)))"
+    return f"(CAST({hi} AS DOUBLE) * 4294967296.0 + CAST({lo} AS DOUBLE))"
 
 
 def money_total_sql(x: str) -> str:
