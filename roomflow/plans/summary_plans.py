@@ -10,6 +10,8 @@ from ..operators.ranking import (
     top_revenue_products,
     top_tenants,
 )
+from ..operators.summary import summary, summary_kpis
+from ..sources.io import records_from_json, records_json
 from .catalog import bookings, money_mean_sql, money_total_sql, month_sql, register, revenue
 
 
@@ -164,3 +166,32 @@ def product_revenue_rate_q(spark, sf_dir):
 @register("product_revenue_rate_no_minutes", _rate_sql(False))
 def product_revenue_rate_no_minutes(spark, sf_dir):
     return product_revenue_rate(revenue(spark, sf_dir))
+
+
+# --- summary bundle digest (C1) and the JSON records sink (K1) --------------
+
+def _kpi_sql() -> str:
+    from .utilization_plans import _util_sql
+
+    parts = [
+        ("bookings_monthly", "bookings_count", _monthly_bookings_sql(["room_id", "property_id"])),
+        ("revenue_monthly", "total_revenue", _monthly_revenue_sql(month_sql("created_at"))),
+        ("utilization", "booked_minutes", _util_sql(["room_id"])),
+        ("top_tenants", "total_revenue", _top_tenants_sql("calculated_price")),
+        ("top_products", "total_revenue", _top_products_sql(["product_name", "product_type"])),
+    ]
+    return "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS table_name, COUNT(*) AS rows, '{m}' AS measure, "
+        f"{money_total_sql(m)} AS measure_total FROM ({sql}) t" for name, m, sql in parts)
+
+
+@register("summary_kpis", _kpi_sql())
+def summary_kpis_q(spark, sf_dir):
+    return summary_kpis(summary(bookings(spark, sf_dir), revenue(spark, sf_dir)))
+
+
+@register("records_json", _top_tenants_sql("calculated_price"))
+def records_json_q(spark, sf_dir):
+    # records sink, checked after the round trip back to columns
+    table = top_tenants(bookings(spark, sf_dir))
+    return records_from_json(records_json(table), table.schema)
