@@ -7,11 +7,11 @@ costs one shuffle rather than one per column:
 * shape, null counts, min / max / distinct: one global aggregate each
   (map-side partials, one row per task to the final merge);
 * exact quartiles with linear interpolation (pandas ``describe``): values are
-  counted per (column, value), range-partitioned by (column, value), prefix
-  counts are taken inside each range partition by a window, and the running
-  offset of each partition comes from a columns x partitions table small
-  enough to broadcast. Ranks are then read off with an equi-join on the
-  column name. No column or value group ever funnels through one task;
+  counted per (column, value), then running counts over the value order come
+  from ``functions.running`` (range partitions, a window inside each, and a
+  broadcast columns x partitions offset table). Ranks are read off with an
+  equi-join on the column name. No column or value group ever funnels
+  through one task;
 * categorical top value: counts per (column, value), then the most frequent
   value per column with ties to the smallest value.
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DateType,
@@ -37,6 +37,7 @@ from pyspark.sql.types import (
 
 from ..functions import columns as C
 from ..functions.exact import decimal_to_double, exact_sum
+from ..functions.running import running_totals
 
 QUARTILES = (0.25, 0.5, 0.75)
 EPOCH_NTZ = "1970-01-01 00:00:00"
@@ -85,26 +86,15 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = QUARTILES,
     ``long_df``: (column string, value double), nulls already removed.
     Returns (column, p, q).
     """
-    spark = long_df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = long_df.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
-    ranged = (counts.repartitionByRange(parts, "column", "value")
-              .withColumn("pid", F.spark_partition_id()))
-    local = Window.partitionBy("pid", "column").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    ranged = ranged.withColumn("local_cum", F.sum("c").over(local))
-    totals = ranged.groupBy("column", "pid").agg(F.sum("c").alias("tot"))
-    before = Window.partitionBy("column").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    # columns x partitions rows: bounded by configuration, not by data
-    offsets = totals.withColumn("off", F.coalesce(F.sum("tot").over(before), F.lit(0))).drop("tot")
-    n = totals.groupBy("column").agg(F.sum("tot").alias("n"))
+    cum = running_totals(counts, ["value"], {"after": F.col("c")}, group_by=["column"],
+                         partitions=partitions)
+    cum = cum.select("column", "value", (F.col("after") - F.col("c")).alias("before"), "after")
+    n = counts.groupBy("column").agg(F.sum("c").alias("n"))
     targets = n.select("column", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"), "n")
     h = (F.col("n") - 1).cast("double") * F.col("p")
     targets = targets.select("column", "p", h.alias("h"),
                              F.floor(h).alias("lo"), F.ceil(h).alias("hi"))
-    cum = (ranged.join(F.broadcast(offsets), ["column", "pid"])
-           .select("column", "value", (F.col("off") + F.col("local_cum") - F.col("c")).alias("before"),
-                   (F.col("off") + F.col("local_cum")).alias("after")))
     hit_lo = (F.col("before") <= F.col("lo")) & (F.col("lo") < F.col("after"))
     hit_hi = (F.col("before") <= F.col("hi")) & (F.col("hi") < F.col("after"))
     picked = (cum.join(F.broadcast(targets), "column")

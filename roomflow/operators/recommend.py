@@ -1,10 +1,15 @@
 """Model-based recommendations: low-use room clusters and upsell rules.
 
-Both train with Spark ML's distributed estimators (KMeans, FPGrowth). The
-training input is a small derived table (one row per room, one basket per
-tenant); it is checkpointed to the reliable checkpoint folder before the
-iterative fit so a lost executor does not replay the scan of the raw table.
-Only k cluster means (k rows) ever reach the driver.
+Room clusters: for two clusters of one-dimensional values the best split
+(least within-cluster squared error, the k-means objective) is found exactly:
+distinct values are ordered with distributed running totals of count, sum
+and sum of squares, every cut is scored, and a global ``min_by`` picks the
+best. Lloyd iterations (Spark ML KMeans) can stop in a worse local optimum,
+so KMeans is used only for k > 2 or on request. Upsell rules train Spark ML's
+FPGrowth. Training inputs are small derived tables (one row per room, one
+basket per tenant), checkpointed to the reliable checkpoint folder so a lost
+executor does not replay the scan of the raw table. Only a handful of
+scalars (totals, the cut, k cluster means) ever reach the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +28,8 @@ from pyspark.sql.types import (
 )
 
 from ..functions import columns as C
-from ..functions.exact import exact_mean
+from ..functions.exact import UNITS_PER_ONE, decimal_to_double, exact_mean, millionths
+from ..functions.running import running_totals
 from ..session import ensure_checkpoint_dir
 
 
@@ -38,21 +44,56 @@ def room_average_utilization(util_df: DataFrame) -> DataFrame:
     return rooms.groupBy("room_id").agg(exact_mean(F.col("utilization_pct")).alias("avg_utilization"))
 
 
-def ml_underutilized_rooms(util_df: DataFrame, n_clusters: int = 2, seed: int = 42,
-                           max_iter: int = 20) -> DataFrame:
-    """Rooms in the KMeans cluster with the lowest mean utilization.
+def two_means_cut(values: DataFrame, x: str = "_x") -> float:
+    """Largest value of the lower cluster in the optimal two-means split of
+    column ``x`` (exact; ties stay together). Raises if fewer than two
+    distinct values exist."""
+    v = F.col(x)
+    per_value = values.groupBy(x).agg(F.count(F.lit(1)).alias("c"))
+    per_value = per_value.withColumns({
+        "_u1": millionths(v) * F.col("c"), "_u2": millionths(v * v) * F.col("c")})
+    run = running_totals(per_value, [x], {"n1": F.col("c"), "s1u": F.col("_u1"), "q1u": F.col("_u2")})
+    tot = per_value.agg(F.sum("c").cast("double").alias("n"),
+                        (decimal_to_double(F.sum("_u1")) / F.lit(UNITS_PER_ONE)).alias("s"),
+                        (decimal_to_double(F.sum("_u2")) / F.lit(UNITS_PER_ONE)).alias("q")).first()
+    n_all, s_all, q_all = F.lit(tot["n"]), F.lit(tot["s"]), F.lit(tot["q"])
+    n1 = F.col("n1").cast("double")
+    s1 = decimal_to_double(F.col("s1u")) / F.lit(UNITS_PER_ONE)
+    q1 = decimal_to_double(F.col("q1u")) / F.lit(UNITS_PER_ONE)
+    sse = (q1 - s1 * s1 / n1) + ((q_all - q1) - (s_all - s1) * (s_all - s1) / (n_all - n1))
+    best = (run.where(n1 < n_all)
+            .agg(F.min_by(v, F.struct(sse.alias("sse"), v.alias("v"))).alias("cut")).first())
+    if best is None or best["cut"] is None:
+        raise ValueError("two clusters need at least two distinct values")
+    return float(best["cut"])
+
 
-    Clusters are fitted on the per-room average (NULL as 0 for fitting only)
-    and relabelled 0..k-1 by ascending centre, so labels do not depend on the
-    random start. Columns: room_id, avg_utilization, cluster, ml_underutilized.
-    Without room_id or utilization_pct the input comes back unchanged.
+def ml_underutilized_rooms(util_df: DataFrame, n_clusters: int = 2, seed: int = 42,
+                           max_iter: int = 20, method: str = "auto") -> DataFrame:
+    """Rooms in the cluster with the lowest mean utilization.
+
+    Clusters are fitted on the per-room average (NULL as 0 for fitting only);
+    ``method='auto'`` is the exact split for two clusters and Spark ML KMeans
+    (``seed``, ``max_iter``) otherwise. KMeans labels are renumbered 0..k-1
+    by ascending centre, so labels do not depend on the random start.
+    Columns: room_id, avg_utilization, cluster, ml_underutilized. Without
+    room_id or utilization_pct the input comes back unchanged.
     """
     if "room_id" not in util_df.columns or "utilization_pct" not in util_df.columns:
         return util_df
     if n_clusters < 1:
         raise ValueError("n_clusters must be >= 1")
+    if method not in ("auto", "exact", "kmeans"):
+        raise ValueError("method must be 'auto', 'exact' or 'kmeans'")
     rooms = _reliable(room_average_utilization(util_df)
                       .withColumn("_x", F.coalesce(F.col("avg_utilization"), F.lit(0.0))))
+    if n_clusters == 2 and method in ("auto", "exact"):
+        cut = two_means_cut(rooms)
+        labelled = rooms.select("room_id", "avg_utilization",
+                                F.when(F.col("_x") <= F.lit(cut), 0).otherwise(1).alias("cluster"))
+        return _lowest_cluster(labelled)
+    if method == "exact":
+        raise ValueError("the exact method is for two clusters")
     features = VectorAssembler(inputCols=["_x"], outputCol="_features").transform(rooms)
     model = KMeans(k=n_clusters, seed=seed, maxIter=max_iter, featuresCol="_features",
                    predictionCol="_raw").fit(features)
@@ -65,6 +106,10 @@ def ml_underutilized_rooms(util_df: DataFrame, n_clusters: int = 2, seed: int =
     labelled = (model.transform(features)
                 .withColumn("cluster", F.element_at(relabel, F.col("_raw")).cast("int"))
                 .select("room_id", "avg_utilization", "cluster"))
+    return _lowest_cluster(labelled)
+
+
+def _lowest_cluster(labelled: DataFrame) -> DataFrame:
     # k rows: the mean of each cluster (NULL averages skipped), lowest first
     means = (labelled.groupBy("cluster").agg(F.avg("avg_utilization").alias("m"))
              .orderBy(F.asc_nulls_last("m"), "cluster").limit(1).collect())

@@ -44,13 +44,17 @@ def revenue(spark: SparkSession, sf_dir: str, with_room: bool = False) -> DataFr
 # SQL fragments shared by several oracle queries (DuckDB dialect).
 # ---------------------------------------------------------------------------
 
-def money_sum_sql(x: str) -> str:
-    """Exact money total, as the library computes it (decimal, then double)."""
+def millionths_sql(x: str) -> str:
+    """``x`` in whole millionths as DECIMAL(38,0), as ``functions.exact.millionths``."""
     t = f"(CAST({x} AS DOUBLE) * 1000000.0 + 0.5)"
     hi = f"floor({t} / 16777216.0)"
-    units = (f"CAST({hi} AS DECIMAL(38,0)) * CAST(16777216 AS DECIMAL(38,0)) "
-             f"+ CAST(floor({t} - {hi} * 16777216.0) AS DECIMAL(38,0))")
-    return f"({decimal_to_double_sql(f'SUM({units})')} / 1000000.0)"
+    return (f"(CAST({hi} AS DECIMAL(38,0)) * CAST(16777216 AS DECIMAL(38,0)) "
+            f"+ CAST(floor({t} - {hi} * 16777216.0) AS DECIMAL(38,0)))")
+
+
+def money_sum_sql(x: str) -> str:
+    """Exact money total, as the library computes it (decimal, then double)."""
+    return f"({decimal_to_double_sql(f'SUM({millionths_sql(x)})')} / 1000000.0)"
 
 
 def decimal_to_double_sql(d: str) -> str:

@@ -1,8 +1,8 @@
-"""Recommendation queries: KMeans room clusters (ML1) and upsell rules (ML2).
+"""Recommendation queries: low-use room clusters (ML1) and upsell rules (ML2).
 
-Oracles are independent restatements: the exact optimal one-dimensional
-two-means split for the clusters, and itemsets counted by self-joins of
-(tenant, product) for the rules (checking only, never on the Spark side).
+Oracles are restatements in plain SQL: the two-means cut by one ordered
+window over the rooms, and itemsets counted by self-joins of (tenant,
+product) for the rules (checking only, never on the Spark side).
 """
 
 from __future__ import annotations
@@ -11,26 +11,32 @@ from pyspark.sql import functions as F
 
 from ..operators.recommend import ml_product_upsell, ml_underutilized_rooms
 from ..operators.utilization import utilization_metrics
-from .catalog import bookings, money_mean_sql, register
+from .catalog import bookings, decimal_to_double_sql, millionths_sql, money_mean_sql, register
 from .utilization_plans import _util_sql
 
 UPSELL_SUPPORT = 0.15  # 0.05 makes ~0.5 M itemsets on these baskets (64 items, ~29 each)
 UPSELL_CONFIDENCE = 0.3
 
+
+def _d(x: str) -> str:
+    return f"({decimal_to_double_sql(x)} / 1000000.0)"
+
+
 _TWO_MEANS_SQL = f"""
 WITH util AS ({_util_sql(['room_id'])}),
 room AS (SELECT room_id, {money_mean_sql('utilization_pct')} AS avg_utilization
          FROM util WHERE room_id IS NOT NULL GROUP BY room_id),
 pts AS (SELECT room_id, avg_utilization, COALESCE(avg_utilization, 0.0) AS v FROM room),
-ord AS (SELECT *, row_number() OVER w AS rn, COUNT(*) OVER () AS n,
-               SUM(v) OVER w AS s1, SUM(v * v) OVER w AS s2,
-               SUM(v) OVER () AS t1, SUM(v * v) OVER () AS t2,
-               lead(v) OVER w AS next_v
-        FROM pts WINDOW w AS (ORDER BY v, room_id ROWS UNBOUNDED PRECEDING)),
-best AS (SELECT v AS cut FROM ord
-         WHERE rn < n AND next_v > v
-         ORDER BY (s2 - s1 * s1 / rn) + ((t2 - s2) - (t1 - s1) * (t1 - s1) / (n - rn)) ASC
-         LIMIT 1)
+vals AS (SELECT v, COUNT(*) AS c FROM pts GROUP BY v),
+u AS (SELECT v, c, {millionths_sql('v')} * c AS u1, {millionths_sql('v * v')} * c AS u2 FROM vals),
+run AS (SELECT v, SUM(c) OVER w AS n1, SUM(u1) OVER w AS s1u, SUM(u2) OVER w AS q1u
+        FROM u WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING)),
+tot AS (SELECT CAST(SUM(c) AS DOUBLE) AS n_all, {_d('SUM(u1)')} AS s_all, {_d('SUM(u2)')} AS q_all FROM u),
+scored AS (SELECT v, (q1 - s1 * s1 / n1) + ((q_all - q1) - (s_all - s1) * (s_all - s1) / (n_all - n1)) AS sse
+           FROM (SELECT v, CAST(n1 AS DOUBLE) AS n1, {_d('s1u')} AS s1, {_d('q1u')} AS q1, n_all, s_all, q_all
+                 FROM run CROSS JOIN tot) r
+           WHERE n1 < n_all),
+best AS (SELECT v AS cut FROM scored ORDER BY sse ASC, v ASC LIMIT 1)
 SELECT room_id, avg_utilization, 0 AS cluster, TRUE AS ml_underutilized
 FROM pts WHERE v <= (SELECT cut FROM best)"""
 
@@ -40,6 +46,12 @@ def ml_underutilized_rooms_q(spark, sf_dir):
     return ml_underutilized_rooms(utilization_metrics(bookings(spark, sf_dir)), n_clusters=2)
 
 
+@register("ml_room_clusters_k3")
+def ml_room_clusters_k3(spark, sf_dir):
+    # Spark ML KMeans (iterative, no SQL restatement): lowest of three clusters
+    return ml_underutilized_rooms(utilization_metrics(bookings(spark, sf_dir)), n_clusters=3)
+
+
 def _upsell_sql(max_consequents: int) -> str:
     s = UPSELL_SUPPORT
     triples = f"""
