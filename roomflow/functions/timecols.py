@@ -2,8 +2,10 @@
 
 Everything here is a native Column expression (whole-stage codegen, no
 Python per row) and independent of the session time zone: day and month
-starts go through ``date``, differences through ``timestampdiff`` which is
-zone-free for ``timestamp_ntz``.
+starts go through ``date``; differences are whole days (``datediff`` on
+dates) plus microseconds of the day built from the clock fields, which are
+read from ``timestamp_ntz`` without any zone. (``timestamp_diff`` would cast
+to a session-zone timestamp first and shift wall-clock spans across DST.)
 """
 
 from __future__ import annotations
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, NumericType, TimestampNTZType
 
 MICROS_PER_MINUTE = 60_000_000
+MICROS_PER_HOUR = 3_600_000_000
+MICROS_PER_DAY = 86_400_000_000
+EPOCH_DATE = "1970-01-01"
 
 
 def to_wall_clock(c: Column, dtype: DataType | None = None) -> Column:
@@ -42,20 +47,39 @@ def days_in_month(month: Column) -> Column:
     return F.dayofmonth(F.last_day(month.cast("date")))
 
 
+def second_micros(ts: Column) -> Column:
+    """Microseconds of the minute (seconds with fraction), as bigint."""
+    return (F.date_part(F.lit("SECOND"), ts) * F.lit(1_000_000)).cast("bigint")
+
+
+def micros_of_day(ts: Column) -> Column:
+    return (F.hour(ts).cast("bigint") * F.lit(MICROS_PER_HOUR)
+            + F.minute(ts).cast("bigint") * F.lit(MICROS_PER_MINUTE) + second_micros(ts))
+
+
+def days_between(start: Column, end: Column) -> Column:
+    return F.datediff(end.cast("date"), start.cast("date")).cast("bigint")
+
+
 def micros_between(start: Column, end: Column) -> Column:
-    """Exact microseconds from ``start`` to ``end`` (negative if end < start)."""
-    return F.timestamp_diff("MICROSECOND", start, end)
+    """Exact wall-clock microseconds from ``start`` to ``end`` (negative if end < start)."""
+    return days_between(start, end) * F.lit(MICROS_PER_DAY) + micros_of_day(end) - micros_of_day(start)
 
 
-def at_hour_keep_fraction(ts: Column, hour: int) -> Column:
-    """``ts`` with the clock set to ``hour``:00:00, sub-second part kept.
+def epoch_micros(ts: Column) -> Column:
+    """Wall-clock microseconds since 1970-01-01 00:00 (no zone applied)."""
+    return micros_between(F.lit(EPOCH_DATE).cast("timestamp_ntz"), ts)
 
-    This is ``datetime.replace(hour=h, minute=0, second=0)``: microseconds
-    survive, so the result is day start + h hours + (micros within second).
-    """
-    day = day_start(ts)
-    frac = F.pmod(micros_between(day, ts), F.lit(1_000_000))
-    return F.timestamp_add("MICROSECOND", F.lit(hour * 3_600_000_000) + frac, day)
+
+def hour_of_day_micros(ts: Column, hour: int) -> Column:
+    """Time of day (micros) of ``ts`` with the clock set to ``hour``:00:00 and
+    the sub-second part kept: ``datetime.replace(hour=h, minute=0, second=0)``."""
+    return F.lit(hour * MICROS_PER_HOUR) + F.pmod(second_micros(ts), F.lit(1_000_000))
+
+
+def at_hour_keep_fraction(ts: Column, hour: int) -> Column:
+    """``ts`` with the clock set to ``hour``:00:00, sub-second part kept."""
+    return F.timestamp_add("MICROSECOND", hour_of_day_micros(ts, hour), day_start(ts))
 
 
 def future_month_end(last_month: Column, i: Column) -> Column:

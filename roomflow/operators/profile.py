@@ -38,6 +38,7 @@ from pyspark.sql.types import (
 from ..functions import columns as C
 from ..functions.exact import decimal_to_double, exact_sum
 from ..functions.running import running_totals
+from ..functions.timecols import epoch_micros
 
 QUARTILES = (0.25, 0.5, 0.75)
 EPOCH_NTZ = "1970-01-01 00:00:00"
@@ -136,8 +137,7 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 
 def _micros(c: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"),
-                            c.cast("timestamp_ntz"))
+    return epoch_micros(c.cast("timestamp_ntz"))
 
 
 def _from_micros(c: Column) -> Column:

@@ -5,8 +5,9 @@ Room clusters: for two clusters of one-dimensional values the best split
 distinct values are ordered with distributed running totals of count, sum
 and sum of squares, every cut is scored, and a global ``min_by`` picks the
 best. Lloyd iterations (Spark ML KMeans) can stop in a worse local optimum,
-so KMeans is used only for k > 2 or on request. Upsell rules train Spark ML's
-FPGrowth. Training inputs are small derived tables (one row per room, one
+so KMeans is used only for k > 2 or on request. Upsell rules mine frequent
+product sets level by level in vertical (bitmap) form with joins and
+aggregates; Spark ML's FPGrowth is the alternative. Training inputs are small derived tables (one row per room, one
 basket per tenant), checkpointed to the reliable checkpoint folder so a lost
 executor does not replay the scan of the raw table. Only a handful of
 scalars (totals, the cut, k cluster means) ever reach the driver.
@@ -14,9 +15,12 @@ scalars (totals, the cut, k cluster means) ever reach the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.fpm import FPGrowth
+from pyspark.storagelevel import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -34,8 +38,13 @@ from ..session import ensure_checkpoint_dir
 
 
 def _reliable(df: DataFrame) -> DataFrame:
+    """Checkpoint to the reliable folder, computing ``df`` once: the
+    checkpoint write re-runs the plan unless the rows are persisted first."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
 
 
 def room_average_utilization(util_df: DataFrame) -> DataFrame:
@@ -137,6 +146,67 @@ def tenant_baskets(bookings: DataFrame) -> DataFrame:
             .agg(F.array_sort(F.collect_set("item")).alias("items")))
 
 
+def _support_ok(n: int, min_support: float):
+    return F.col("freq").cast("double") / F.lit(float(n)) >= F.lit(float(min_support))
+
+
+def frequent_itemsets_vertical(bookings: DataFrame, min_support: float,
+                               max_size: int | None = None) -> tuple[DataFrame, int]:
+    """Frequent product sets of tenant baskets, level by level, in vertical form.
+
+    Every tenant gets one bit in a 64-bit word (``monotonically_increasing_id``
+    of the checkpointed tenant list: unique, not dense), every frequent item
+    a list of (word, bits). An itemset of size k keeps the same list; it is
+    extended by an equi-join with the item lists on ``word`` (only larger
+    items), its new bits are the AND of both, and the support is the summed
+    ``bit_count``. Work per level is candidates x occupied words: 64 tenants
+    per operation and no enumeration of item pairs inside a basket. Each
+    level is checkpointed, so lineage stays one level deep.
+    Returns ((items sorted, freq), number of baskets).
+    """
+    spark = bookings.sparkSession
+    rows = bookings.select(C.col(C.TENANT).alias("tenant"), C.col("product_name").alias("item")) \
+        .where(F.col("tenant").isNotNull())
+    tenants = _reliable(rows.select("tenant").distinct()
+                        .withColumn("tid", F.monotonically_increasing_id()))
+    n = tenants.count()
+    empty = spark.createDataFrame([], "items array<string>, freq bigint")
+    if n == 0:
+        return empty, 0
+    ok = _support_ok(n, min_support)
+    pairs = rows.where(F.col("item").isNotNull()).distinct().join(tenants, "tenant")
+    item_words = (pairs.groupBy("item", F.shiftright("tid", 6).alias("word"))
+                  .agg(F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), CAST(pmod(tid, 64) AS INT))"))
+                       .alias("bits")))
+    items = item_words.groupBy("item").agg(F.sum(F.bit_count("bits")).cast("bigint").alias("freq")).where(ok)
+    item_words = _reliable(item_words.join(items.select("item"), "item"))
+    level = _reliable(items.select(F.monotonically_increasing_id().alias("set_id"),
+                                   F.array("item").alias("items"), F.col("item").alias("last"), "freq"))
+    words = item_words.join(level.select("set_id", F.col("last").alias("item")), "item") \
+        .select("set_id", F.col("item").alias("last"), "word", "bits")
+    found, size = [level.select("items", "freq")], 1
+    while (max_size is None or size < max_size) and not level.isEmpty():
+        ext = (words.alias("w").join(item_words.alias("i"), "word")
+               .where(F.col("i.item") > F.col("w.last"))
+               .select(F.col("w.set_id").alias("set_id"), F.col("i.item").alias("item"), "word",
+                       F.col("w.bits").bitwiseAND(F.col("i.bits")).alias("bits"))
+               .where(F.col("bits") != 0)
+               .persist(StorageLevel.MEMORY_AND_DISK))
+        counts = ext.groupBy("set_id", "item").agg(F.sum(F.bit_count("bits")).cast("bigint").alias("freq"))
+        nxt = _reliable(counts.where(ok).join(level.select("set_id", "items"), "set_id")
+                        .select(F.col("set_id").alias("parent"), F.col("item").alias("last"),
+                                F.concat("items", F.array("item")).alias("items"), "freq",
+                                F.monotonically_increasing_id().alias("new_id")))
+        words = _reliable(ext.join(nxt.select(F.col("parent").alias("set_id"),
+                                              F.col("last").alias("item"), "new_id"), ["set_id", "item"])
+                          .select(F.col("new_id").alias("set_id"), F.col("item").alias("last"), "word", "bits"))
+        ext.unpersist()
+        level = nxt.select(F.col("new_id").alias("set_id"), "items", "last", "freq")
+        found.append(level.select("items", "freq"))
+        size += 1
+    return reduce(DataFrame.unionByName, found), n
+
+
 def frequent_itemsets(baskets: DataFrame, min_support: float) -> tuple[DataFrame, int]:
     """FPGrowth itemsets (items sorted, freq) and the number of baskets."""
     n = baskets.count()
@@ -145,12 +215,12 @@ def frequent_itemsets(baskets: DataFrame, min_support: float) -> tuple[DataFrame
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(baskets)
     sets = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").cast("bigint"))
     # exact support test (the trainer rounds min count up from a double product)
-    sets = sets.where(F.col("freq").cast("double") / F.lit(float(n)) >= F.lit(float(min_support)))
-    return sets, n
+    return sets.where(_support_ok(n, min_support)), n
 
 
 def ml_product_upsell(bookings: DataFrame, min_support: float = 0.05,
-                      min_confidence: float = 0.3, max_consequents: int | None = None) -> DataFrame:
+                      min_confidence: float = 0.3, max_consequents: int | None = None,
+                      method: str = "vertical") -> DataFrame:
     """Association rules with one antecedent product, strongest first.
 
     Baskets are the products of each tenant. For every frequent itemset I of
@@ -160,13 +230,21 @@ def ml_product_upsell(bookings: DataFrame, min_support: float = 0.05,
     themselves (downward closure), so two equi-joins on the itemset table give
     every number. Columns: antecedent, consequent (first of the sorted
     consequent set), consequents, support, confidence, lift.
-    ``max_consequents`` keeps only consequent sets up to that size.
+    ``max_consequents`` keeps only consequent sets up to that size (and stops
+    mining at itemsets one larger). ``method``: 'vertical' (default, see
+    ``frequent_itemsets_vertical``) or 'fpgrowth' (Spark ML FPGrowth, whose
+    work grows with its partition count on dense baskets).
     """
     spark = bookings.sparkSession
     if C.TENANT not in bookings.columns or "product_name" not in bookings.columns:
         return spark.createDataFrame([], RULE_SCHEMA)
-    baskets = _reliable(tenant_baskets(bookings))
-    sets, n = frequent_itemsets(baskets, min_support)
+    if method == "vertical":
+        max_size = None if max_consequents is None else max_consequents + 1
+        sets, n = frequent_itemsets_vertical(bookings, min_support, max_size)
+    elif method == "fpgrowth":
+        sets, n = frequent_itemsets(_reliable(tenant_baskets(bookings)), min_support)
+    else:
+        raise ValueError("method must be 'vertical' or 'fpgrowth'")
     if n == 0:
         return spark.createDataFrame([], RULE_SCHEMA)
     sets = _reliable(sets)

@@ -31,10 +31,11 @@ def clipped_micros(start: Column, end: Column, start_hour: int = 9, end_hour: in
     of the row still exists.
     """
     _check_hours(start_hour, end_hour)
-    s = F.greatest(start, T.at_hour_keep_fraction(start, start_hour))
-    e = F.least(end, T.at_hour_keep_fraction(end, end_hour))
-    diff = T.micros_between(s, e)
-    return F.when(start.isNotNull() & end.isNotNull(), F.greatest(diff, F.lit(0)))
+    # both clipped ends as microseconds of their own day, then add whole days
+    s = F.greatest(T.micros_of_day(start), T.hour_of_day_micros(start, start_hour))
+    e = F.least(T.micros_of_day(end), T.hour_of_day_micros(end, end_hour))
+    diff = T.days_between(start, end) * F.lit(T.MICROS_PER_DAY) + e - s
+    return F.when(start.isNotNull() & end.isNotNull(), F.greatest(diff, F.lit(0).cast("bigint")))
 
 
 def with_booking_times(bookings: DataFrame, need_end: bool = True) -> tuple[DataFrame, str | None]:

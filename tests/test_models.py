@@ -142,3 +142,14 @@ def test_upsell_rules_three_baskets(spark):
     assert got == _brute_rules(baskets, 0.05, 0.3)
     assert ("a", ("b", "c")) in {(g[0], g[1]) for g in got}  # multi-item consequent kept
     assert ml_product_upsell(b.drop("product_name")).count() == 0
+
+
+def test_vertical_and_fpgrowth_miners_agree(spark, sf_small):
+    from roomflow.sources.fixtures import bookings_view
+
+    b = bookings_view(spark, sf_small)
+    cols = ["antecedent", "consequents", "support", "confidence", "lift"]
+    vert = ml_product_upsell(b, 0.3, 0.5).select(*cols).collect()
+    fpg = ml_product_upsell(b, 0.3, 0.5, method="fpgrowth").select(*cols).collect()
+    assert len(vert) > 0
+    assert sorted(map(tuple, vert)) == sorted(map(tuple, fpg))
