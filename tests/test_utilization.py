@@ -119,3 +119,15 @@ def test_recommend_threshold_and_order(spark):
     under = recommend_underutilized(util, 1.0).collect()
     assert [r.room_id for r in under] == [3, 1]
     assert all(r.utilization_pct < 1.0 for r in under)
+
+
+def test_wall_clock_minutes_ignore_session_zone(spark):
+    # 2024-03-10 02:00 does not exist in New York; wall-clock spans still count
+    rows = [(datetime(2024, 3, 10, 1, 0), datetime(2024, 3, 10, 4, 0)),
+            (datetime(2024, 11, 3, 0, 30), datetime(2024, 11, 3, 3, 30))]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert _minutes(spark, rows, 0, 23) == [180, 180]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
