@@ -18,8 +18,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Columns read from the driver tables, with their types. Reading with a
+# declared schema skips the footer-inference job per table and per query, and
+# fails loudly if the files ever change type.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_name string",
+    "part": "p_partkey bigint, p_name string, p_type string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _read_fact(spark: SparkSession, sf_dir: str, cols: list[str]) -> DataFrame:
