@@ -40,9 +40,9 @@ def _read_fact(spark: SparkSession, sf_dir: str, cols: list[str]) -> DataFrame:
 
     A scan gives one task per file split, and a Parquet file splits only at
     row groups. When that yields fewer tasks than the cluster can run (small
-    single-row-group files, as in the test data), the rows are hash-spread
-    on the order key first so the joins and partial aggregates run in
-    parallel. Large inputs already have at least that many splits and are
+    single-row-group files, as in the test data), the rows are spread
+    round-robin first (even however skewed the keys) so the joins and
+    partial aggregates run in parallel. Large inputs already have at least that many splits and are
     left alone: no extra shuffle of the fact table at scale.
     """
     li = _read(spark, sf_dir, "lineitem").select(*cols)
@@ -52,7 +52,7 @@ def _read_fact(spark: SparkSession, sf_dir: str, cols: list[str]) -> DataFrame:
     except Exception:  # noqa: BLE001  (sessions without RDD access: keep the scan as is)
         return li
     if splits < target:
-        li = li.repartition(target, "l_orderkey")
+        li = li.repartition(target)
     return li
 
 
