@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import profile as P
+from ..sources.fixtures import read_spread
 from .catalog import bookings, decimal_to_double_sql, money_sum_sql, register, revenue
 
 # bookings columns and the Spark type names they carry
@@ -81,13 +82,16 @@ def profile_categorical(spark, sf_dir):
 
 ORDERS_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
                   "o_orderpriority"]
+ORDERS_SCHEMA = ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+                 "o_orderdate timestamp_ntz, o_orderpriority string")
 
 
 @register("profile_min_max_unique", _union([
     f"SELECT '{c}' AS \"column\", CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max, "
     f"COUNT(DISTINCT {c}) AS \"unique\" FROM orders" for c in ORDERS_COLUMNS]))
 def profile_min_max_unique(spark, sf_dir):
-    return P.profile_min_max_unique(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return P.profile_min_max_unique(read_spread(spark, sf_dir, "orders", ORDERS_COLUMNS,
+                                                schema=ORDERS_SCHEMA))
 
 
 @register("profile_duplicates", """
@@ -95,7 +99,8 @@ SELECT SUM(c) AS rows, COUNT(*) AS distinct_rows, SUM(c - 1) AS duplicate_rows
 FROM (SELECT l_orderkey, l_linenumber, COUNT(*) AS c FROM lineitem
       GROUP BY l_orderkey, l_linenumber) g""")
 def profile_duplicates(spark, sf_dir):
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber")
+    li = read_spread(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"],
+                     schema="l_orderkey bigint, l_linenumber int")
     return P.profile_duplicates(li)
 
 

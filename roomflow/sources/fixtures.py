@@ -36,7 +36,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _read_fact(spark: SparkSession, sf_dir: str, cols: list[str]) -> DataFrame:
-    """The line-item fact table, pruned to ``cols``.
+    return read_spread(spark, sf_dir, "lineitem", cols)
+
+
+def read_spread(spark: SparkSession, sf_dir: str, name: str, cols: list[str] | None = None,
+                schema: str | None = None) -> DataFrame:
+    """A driver table, pruned to ``cols``.
 
     A scan gives one task per file split, and a Parquet file splits only at
     row groups. When that yields fewer tasks than the cluster can run (small
@@ -45,7 +50,13 @@ def _read_fact(spark: SparkSession, sf_dir: str, cols: list[str]) -> DataFrame:
     partial aggregates run in parallel. Large inputs already have at least that many splits and are
     left alone: no extra shuffle of the fact table at scale.
     """
-    li = _read(spark, sf_dir, "lineitem").select(*cols)
+    if schema is None and name in SCHEMAS:
+        li = _read(spark, sf_dir, name)
+    else:
+        reader = spark.read.schema(schema) if schema else spark.read
+        li = reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if cols:
+        li = li.select(*cols)
     try:
         target = spark.sparkContext.defaultParallelism
         splits = li.rdd.getNumPartitions()
