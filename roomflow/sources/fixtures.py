@@ -47,24 +47,25 @@ def read_spread(spark: SparkSession, sf_dir: str, name: str, cols: list[str] | N
     row groups. When that yields fewer tasks than the cluster can run (small
     single-row-group files, as in the test data), the rows are spread
     round-robin first (even however skewed the keys) so the joins and
-    partial aggregates run in parallel. Large inputs already have at least that many splits and are
-    left alone: no extra shuffle of the fact table at scale.
+    partial aggregates run in parallel. Large inputs already have at least
+    that many splits and are left alone: no extra shuffle of the fact table
+    at scale.
     """
     if schema is None and name in SCHEMAS:
-        li = _read(spark, sf_dir, name)
+        df = _read(spark, sf_dir, name)
     else:
         reader = spark.read.schema(schema) if schema else spark.read
-        li = reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        df = reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if cols:
-        li = li.select(*cols)
+        df = df.select(*cols)
     try:
         target = spark.sparkContext.defaultParallelism
-        splits = li.rdd.getNumPartitions()
+        splits = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001  (sessions without RDD access: keep the scan as is)
-        return li
+        return df
     if splits < target:
-        li = li.repartition(target)
-    return li
+        df = df.repartition(target)
+    return df
 
 
 def _add_minutes(ts: Column, minutes: Column) -> Column:
