@@ -153,3 +153,57 @@ def test_vertical_and_fpgrowth_miners_agree(spark, sf_small):
     fpg = ml_product_upsell(b, 0.3, 0.5, method="fpgrowth").select(*cols).collect()
     assert len(vert) > 0
     assert sorted(map(tuple, vert)) == sorted(map(tuple, fpg))
+
+
+def _py_rules(baskets, min_support, min_conf):
+    """Level-wise restatement with Python sets (any itemset size)."""
+    from collections import defaultdict
+
+    n = len(baskets)
+    tids = defaultdict(set)
+    for t, items in baskets.items():
+        for i in items:
+            tids[i].add(t)
+    singles = sorted(i for i, s in tids.items() if len(s) / n >= min_support)
+    level = {(i,): tids[i] for i in singles}
+    freq = {k: len(v) for k, v in level.items()}
+    while level:
+        nxt = {}
+        for key, ts in level.items():
+            for i in singles:
+                if i > key[-1]:
+                    both = ts & tids[i]
+                    if len(both) / n >= min_support:
+                        nxt[key + (i,)] = both
+        freq.update({k: len(v) for k, v in nxt.items()})
+        level = nxt
+    rules = set()
+    for key, f in freq.items():
+        if len(key) < 2:
+            continue
+        for a in key:
+            rest = tuple(x for x in key if x != a)
+            conf = f / freq[(a,)]
+            if conf >= min_conf:
+                rules.add((a, rest, f / n, conf, conf / (freq[rest] / n)))
+    return rules
+
+
+def test_upsell_rules_all_sizes_small_fixture(spark, sf_small):
+    from collections import defaultdict
+
+    from roomflow.plans.recommend_plans import UPSELL_CONFIDENCE, UPSELL_SUPPORT
+    from roomflow.sources.fixtures import bookings_view
+
+    b = bookings_view(spark, sf_small)
+    baskets = defaultdict(set)
+    for r in b.select("enterprise_name", "product_name").collect():
+        if r.enterprise_name is not None:
+            baskets[r.enterprise_name]
+            if r.product_name is not None:
+                baskets[r.enterprise_name].add(r.product_name)
+    want = _py_rules(baskets, UPSELL_SUPPORT, UPSELL_CONFIDENCE)
+    got = {(r.antecedent, tuple(r.consequents), r.support, r.confidence, r.lift)
+           for r in ml_product_upsell(b, UPSELL_SUPPORT, UPSELL_CONFIDENCE).collect()}
+    assert max(len(c) for _, c, *_ in want) >= 4          # deeper than the SQL oracle reaches
+    assert got == want
