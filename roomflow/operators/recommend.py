@@ -156,12 +156,14 @@ def frequent_itemsets_vertical(bookings: DataFrame, min_support: float,
 
     Every tenant gets one bit in a 64-bit word (``monotonically_increasing_id``
     of the checkpointed tenant list: unique, not dense), every frequent item
-    a list of (word, bits). An itemset of size k keeps the same list; it is
-    extended by an equi-join with the item lists on ``word`` (only larger
-    items), its new bits are the AND of both, and the support is the summed
-    ``bit_count``. Work per level is candidates x occupied words: 64 tenants
-    per operation and no enumeration of item pairs inside a basket. Each
-    level is checkpointed, so lineage stays one level deep.
+    a list of (word, bits). An itemset of size k, keyed by its sorted items,
+    keeps the same list; it is extended by an equi-join with the item lists
+    on ``word`` (only larger items), its new bits are the AND of both, and
+    the support is the summed ``bit_count``. Work per level is candidates x
+    occupied words: 64 tenants per operation and no enumeration of item pairs
+    inside a basket. Keys are the item arrays themselves, so every level is
+    deterministic; each level's word lists are checkpointed (lineage stays
+    one level deep) and the result table is checkpointed once.
     Returns ((items sorted, freq), number of baskets).
     """
     spark = bookings.sparkSession
@@ -170,41 +172,42 @@ def frequent_itemsets_vertical(bookings: DataFrame, min_support: float,
     tenants = _reliable(rows.select("tenant").distinct()
                         .withColumn("tid", F.monotonically_increasing_id()))
     n = tenants.count()
-    empty = spark.createDataFrame([], "items array<string>, freq bigint")
     if n == 0:
-        return empty, 0
+        return spark.createDataFrame([], "items array<string>, freq bigint"), 0
     ok = _support_ok(n, min_support)
     pairs = rows.where(F.col("item").isNotNull()).distinct().join(tenants, "tenant")
-    item_words = (pairs.groupBy("item", F.shiftright("tid", 6).alias("word"))
-                  .agg(F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), CAST(pmod(tid, 64) AS INT))"))
-                       .alias("bits")))
-    items = item_words.groupBy("item").agg(F.sum(F.bit_count("bits")).cast("bigint").alias("freq")).where(ok)
-    item_words = _reliable(item_words.join(items.select("item"), "item"))
-    level = _reliable(items.select(F.monotonically_increasing_id().alias("set_id"),
-                                   F.array("item").alias("items"), F.col("item").alias("last"), "freq"))
-    words = item_words.join(level.select("set_id", F.col("last").alias("item")), "item") \
-        .select("set_id", F.col("item").alias("last"), "word", "bits")
-    found, size = [level.select("items", "freq")], 1
-    while (max_size is None or size < max_size) and not level.isEmpty():
+    all_words = _reliable(
+        pairs.groupBy("item", F.shiftright("tid", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), CAST(pmod(tid, 64) AS INT))")).alias("bits")))
+    items = (all_words.groupBy("item").agg(F.sum(F.bit_count("bits")).cast("bigint").alias("freq"))
+             .where(ok).persist(StorageLevel.MEMORY_AND_DISK))
+    item_words = all_words.join(items.select("item"), "item").persist(StorageLevel.MEMORY_AND_DISK)
+    words = item_words.select(F.array("item").alias("items"), F.col("item").alias("last"), "word", "bits")
+    held = [items, item_words]
+    found, size = [items.select(F.array("item").alias("items"), "freq")], 1
+    while max_size is None or size < max_size:
         ext = (words.alias("w").join(item_words.alias("i"), "word")
                .where(F.col("i.item") > F.col("w.last"))
-               .select(F.col("w.set_id").alias("set_id"), F.col("i.item").alias("item"), "word",
+               .select(F.col("w.items").alias("items"), F.col("i.item").alias("item"), "word",
                        F.col("w.bits").bitwiseAND(F.col("i.bits")).alias("bits"))
                .where(F.col("bits") != 0)
                .persist(StorageLevel.MEMORY_AND_DISK))
-        counts = ext.groupBy("set_id", "item").agg(F.sum(F.bit_count("bits")).cast("bigint").alias("freq"))
-        nxt = _reliable(counts.where(ok).join(level.select("set_id", "items"), "set_id")
-                        .select(F.col("set_id").alias("parent"), F.col("item").alias("last"),
-                                F.concat("items", F.array("item")).alias("items"), "freq",
-                                F.monotonically_increasing_id().alias("new_id")))
-        words = _reliable(ext.join(nxt.select(F.col("parent").alias("set_id"),
-                                              F.col("last").alias("item"), "new_id"), ["set_id", "item"])
-                          .select(F.col("new_id").alias("set_id"), F.col("item").alias("last"), "word", "bits"))
+        counts = (ext.groupBy("items", "item")
+                  .agg(F.sum(F.bit_count("bits")).cast("bigint").alias("freq"))
+                  .where(ok).persist(StorageLevel.MEMORY_AND_DISK))
+        nxt = _reliable(ext.join(counts.select("items", "item"), ["items", "item"])
+                        .select(F.concat("items", F.array("item")).alias("items"),
+                                F.col("item").alias("last"), "word", "bits"))
         ext.unpersist()
-        level = nxt.select(F.col("new_id").alias("set_id"), "items", "last", "freq")
-        found.append(level.select("items", "freq"))
-        size += 1
-    return reduce(DataFrame.unionByName, found), n
+        held.append(counts)
+        if nxt.isEmpty():
+            break
+        found.append(counts.select(F.concat("items", F.array("item")).alias("items"), "freq"))
+        words, size = nxt, size + 1
+    sets = _reliable(reduce(DataFrame.unionByName, found))
+    for df in held:
+        df.unpersist()
+    return sets, n
 
 
 def frequent_itemsets(baskets: DataFrame, min_support: float) -> tuple[DataFrame, int]:
@@ -243,11 +246,11 @@ def ml_product_upsell(bookings: DataFrame, min_support: float = 0.05,
         sets, n = frequent_itemsets_vertical(bookings, min_support, max_size)
     elif method == "fpgrowth":
         sets, n = frequent_itemsets(_reliable(tenant_baskets(bookings)), min_support)
+        sets = _reliable(sets) if n else sets
     else:
         raise ValueError("method must be 'vertical' or 'fpgrowth'")
     if n == 0:
         return spark.createDataFrame([], RULE_SCHEMA)
-    sets = _reliable(sets)
     singles = sets.where(F.size("items") == 1).select(
         F.col("items")[0].alias("antecedent"), F.col("freq").alias("freq_a"))
     rest_sets = sets.select(F.col("items").alias("consequents"), F.col("freq").alias("freq_c"))
