@@ -86,7 +86,8 @@ def forecast_series(series: DataFrame, keys: list[str] | None = None, periods: i
         "max_ds": F.max("ds").over(w),
     }).where(F.col("n") >= F.lit(float(min_points)))
     n, sx, sxx, sy, sxy = (F.col(c) for c in ("n", "sx", "sxx", "sy", "sxy"))
-    s = s.withColumn("b", (n * sxy - sx * sy) / (n * sxx - sx * sx))
+    # try_divide: a degenerate series (all points on one date) gives NULL, not an error
+    s = s.withColumn("b", F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx))
     s = s.withColumns({
         "a": (sy - F.col("b") * sx) / n,
         "xbar": sx / n,
@@ -119,7 +120,8 @@ def forecast_series(series: DataFrame, keys: list[str] | None = None, periods: i
     season = F.coalesce(F.element_at(F.col("season_map"), _season_month(F.col("ds"))), F.lit(0.0))
     yhat = (F.col("a") + F.col("b") * px) + season
     half = (F.lit(z) * F.col("sigma")) * F.sqrt(
-        (F.lit(1.0) + F.lit(1.0) / F.col("n")) + ((px - F.col("xbar")) * (px - F.col("xbar"))) / F.col("sxx_c"))
+        (F.lit(1.0) + F.lit(1.0) / F.col("n"))
+        + F.try_divide((px - F.col("xbar")) * (px - F.col("xbar")), F.col("sxx_c")))
     return (p.withColumn("yhat", yhat)
             .withColumn("yhat_lower", F.col("yhat") - half)
             .withColumn("yhat_upper", F.col("yhat") + half)
