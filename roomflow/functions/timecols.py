@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, NumericType, TimestampNTZType
+from pyspark.sql.types import DataType, NumericType, StringType, TimestampNTZType
 
 MICROS_PER_MINUTE = 60_000_000
 MICROS_PER_HOUR = 3_600_000_000
@@ -31,7 +31,12 @@ def to_wall_clock(c: Column, dtype: DataType | None = None) -> Column:
         raise ValueError("numeric date columns are not accepted; cast them to timestamps first")
     if isinstance(dtype, TimestampNTZType):
         return c
-    return c.cast("timestamp_ntz")
+    parsed = c.cast("timestamp_ntz")
+    if isinstance(dtype, StringType):
+        # also fail without ANSI mode, where the cast alone would give NULL
+        return F.when(c.isNotNull() & parsed.isNull(),
+                      F.raise_error(F.concat(F.lit("unparseable date: "), c))).otherwise(parsed)
+    return parsed
 
 
 def day_start(ts: Column) -> Column:

@@ -144,3 +144,21 @@ def test_report_tables(bookings, sales):
 def test_report_without_duration(bookings):
     util = R.report_room_utilization(bookings.drop("duration_in_mins")).collect()
     assert {r.total_booked_minutes for r in util} == {0}
+
+
+def test_date_coercion_rules(spark):
+    ok = spark.createDataFrame([("2024-01-05 09:00:00", 1.0), (None, 2.0)], "date string, price double")
+    (row,) = monthly_revenue_summary(ok).collect()
+    assert row.month == d(2024, 1, 1) and row.total_revenue == 1.0
+    numeric = spark.createDataFrame([(1704445200, 1.0)], "date bigint, price double")
+    with pytest.raises(ValueError, match="numeric date"):
+        monthly_revenue_summary(numeric)
+    bad = spark.createDataFrame([("2024-01-05", 1.0), ("not a date", 2.0)], "date string, price double")
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            with pytest.raises(Exception, match="(?i)not a date|cast|parse"):
+                monthly_revenue_summary(bad).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
