@@ -162,3 +162,17 @@ def test_date_coercion_rules(spark):
                 monthly_revenue_summary(bad).collect()
     finally:
         spark.conf.set("spark.sql.ansi.enabled", old)
+
+
+def test_price_priority_differs_by_table(spark):
+    b = spark.createDataFrame([(d(2024, 1, 5, 9), 10.0, 99.0)],
+                              "start timestamp_ntz, price double, calculated_price double")
+    (row,) = monthly_bookings_and_revenue(b).collect()
+    assert row.avg_revenue == 99.0                         # bookings: calculated_price first
+    r = spark.createDataFrame([(d(2024, 1, 5, 9), 10.0, 99.0, "x")],
+                              "created_at timestamp_ntz, price double, calculated_price double, "
+                              "product_name string")
+    (row,) = monthly_revenue_summary(r).collect()
+    assert row.total_revenue == 10.0                       # revenue: price first
+    (top,) = top_revenue_products(r).collect()
+    assert top.total_revenue == 10.0
