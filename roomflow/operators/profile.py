@@ -120,19 +120,33 @@ def _moments(long_df: DataFrame) -> DataFrame:
                         "min", "max")
 
 
-def _with_quartiles(stats: DataFrame, long_df: DataFrame) -> DataFrame:
-    qs = exact_quantiles(long_df)
-    wide = qs.groupBy("column").agg(*[
-        F.max(F.when(F.col("p") == F.lit(p), F.col("q"))).alias(f"p{int(p * 100)}") for p in QUARTILES])
+def _with_quartiles(stats: DataFrame, long_df: DataFrame, approx: bool = False,
+                    accuracy: int = 10000) -> DataFrame:
+    if approx:
+        # mergeable quantile sketch per column: bounded memory, one shuffle
+        q = F.percentile_approx("value", [float(p) for p in QUARTILES], accuracy)
+        wide = long_df.groupBy("column").agg(q.alias("_q")).select(
+            "column", *[F.col("_q")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(QUARTILES)])
+    else:
+        qs = exact_quantiles(long_df)
+        wide = qs.groupBy("column").agg(*[
+            F.max(F.when(F.col("p") == F.lit(p), F.col("q"))).alias(f"p{int(p * 100)}")
+            for p in QUARTILES])
     return stats.join(wide, "column")  # one row per column on each side
 
 
-def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """count, mean, std (sample), min, p25, p50, p75, max per numeric column."""
+def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False,
+                    accuracy: int = 10000) -> DataFrame:
+    """count, mean, std (sample), min, p25, p50, p75, max per numeric column.
+
+    Quartiles are exact (linear interpolation) by default; ``approx=True``
+    uses ``percentile_approx`` (rank error about 1/``accuracy``, no
+    interpolation) for very large tables.
+    """
     names = list(columns) if columns else _typed(df, NumericType)
     long_df = _long(df, names, lambda n: F.when(~F.isnan(C.col(n).cast("double")),
                                                 C.col(n).cast("double")))
-    out = _with_quartiles(_moments(long_df), long_df)
+    out = _with_quartiles(_moments(long_df), long_df, approx, accuracy)
     return out.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -144,9 +158,11 @@ def _from_micros(c: Column) -> Column:
     return F.timestamp_add("MICROSECOND", c.cast("bigint"), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
 
 
-def profile_datetime(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def profile_datetime(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False,
+                     accuracy: int = 10000) -> DataFrame:
     """count, mean, min, p25, p50, p75, max per timestamp/date column
-    (computed on microseconds, returned as timestamp_ntz)."""
+    (computed on microseconds, returned as timestamp_ntz); ``approx`` as in
+    ``profile_numeric``."""
     names = list(columns) if columns else _typed(df, (TimestampType, TimestampNTZType, DateType))
     long_df = _long(df, names, lambda n: _micros(C.col(n)).cast("double"))
     v = F.col("value")
@@ -155,7 +171,7 @@ def profile_datetime(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
         decimal_to_double(F.sum(v.cast("decimal(38,0)"))).alias("_s"),
         F.min(v).alias("min"), F.max(v).alias("max"))
     stats = stats.withColumn("mean", F.col("_s") / F.col("count").cast("double")).drop("_s")
-    out = _with_quartiles(stats, long_df)
+    out = _with_quartiles(stats, long_df, approx, accuracy)
     as_ts = lambda c: _from_micros(F.floor(F.col(c) + F.lit(0.5))).alias(c)
     return out.select("column", "count", as_ts("mean"), as_ts("min"), as_ts("p25"), as_ts("p50"),
                       as_ts("p75"), as_ts("max"))

@@ -107,3 +107,15 @@ def test_streaming_monthly_revenue_equals_batch(spark, scratch, sf_small):
     got = sorted(map(tuple, spark.read.parquet(out).collect()))
     want = sorted(map(tuple, monthly_revenue_summary(r).collect()))
     assert got == want
+
+
+def test_approx_quartiles_close_to_exact(spark, sf_small):
+    b = bookings_view(spark, sf_small)
+    exact = {r.column: r for r in P.profile_numeric(b, ["calculated_price"]).collect()}
+    approx = {r.column: r for r in P.profile_numeric(b, ["calculated_price"], approx=True).collect()}
+    e, a = exact["calculated_price"], approx["calculated_price"]
+    spread = e["max"] - e["min"]
+    for name in ("p25", "p50", "p75"):
+        assert abs(a[name] - e[name]) <= 0.01 * spread
+    ts = P.profile_datetime(b, approx=True).collect()
+    assert {r.column for r in ts} == {"booking_start_time", "booking_end_time"}
