@@ -2,10 +2,10 @@
 
 Double sums depend on the order partial sums meet, so on a cluster the same
 report can differ in its last digits from run to run. Here each value is
-rounded half-up to millionths with plain IEEE steps (``floor(x * 1e6 + 0.5)``,
-identical in every engine), the whole numbers are summed as
-``decimal(38, 0)`` (exact, order-free, still a partial+final hash
-aggregate, no overflow), and the total is returned as ``double``. Means are
+rounded half-up to whole millionths (``floor(x * 1e6 + 0.5)``, computed with
+exact steps only, so every engine gets the same integers), the integers are
+summed exactly (three bigint part sums, still a partial+final hash
+aggregate), and the total is returned as a correctly rounded ``double``. Means are
 that exact total over the count of non-null values. Six places cover cents
 times two-place rates exactly; other values move by at most 5e-7 per row.
 """
@@ -18,21 +18,36 @@ from pyspark.sql import functions as F
 UNITS_PER_ONE = 1_000_000.0
 
 
-SPLIT = 16_777_216.0  # 2^24
+PART = 2_097_152.0  # 2^21
+EXACT_FLOOR_LIMIT = 4_503_599_627_370_496.0  # 2^52: above it every double is whole
 
 
-def millionths(c: Column) -> Column:
-    """``c`` in whole millionths, rounded half up, as an exact decimal.
+def _unit_parts(c: Column) -> tuple[Column, Column, Column]:
+    """``floor(c * 1e6 + 0.5)`` (whole millionths, half up) as three exact
+    parts: top * 2^42 + mid * 2^21 + low, with mid and low in [0, 2^21).
 
-    ``floor`` returns a bigint, which large values (squares of big residuals)
-    would overflow, so the scaled value ``t`` is split as hi * 2^24 + lo:
-    both parts and the subtraction are exact in double arithmetic.
+    ``floor`` is taken in double while it is exact (|t| < 2^52; beyond that t
+    is already whole), so every later step is exact integer arithmetic in
+    double: the same integers in any engine, for any sign and size.
     """
     t = c.cast("double") * F.lit(UNITS_PER_ONE) + F.lit(0.5)
-    hi = F.floor(t / F.lit(SPLIT))
-    lo = F.floor(t - hi.cast("double") * F.lit(SPLIT))
-    return (hi.cast("decimal(38,0)") * F.lit(int(SPLIT)).cast("decimal(38,0)")
-            + lo.cast("decimal(38,0)"))
+    u = F.when(F.abs(t) < F.lit(EXACT_FLOOR_LIMIT), F.floor(t).cast("double")).otherwise(t)
+    top = F.floor(u / F.lit(PART * PART))
+    rest = u - top.cast("double") * F.lit(PART * PART)
+    mid = F.floor(rest / F.lit(PART))
+    low = (rest - mid.cast("double") * F.lit(PART)).cast("bigint")
+    return top, mid, low
+
+
+def _combine(top: Column, mid: Column, low: Column) -> Column:
+    d = "decimal(38,0)"
+    return (top.cast(d) * F.lit(int(PART * PART)).cast(d) + mid.cast(d) * F.lit(int(PART)).cast(d)
+            + low.cast(d))
+
+
+def millionths(c: Column) -> Column:
+    """``c`` in whole millionths, rounded half up, as an exact decimal."""
+    return _combine(*_unit_parts(c))
 
 
 TWO_32 = 4_294_967_296
@@ -52,12 +67,16 @@ def decimal_to_double(d: Column) -> Column:
 def exact_sum(c: Column, over=None) -> Column:
     """Exact sum of millionths, as double. NULL when every value is NULL.
 
-    ``over`` (a WindowSpec) turns it into the same sum over a window.
+    The three parts of each row's millionths are summed as plain ``bigint``
+    (fast, codegen'd; mid and low parts cannot overflow below ~4e12 rows per
+    group, and ANSI mode raises instead of wrapping), and the exact total is
+    rebuilt as a decimal once per group. ``over`` (a WindowSpec) turns it into
+    the same sum over a window.
     """
-    total = F.sum(millionths(c))
+    sums = [F.sum(p) for p in _unit_parts(c)]
     if over is not None:
-        total = total.over(over)
-    return decimal_to_double(total) / F.lit(UNITS_PER_ONE)
+        sums = [x.over(over) for x in sums]
+    return decimal_to_double(_combine(*sums)) / F.lit(UNITS_PER_ONE)
 
 
 def exact_total(c: Column) -> Column:

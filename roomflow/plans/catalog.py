@@ -45,11 +45,17 @@ def revenue(spark: SparkSession, sf_dir: str, with_room: bool = False) -> DataFr
 # ---------------------------------------------------------------------------
 
 def millionths_sql(x: str) -> str:
-    """``x`` in whole millionths as DECIMAL(38,0), as ``functions.exact.millionths``."""
+    """``x`` in whole millionths as DECIMAL(38,0), as ``functions.exact.millionths``:
+    exact floor while |t| < 2^52, then an exact split at 2^42 and 2^21."""
     t = f"(CAST({x} AS DOUBLE) * 1000000.0 + 0.5)"
-    hi = f"floor({t} / 16777216.0)"
-    return (f"(CAST({hi} AS DECIMAL(38,0)) * CAST(16777216 AS DECIMAL(38,0)) "
-            f"+ CAST(floor({t} - {hi} * 16777216.0) AS DECIMAL(38,0)))")
+    u = f"(CASE WHEN abs({t}) < 4503599627370496.0 THEN floor({t}) ELSE {t} END)"
+    top = f"floor({u} / 4398046511104.0)"
+    rest = f"({u} - {top} * 4398046511104.0)"
+    mid = f"floor({rest} / 2097152.0)"
+    low = f"({rest} - {mid} * 2097152.0)"
+    d = "DECIMAL(38,0)"
+    return (f"(CAST({top} AS {d}) * CAST(4398046511104 AS {d}) "
+            f"+ CAST({mid} AS {d}) * CAST(2097152 AS {d}) + CAST({low} AS {d}))")
 
 
 def money_sum_sql(x: str) -> str:

@@ -176,3 +176,25 @@ def test_price_priority_differs_by_table(spark):
     assert row.total_revenue == 10.0                       # revenue: price first
     (top,) = top_revenue_products(r).collect()
     assert top.total_revenue == 10.0
+
+
+def test_exact_sum_matches_python_integers(spark):
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    from roomflow.functions.exact import exact_sum, millionths
+
+    rnd = random.Random(3)
+    vals = ([rnd.uniform(-1e4, 1e4) for _ in range(300)] + [0.0000005, -0.0000005, 2.5e-7, 1e13, -3e12,
+            123456.789012, 1e19, -7.25e15] + [rnd.uniform(-1, 1) * 10 ** rnd.randrange(0, 14)
+                                               for _ in range(300)])
+    df = spark.createDataFrame([(i % 5, v) for i, v in enumerate(vals)], "g int, x double")
+    units = {}
+    for i, v in enumerate(vals):
+        units.setdefault(i % 5, []).append(math.floor(v * 1e6 + 0.5))
+    got = {r.g: r.s for r in df.groupBy("g").agg(exact_sum(F.col("x")).alias("s")).collect()}
+    assert got == {g: float(sum(u)) / 1e6 for g, u in units.items()}
+    per_row = [int(r.u) for r in df.select(millionths(F.col("x")).alias("u")).collect()]
+    assert per_row == [math.floor(v * 1e6 + 0.5) for v in vals]
