@@ -119,3 +119,34 @@ def test_approx_quartiles_close_to_exact(spark, sf_small):
         assert abs(a[name] - e[name]) <= 0.01 * spread
     ts = P.profile_datetime(b, approx=True).collect()
     assert {r.column for r in ts} == {"booking_start_time", "booking_end_time"}
+
+
+@pytest.mark.parametrize("fmt", ["json", "orc", "parquet"])
+def test_load_table_formats(spark, scratch, sf_small, fmt):
+    from roomflow.operators.monthly import monthly_revenue_summary
+
+    r = revenue_view(spark, sf_small)
+    path = os.path.join(scratch, f"revenue.{fmt}")
+    getattr(r.write, fmt)(path)
+    schema = r.schema if fmt == "json" else None
+    loaded = load_table(spark, path, schema=schema)
+    assert sorted(loaded.columns) == sorted(r.columns)
+    got = sorted(map(tuple, monthly_revenue_summary(loaded).collect()))
+    assert got == sorted(map(tuple, monthly_revenue_summary(r).collect()))
+
+
+@pytest.mark.parametrize("operator", ["monthly_bookings", "utilization"])
+def test_streaming_bookings_tables_equal_batch(spark, scratch, sf_small, operator):
+    from roomflow.streaming.incremental import INCREMENTAL, start_incremental
+
+    b = bookings_view(spark, sf_small)
+    src = os.path.join(scratch, "bookings")
+    b.where(F.month("booking_start_time") <= 6).write.parquet(src, mode="append")
+    b.where(F.month("booking_start_time") > 6).write.parquet(src, mode="append")
+    out = os.path.join(scratch, operator)
+    q = start_incremental(spark, src, b.schema, out, operator,
+                          checkpoint_location=os.path.join(scratch, "ckpt-" + operator))
+    q.awaitTermination(180)
+    got = sorted(map(tuple, spark.read.parquet(out).collect()))
+    want = sorted(map(tuple, INCREMENTAL[operator](b).collect()))
+    assert got == want
