@@ -149,14 +149,17 @@ def generate_report(bookings: DataFrame, revenue: DataFrame,
     """All report tables, lazily. Forecasts that cannot be built are None."""
     from .forecast import bookings_forecast, revenue_forecast
 
+    # one utilization plan for both tables (cache it to compute it once)
+    room_util = report_room_utilization(bookings, availability_hours_per_day)
     return {
         "monthly_bookings": report_monthly_bookings(bookings),
         "monthly_revenue": report_monthly_revenue(revenue),
-        "room_utilization": report_room_utilization(bookings, availability_hours_per_day),
+        "room_utilization": room_util,
         "top_tenants": report_top_tenants(bookings),
         "top_products": report_top_products(revenue),
         "forecast_bookings": _or_none(lambda: bookings_forecast(bookings, months=3)),
         "forecast_revenue": _or_none(lambda: revenue_forecast(revenue, months=12)),
-        "underutilized": report_underutilized(bookings, availability_hours_per_day),
+        "underutilized": room_util.where(F.col("utilization_pct") < LOW_UTILIZATION_PCT)
+                                  .drop("pricing_recommendation"),
         "roi_products": report_roi_products(bookings),
     }
