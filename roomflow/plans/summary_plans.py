@@ -3,6 +3,7 @@ reached by dropping or renaming columns of the fixture tables)."""
 
 from __future__ import annotations
 
+from ..functions.columns import strip_headers
 from ..operators.monthly import monthly_bookings_and_revenue, monthly_revenue_summary
 from ..operators.ranking import (
     high_roi_products,
@@ -195,3 +196,15 @@ def records_json_q(spark, sf_dir):
     # records sink, checked after the round trip back to columns
     table = top_tenants(bookings(spark, sf_dir))
     return records_from_json(records_json(table), table.schema)
+
+
+# --- loading (S1, S2): the two input tables, headers stripped ----------------
+
+@register("load_bookings", "SELECT * FROM bookings")
+def load_bookings(spark, sf_dir):
+    return strip_headers(bookings(spark, sf_dir))
+
+
+@register("load_revenue", "SELECT * FROM revenue")
+def load_revenue(spark, sf_dir):
+    return strip_headers(revenue(spark, sf_dir))
