@@ -198,3 +198,18 @@ def test_exact_sum_matches_python_integers(spark):
     assert got == {g: float(sum(u)) / 1e6 for g, u in units.items()}
     per_row = [int(r.u) for r in df.select(millionths(F.col("x")).alias("u")).collect()]
     assert per_row == [math.floor(v * 1e6 + 0.5) for v in vals]
+
+
+def test_report_underutilized_equals_operator_and_summary_bundle(bookings, sales):
+    from roomflow.operators.summary import summary, summary_kpis
+
+    rep = R.generate_report(bookings, sales)
+    derived = sorted(map(tuple, rep["underutilized"].collect()))
+    assert derived == sorted(map(tuple, R.report_underutilized(bookings).collect()))
+    tables = summary(bookings.withColumnRenamed("booking_start_time", "start_time")
+                     .withColumnRenamed("booking_end_time", "end_time"),
+                     sales)
+    assert set(tables) == {"bookings_monthly", "revenue_monthly", "utilization", "top_tenants",
+                           "top_products"}
+    kpis = {r.table_name: r for r in summary_kpis(tables).collect()}
+    assert kpis["top_tenants"].rows == 2 and kpis["revenue_monthly"].measure_total == 150.0
