@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules, sharding
+from . import bpe, chat_format, quality_rules, sharding, simhash_dedup, warc
 from .oracle import ORACLE  # noqa: F401  (read by the entry file)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public byte-level BPE vocabulary of the installed files."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query("op1_warc")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(_table(spark, sf_dir, "pages"), "page_id", "html", "url")
+    return back.select(
+        F.col("key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("warc_type").alias("record_type"), F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
 @_query("op3_chat_formatting")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
@@ -46,3 +61,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign_shards(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query("op5_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    ids = ids.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+                     F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return bpe.decode(ids, path).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@_query("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_dedup.components_of(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
