@@ -1,7 +1,7 @@
 """Helpers shared by the training-data operators.
 
 * :func:`materialize` cuts lineage with a Parquet table in the shared folder.
-* :func:`let`, :func:`words_of`, :func:`prefix_sums` are native column idioms.
+* :func:`let`, :func:`words_of`, :func:`running` are native column idioms.
 """
 
 from __future__ import annotations
@@ -73,23 +73,28 @@ def indices(n: Column, first: int = 1) -> Column:
         F.array().cast("array<int>"))
 
 
-def prefix_sums(values: Column, block: int = 512) -> Column:
-    """Inclusive running sums of an ``array<bigint>`` by two levels of blocks
-    (``aggregate`` copies its result at each step, so one level over a long
-    array would be quadratic)."""
+def running(values: Column, combine: Callable[[Column, Column], Column], block: int = 512) -> Column:
+    """Inclusive running ``combine`` (associative) of an ``array<bigint>``, by two
+    levels of blocks: ``aggregate`` copies its result at each step, so one level
+    over a long array would be quadratic."""
 
-    def running(a: Column) -> Column:
+    def scan(a: Column) -> Column:
         start = F.array().cast("array<bigint>")
-        return F.aggregate(a, start, lambda acc, x: F.concat(
-            acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0).cast("bigint")) + x)))
+        return F.aggregate(a, start, lambda acc, x: F.concat(acc, F.array(
+            F.when(F.size(acc) > 0, combine(F.get(acc, F.size(acc) - 1), x)).otherwise(x))))
 
     def blocks(a: Column) -> Column:
         starts = F.filter(indices(F.size(a)), lambda i: (i - 1) % block == 0)
-        return F.transform(starts, lambda i: running(F.slice(a, i, block)))
+        return F.transform(starts, lambda i: scan(F.slice(a, i, block)))
 
     def joined(parts: Column) -> Column:
-        ends = running(F.transform(parts, lambda p: F.get(p, F.size(p) - 1)))
+        ends = scan(F.transform(parts, lambda p: F.get(p, F.size(p) - 1)))
         return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, k: F.transform(
-            p, lambda x: x + F.when(k > 0, F.get(e, k - 1)).otherwise(F.lit(0))))))
+            p, lambda x: F.when(k > 0, combine(F.get(e, k - 1), x)).otherwise(x)))))
 
     return let(values, lambda a: let(blocks(a), joined))
+
+
+def prefix_sums(values: Column) -> Column:
+    """Inclusive running sums of an ``array<bigint>``."""
+    return running(values, lambda a, x: a + x)

@@ -65,3 +65,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept
 FROM m
 """
+
+
+def _folded(word: str) -> str:
+    """``word`` with ASCII letters in either case."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_KEYWORDS = "|".join(map(_folded, ("password", "passwd", "secret", "token", "api_?key")))
+_SECRETS = (  # kind, expression, group that counts, least characters
+    ("assign", r"""(?:%s)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""" % _KEYWORDS, 1, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0),
+    ("private_key", "-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", 0, 0),
+)
+_FOUND = " UNION ALL ".join(
+    f"""SELECT r, {k} AS kind, '{name}' AS name, {least} AS least, regexp_extract_all(t, '{p}') AS m,
+  regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS b FROM d"""
+    for k, (name, p, group, least) in enumerate(_SECRETS))
+ORACLE["op4_secrets"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({_FOUND}),
+u AS (SELECT r, kind, name, least, m, v, b, unnest(range(1, len(m) + 1)) AS i FROM f),
+s AS (
+  SELECT r, kind, name, length(m[i]) AS n,
+    (list_sum(list_transform(b[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))))
+      ::BIGINT AS e
+  FROM u WHERE length(v[i]) >= least),
+j AS (
+  SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+    count(*) FILTER (WHERE kind = 2) AS n_hex,
+    string_agg(name || ':' || (e - n) || ':' || e, ',' ORDER BY e - n, kind) FILTER (WHERE kind < 3) AS base,
+    string_agg(name || ':' || (e - n) || ':' || e, ',' ORDER BY e - n, kind) AS spans
+  FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j USING (r)
+"""

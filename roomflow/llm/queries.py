@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, quality_rules, sharding, simhash_dedup, warc
+from . import bpe, chat_format, quality_rules, secrets, sharding, simhash_dedup, warc
 from .oracle import ORACLE  # noqa: F401  (read by the entry file)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+@_query("op4_secrets")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE_RULES))
+
+    def count(k: int) -> Column:
+        hits = F.filter("spans", lambda s: s["kind"] == k)
+        return F.size(hits).cast("bigint").alias(f"n_{secrets.RULES[k].name}")
+
+    return found.select(
+        "doc_id", *map(count, range(len(secrets.BASE_RULES))),
+        F.sha2(secrets.span_text(base, secrets.RULES).cast("binary"), 256).alias("base_sha256"),
+        secrets.span_text(F.col("spans"), secrets.RULES).alias("spans"))
+
+
 @_query("op5_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
