@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express (plain restatements)."""
 
+from . import licenses
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["op1_warc"] = r"""
@@ -105,3 +107,45 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN j USING (r)
 """
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_KNOWN = "MAP {" + ", ".join(f"{_text(licenses.normal(s))}: {_text(i)}" for s, i in licenses.SENTENCES.items()) + "}"
+_RULES = "|".join(licenses.marked(ids) for _, ids in licenses.RULES)
+_NAMES = "MAP {" + ", ".join(f"{_text(licenses.marked(ids))}: {_text(n)}" for n, ids in licenses.RULES) + "}"
+ORACLE["op10_licenses"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS t FROM documents),
+s AS (
+  SELECT r, i, x, trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g')) AS n
+  FROM (SELECT r, unnest(b) AS x, generate_subscripts(b, 1) AS i
+        FROM (SELECT r, string_split_regex(t, '[.!?;]+\s+|\n[ \t\r]*\n') AS b FROM d))),
+k AS (
+  SELECT r, i, x, coalesce(({_KNOWN})[n],
+    CASE WHEN regexp_matches(n, '^copyright (c )?[0-9]{{4}}') THEN 'copyright' END) AS id FROM s),
+l AS (
+  SELECT r, i, j, trim(regexp_replace(y, '[^a-z0-9]+', ' ', 'g')) AS n
+  FROM (SELECT r, i, unnest(b) AS y, generate_subscripts(b, 1) AS j
+        FROM (SELECT r, i, string_split(x, chr(10)) AS b FROM k WHERE id IS NULL AND contains(x, chr(10))))),
+ids AS (
+  SELECT r, i, 0 AS j, id FROM k WHERE id IS NOT NULL
+  UNION ALL
+  SELECT r, i, j, coalesce(({_KNOWN})[n],
+    CASE WHEN regexp_matches(n, '^copyright (c )?[0-9]{{4}}') THEN 'copyright' END) FROM l),
+g AS (
+  SELECT r, string_agg(id, ',' ORDER BY i, j) AS ids,
+    coalesce(string_agg('<' || id || '>', '' ORDER BY i, j)
+      FILTER (WHERE id NOT IN ('copyright', 'all-rights')), '') AS q,
+    bool_or(id IN ('copyright', 'all-rights')) AS notice
+  FROM ids WHERE id IS NOT NULL GROUP BY r),
+m AS (
+  SELECT r, ids, q, notice, list_transform(regexp_extract_all(q, '{_RULES}'), lambda x: ({_NAMES})[x]) AS found FROM g)
+SELECT doc_id, coalesce(ids, '') AS sentence_ids,
+  coalesce(array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ','), '') AS licenses,
+  coalesce(regexp_replace(regexp_replace(regexp_replace(q, '{_RULES}', '', 'g'), '^<|>$', '', 'g'), '><', ',', 'g'),
+    '') AS unmatched,
+  coalesce(notice, false) AS has_notice
+FROM d LEFT JOIN m USING (r)
+"""

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, quality_rules, secrets, sharding, simhash_dedup, warc
+from . import (bpe, chat_format, decontaminate, licenses, packing, quality_rules, secrets, sharding,
+               simhash_dedup, warc)
+from .common import new_path
 from .oracle import ORACLE  # noqa: F401  (read by the entry file)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +42,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("warc_type").alias("record_type"), F.col("refers_to").cast("bigint").alias("refers_to"))
 
 
+@_query("op2_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ids = packing.token_ids(_table(spark, sf_dir, "documents"),
+                            public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    packed = packing.write_packed(packing.pack(ids, eos=50256), new_path(spark, "packed"))
+    return packed.select("part", "row", "n_tokens", F.sha2("input_ids", 256).alias("ids_sha256"), "cu_seqlens",
+                         "position_resets", "doc_ids", "pieces", "first_tokens")
+
+
 @_query("op3_chat_formatting")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
@@ -92,3 +105,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.components_of(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query("op9_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "distance", "similarity")
+
+
+@_query("op10_licenses")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
