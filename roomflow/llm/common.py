@@ -42,7 +42,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     see the real size. Files stay until the shared folder is cleaned.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
