@@ -60,19 +60,28 @@ def col(name: str) -> Column:
 def strip_headers(df: DataFrame) -> DataFrame:
     """Strip blanks around every column name (by position, no lookup).
 
-    Names that would then clash ignoring case get a numeric suffix so later
-    lookups are unambiguous under Spark's default case-insensitive resolution.
+    Spark looks names up ignoring case, so of names that differ by case only
+    one may stay. That is the one that a candidate list spells exactly (so
+    ``price`` is found beside ``Price``), else the first; the others get a
+    suffix.
     """
-    new, seen = [], {}
-    for c in df.columns:
-        s = c.strip()
-        k = s.lower()
-        if k in seen:
-            seen[k] += 1
-            s = f"{s}_{seen[k]}"
-        else:
-            seen[k] = 0
-        new.append(s)
+    names = [c.strip() for c in df.columns]
+    known = {n for role in (BOOKING_START, BOOKING_END, BOOKING_PRICE, REVENUE_DATE, REVENUE_PRICE, ROI_PRODUCT,
+                            ROI_DURATION, ROOM_KEYS, PRODUCT_KEYS, [TENANT]) for n in role}
+    keeps: dict[str, int] = {}
+    for i, n in enumerate(names):
+        first = keeps.setdefault(n.lower(), i)
+        if n in known and names[first] not in known:
+            keeps[n.lower()] = i
+    taken, new = {names[i].lower() for i in keeps.values()}, []
+    for i, n in enumerate(names):
+        if keeps[n.lower()] != i:
+            k = 1
+            while f"{n}_{k}".lower() in taken:
+                k += 1
+            n = f"{n}_{k}"
+            taken.add(n.lower())
+        new.append(n)
     return df.toDF(*new)
 
 

@@ -3,8 +3,9 @@
 An unpartitioned window (``Window.orderBy(x)``) moves every row to a single
 task. Here the rows are range-partitioned on the order, each range partition
 takes its own running totals with a window, and the totals of the partitions
-before it are added from a (groups x partitions)-row table, which is bounded
-by configuration rather than data and therefore safe to broadcast.
+before it are added from a table of groups x partitions rows. The ranged rows
+are checkpointed before they are used twice: the bounds of a range partitioning
+are sampled, so a second evaluation may place a row elsewhere.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reliable
+
 
 def running_totals(df: DataFrame, order_by: Sequence[str], sums: Mapping[str, Column],
                    group_by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
@@ -23,8 +26,8 @@ def running_totals(df: DataFrame, order_by: Sequence[str], sums: Mapping[str, Co
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = list(group_by)
-    ranged = (df.repartitionByRange(parts, *groups, *order_by)
-              .withColumn("_pid", F.spark_partition_id()))
+    ranged = reliable(df.repartitionByRange(parts, *groups, *order_by)
+                      .withColumn("_pid", F.spark_partition_id()))
     local = Window.partitionBy("_pid", *groups).orderBy(*order_by).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     ranged = ranged.withColumns({f"_loc_{k}": F.sum(e).over(local) for k, e in sums.items()})
@@ -33,6 +36,6 @@ def running_totals(df: DataFrame, order_by: Sequence[str], sums: Mapping[str, Co
     offsets = totals.select(*groups, "_pid", *[
         F.coalesce(F.sum(f"_tot_{k}").over(before), F.lit(0).cast(totals.schema[f"_tot_{k}"].dataType))
         .alias(f"_off_{k}") for k in sums])
-    out = ranged.join(F.broadcast(offsets), [*groups, "_pid"])
+    out = ranged.join(offsets, [*groups, "_pid"])
     out = out.withColumns({k: F.col(f"_off_{k}") + F.col(f"_loc_{k}") for k in sums})
     return out.drop("_pid", *[f"_loc_{k}" for k in sums], *[f"_off_{k}" for k in sums])

@@ -39,10 +39,6 @@ def to_wall_clock(c: Column, dtype: DataType | None = None) -> Column:
     return parsed
 
 
-def day_start(ts: Column) -> Column:
-    return ts.cast("date").cast("timestamp_ntz")
-
-
 def month_start(ts: Column) -> Column:
     """First instant of the month of ``ts`` as ``timestamp_ntz``."""
     return F.trunc(ts.cast("date"), "MM").cast("timestamp_ntz")
@@ -82,11 +78,6 @@ def hour_of_day_micros(ts: Column, hour: int) -> Column:
     return F.lit(hour * MICROS_PER_HOUR) + F.pmod(second_micros(ts), F.lit(1_000_000))
 
 
-def at_hour_keep_fraction(ts: Column, hour: int) -> Column:
-    """``ts`` with the clock set to ``hour``:00:00, sub-second part kept."""
-    return F.timestamp_add("MICROSECOND", hour_of_day_micros(ts, hour), day_start(ts))
-
-
 def future_month_end(last_month: Column, i: Column) -> Column:
     """Month-end ``i`` months after the month of ``last_month`` (i = 0 is its own end)."""
     return F.last_day(F.add_months(last_month.cast("date"), i)).cast("timestamp_ntz")

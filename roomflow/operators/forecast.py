@@ -5,19 +5,18 @@ series is fitted in the same distributed job with closed-form least squares:
 
 1. ``series``: one row per (key, month) with value ``y`` (count or revenue),
    built by one partial+final aggregate over the raw table.
-2. The series table (keys x months rows, bounded by the number of months per
-   key) is shuffled once by key; every later step is a window partitioned by
-   key (or key and month-of-year, which the same partitioning satisfies), so
-   no further exchange and no join are needed.
-3. Trend: slope/intercept of y on x = days since 2000-01-01 from exact sums
-   n, sum x, sum x^2, sum y, sum xy.
+2. One aggregate per key fits the line (``regr_*`` of y on x = days since
+   2000-01-01); rows without y take no part but keep their place.
+3. Models are joined back to the series on the key; a series without keys is
+   joined to its one-row model by broadcast, so no window and no task ever
+   gathers a whole series.
 4. Season (when the history spans >= 730 days, or forced): the mean residual
    per calendar month of ``ds + 1 day``; months without history get 0.
 5. Band: yhat +- z * sigma * sqrt(1 + 1/n + (x - mean x)^2 / Sxx), sigma the
    RMS residual after the season, z the normal quantile of the width.
 6. Output: the history months and ``periods`` future month ends starting at
    the end of the last observed month (the original's 'M' frequency),
-   generated on the last row of each series, so no union re-shuffles.
+   generated from the model rows.
 
 This is a trend + season regression, not Prophet: numbers differ from a
 Prophet fit, the shape of the output (history plus future, point forecast
@@ -29,12 +28,12 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import timecols as T
-from ..functions.exact import exact_sum, exact_total
+from ..functions.totals import known, total
 
 EPOCH = "2000-01-01"
 SEASON_MIN_SPAN_DAYS = 730
@@ -68,66 +67,60 @@ def forecast_series(series: DataFrame, keys: list[str] | None = None, periods: i
     if periods < 0:
         raise ValueError("periods must be >= 0")
     z = interval_z(interval_width)
-    part = [C.col(k) for k in keys] if keys else [F.lit(0)]
-    w = Window.partitionBy(*part)
     s = series.select(*[C.col(k) for k in keys],
                       C.col(date_col).cast("timestamp_ntz").alias("ds"),
-                      C.col(value_col).alias("y"))
+                      known(C.col(value_col)).cast("double").alias("y"))
     s = C.drop_null_keys(s, keys + ["ds"])
-    x = _days(F.col("ds"))
-    s = s.withColumn("x", x).withColumn("m", _season_month(F.col("ds")))
-    s = s.withColumns({
-        "n": F.count(F.lit(1)).over(w).cast("double"),
-        "sx": F.sum("x").over(w).cast("double"),
-        "sxx": F.sum(F.col("x") * F.col("x")).over(w).cast("double"),
-        "sy": exact_sum(F.col("y"), over=w),
-        "sxy": exact_sum(F.col("x") * F.col("y"), over=w),
-        "min_ds": F.min("ds").over(w),
-        "max_ds": F.max("ds").over(w),
-    }).where(F.col("n") >= F.lit(float(min_points)))
-    n, sx, sxx, sy, sxy = (F.col(c) for c in ("n", "sx", "sxx", "sy", "sxy"))
-    # try_divide: a degenerate series (all points on one date) gives NULL, not an error
-    s = s.withColumn("b", F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx))
-    s = s.withColumns({
-        "a": (sy - F.col("b") * sx) / n,
-        "xbar": sx / n,
-        "sxx_c": (n * sxx - sx * sx) / n,
-    })
-    s = s.withColumn("resid", F.col("y").cast("double") - (F.col("a") + F.col("b") * F.col("x").cast("double")))
-    if seasonality == "auto":
-        season_on = F.datediff(F.col("max_ds").cast("date"), F.col("min_ds").cast("date")) >= SEASON_MIN_SPAN_DAYS
-    else:
-        season_on = F.lit(bool(seasonality))
-    wm = Window.partitionBy(*part, F.col("m"))
-    season_mean = exact_sum(F.col("resid"), over=wm) / F.count(F.lit(1)).over(wm).cast("double")
-    s = s.withColumn("season", F.when(season_on, season_mean).otherwise(F.lit(0.0)))
-    e = F.col("resid") - F.col("season")
-    s = s.withColumn("sse", exact_sum(e * e, over=w))
-    s = s.withColumns({
-        "sigma": F.sqrt(F.col("sse") / n),
-        "season_map": F.map_from_entries(F.collect_set(F.struct("m", "season")).over(w)),
-    })
-    # history point for every row; the last row of a series also carries the
-    # future month ends (generated in place: no union, no extra shuffle)
+    if not keys:  # one series: joins go by a constant to a table of one row
+        s = s.withColumn("_series", F.col("ds").isNull())  # false; a literal would make it a cross join
+    by = keys or ["_series"]
+    s = s.withColumn("x", _days(F.col("ds")).cast("double")).withColumn("m", _season_month(F.col("ds")))
+
+    # 1. A line per series; rows without y have no part in it.
+    span = F.datediff(F.max("ds").cast("date"), F.min("ds").cast("date"))
+    season_on = span >= SEASON_MIN_SPAN_DAYS if seasonality == "auto" else F.lit(bool(seasonality))
+    fit = s.groupBy(*by).agg(
+        F.regr_count("y", "x").alias("n"), F.regr_slope("y", "x").alias("b"),
+        F.regr_avgy("y", "x").alias("ybar"), F.regr_avgx("y", "x").alias("xbar"),
+        F.regr_sxx("y", "x").alias("sxx"), F.max("ds").alias("max_ds"), season_on.alias("season_on"),
+    ).where(F.col("n") >= min_points)
+
+    # 2. Per calendar month the mean residual, and the squares left around it.
+    resid = F.col("y") - (F.col("ybar") + F.col("b") * (F.col("x") - F.col("xbar")))
+    months = _on_series(s.where(F.col("y").isNotNull()), fit, by, keys).select(
+        *by, "m", "season_on", resid.alias("r")).groupBy(*by, "m").agg(
+        F.avg("r").alias("mean"), F.count("r").alias("c"), F.var_pop("r").alias("var"),
+        F.sum(F.col("r") * F.col("r")).alias("squares"), F.first("season_on").alias("on"))
+    around = months.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("m", F.when(F.col("on"), F.col("mean")).otherwise(F.lit(0.0)).alias("s"))))
+        .alias("season_map"),  # at most twelve entries
+        F.sum(F.when(F.col("on"), F.col("var") * F.col("c")).otherwise(F.col("squares"))).alias("sse"))
+    model = _on_series(fit, around, by, keys).withColumn(
+        "sigma", F.sqrt(F.col("sse") / F.col("n"))).drop("sse", "season_on")
+
+    # 3. The months of the series and the month ends that follow.
+    past = _on_series(s.select(*by, "ds"), model, by, keys)
     future = F.transform(
         F.sequence(F.lit(0), F.lit(periods - 1)) if periods > 0 else F.array().cast("array<int>"),
         lambda i: T.future_month_end(F.col("max_ds"), i))
-    points = F.when(F.col("ds") == F.col("max_ds"), F.concat(F.array(F.col("ds")), future)) \
-        .otherwise(F.array(F.col("ds")))
-    p = s.select(*[C.col(k) for k in keys], "a", "b", "n", "xbar", "sxx_c", "sigma",
-                 "season_map", F.explode(points).alias("ds"))
-    px = _days(F.col("ds")).cast("double")
+    p = past.unionByName(model.withColumn("ds", F.explode(future)))
+    dx = _days(F.col("ds")).cast("double") - F.col("xbar")
     season = F.coalesce(F.element_at(F.col("season_map"), _season_month(F.col("ds"))), F.lit(0.0))
-    yhat = (F.col("a") + F.col("b") * px) + season
-    half = (F.lit(z) * F.col("sigma")) * F.sqrt(
-        (F.lit(1.0) + F.lit(1.0) / F.col("n"))
-        + F.try_divide((px - F.col("xbar")) * (px - F.col("xbar")), F.col("sxx_c")))
+    yhat = F.col("ybar") + F.col("b") * dx + season
+    # try_divide: a degenerate series (all points on one date) gives NULL, not an error
+    half = F.lit(z) * F.col("sigma") * F.sqrt(
+        F.lit(1.0) + F.try_divide(F.lit(1.0), F.col("n").cast("double")) + F.try_divide(dx * dx, F.col("sxx")))
     return (p.withColumn("yhat", yhat)
             .withColumn("yhat_lower", F.col("yhat") - half)
             .withColumn("yhat_upper", F.col("yhat") + half)
             .select(*[C.col(k) for k in keys], *OUTPUT))
 
 
+def _on_series(left: DataFrame, right: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
+    """Join on the series; without keys ``right`` is one row, which is broadcast."""
+    return left.join(right if keys else F.broadcast(right), by)
+
+
 def monthly_count_series(bookings: DataFrame, group_by: str | None) -> DataFrame:
     start = C.require(bookings, C.BOOKING_START, "Could not find start datetime for forecasting")
     dtype = {f.name: f.dataType for f in bookings.schema.fields}[start]
@@ -157,7 +150,7 @@ def revenue_forecast(revenue: DataFrame, months: int = 12, interval_width: float
     df = revenue.select(T.month_start(T.to_wall_clock(C.col(date), dtype)).alias("ds"),
                         C.col(price).alias("_price"))
     series = (C.drop_null_keys(df, ["ds"]).groupBy("ds")
-              .agg(exact_total(F.col("_price")).alias("y")))
+              .agg(total(F.col("_price")).alias("y")))
     return forecast_series(series, [], periods=months, interval_width=interval_width,
                            seasonality=seasonality)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import timecols as T
-from ..functions.exact import exact_mean, exact_total
+from ..functions.totals import mean, total
 
 
 def _wall_clock(df: DataFrame, name: str):
@@ -37,7 +37,7 @@ def monthly_bookings_and_revenue(bookings: DataFrame) -> DataFrame:
     return (C.drop_null_keys(df, keys)
             .groupBy(*keys)
             .agg(F.count("_start").alias("bookings_count"),
-                 exact_mean(F.col("_price")).alias("avg_revenue")))
+                 mean(F.col("_price")).alias("avg_revenue")))
 
 
 def revenue_month(revenue: DataFrame):
@@ -57,5 +57,5 @@ def monthly_revenue_summary(revenue: DataFrame) -> DataFrame:
     df = revenue.select(month.alias("month"), C.col(price).alias("_price"))
     return (C.drop_null_keys(df, ["month"])
             .groupBy("month")
-            .agg(exact_total(F.col("_price")).alias("total_revenue"),
-                 exact_mean(F.col("_price")).alias("avg_revenue")))
+            .agg(total(F.col("_price")).alias("total_revenue"),
+                 mean(F.col("_price")).alias("avg_revenue")))

@@ -15,8 +15,8 @@ costs one shuffle rather than one per column:
 * categorical top value: counts per (column, value), then the most frequent
   value per column with ties to the smallest value.
 
-Means and standard deviations use the exact millionths sums of
-``functions.exact``; results are reproducible to 1e-6.
+A column whose values are all null keeps its row (count 0); without columns of
+the wanted kind the result is empty. NaN counts as null.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ from pyspark.sql.types import (
 )
 
 from ..functions import columns as C
-from ..functions.exact import decimal_to_double, exact_sum
 from ..functions.running import running_totals
 from ..functions.timecols import epoch_micros
+from ..functions.totals import known
 
 QUARTILES = (0.25, 0.5, 0.75)
 EPOCH_NTZ = "1970-01-01 00:00:00"
@@ -57,9 +57,13 @@ def _null_test(df: DataFrame, name: str) -> Column:
 
 
 def _long(df: DataFrame, names: Sequence[str], value: callable) -> DataFrame:
-    """Stack ``names`` into (column, value) rows, dropping null values."""
+    """Stack ``names`` into (column, value) rows."""
     entries = F.array(*[F.struct(F.lit(n).alias("column"), value(n).alias("value")) for n in names])
-    return df.select(F.inline(entries)).where(F.col("value").isNotNull())
+    return df.select(F.inline(entries))
+
+
+def _empty(df: DataFrame, ddl: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([], ddl)
 
 
 def profile_shape(df: DataFrame) -> DataFrame:
@@ -98,7 +102,7 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = QUARTILES,
                              F.floor(h).alias("lo"), F.ceil(h).alias("hi"))
     hit_lo = (F.col("before") <= F.col("lo")) & (F.col("lo") < F.col("after"))
     hit_hi = (F.col("before") <= F.col("hi")) & (F.col("hi") < F.col("after"))
-    picked = (cum.join(F.broadcast(targets), "column")
+    picked = (cum.join(targets, "column")
               .where(hit_lo | hit_hi)
               .groupBy("column", "p", "h", "lo", "hi")
               .agg(F.max(F.when(hit_lo, F.col("value"))).alias("v_lo"),
@@ -108,18 +112,6 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = QUARTILES,
     return picked.select("column", "p", q.alias("q"))
 
 
-def _moments(long_df: DataFrame) -> DataFrame:
-    v = F.col("value")
-    stats = long_df.groupBy("column").agg(
-        F.count(F.lit(1)).alias("count"), exact_sum(v).alias("_s"), exact_sum(v * v).alias("_ss"),
-        F.min(v).alias("min"), F.max(v).alias("max"))
-    n = F.col("count").cast("double")
-    var = (F.col("_ss") - F.col("_s") * F.col("_s") / n) / (n - F.lit(1.0))
-    return stats.select("column", "count", (F.col("_s") / n).alias("mean"),
-                        F.when(F.col("count") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("std"),
-                        "min", "max")
-
-
 def _with_quartiles(stats: DataFrame, long_df: DataFrame, approx: bool = False,
                     accuracy: int = 10000) -> DataFrame:
     if approx:
@@ -128,11 +120,11 @@ def _with_quartiles(stats: DataFrame, long_df: DataFrame, approx: bool = False,
         wide = long_df.groupBy("column").agg(q.alias("_q")).select(
             "column", *[F.col("_q")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(QUARTILES)])
     else:
-        qs = exact_quantiles(long_df)
+        qs = exact_quantiles(long_df.where(F.col("value").isNotNull()))
         wide = qs.groupBy("column").agg(*[
             F.max(F.when(F.col("p") == F.lit(p), F.col("q"))).alias(f"p{int(p * 100)}")
             for p in QUARTILES])
-    return stats.join(wide, "column")  # one row per column on each side
+    return stats.join(wide, "column", "left")  # one row per column on each side
 
 
 def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False,
@@ -144,9 +136,14 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, approx:
     interpolation) for very large tables.
     """
     names = list(columns) if columns else _typed(df, NumericType)
-    long_df = _long(df, names, lambda n: F.when(~F.isnan(C.col(n).cast("double")),
-                                                C.col(n).cast("double")))
-    out = _with_quartiles(_moments(long_df), long_df, approx, accuracy)
+    if not names:
+        return _empty(df, "column string, count bigint, mean double, std double, min double, p25 double, "
+                          "p50 double, p75 double, max double")
+    long_df = _long(df, names, lambda n: known(C.col(n)).cast("double"))
+    stats = long_df.groupBy("column").agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    out = _with_quartiles(stats, long_df, approx, accuracy)
     return out.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -164,13 +161,17 @@ def profile_datetime(df: DataFrame, columns: Sequence[str] | None = None, approx
     (computed on microseconds, returned as timestamp_ntz); ``approx`` as in
     ``profile_numeric``."""
     names = list(columns) if columns else _typed(df, (TimestampType, TimestampNTZType, DateType))
+    if not names:
+        return _empty(df, "column string, count bigint, " + ", ".join(
+            f"{c} timestamp_ntz" for c in ("mean", "min", "p25", "p50", "p75", "max")))
     long_df = _long(df, names, lambda n: _micros(C.col(n)).cast("double"))
     v = F.col("value")
     stats = long_df.groupBy("column").agg(
-        F.count(F.lit(1)).alias("count"),
-        decimal_to_double(F.sum(v.cast("decimal(38,0)"))).alias("_s"),
+        F.count(v).alias("count"), F.sum(v.cast("decimal(28,0)")).alias("_s"),
         F.min(v).alias("min"), F.max(v).alias("max"))
-    stats = stats.withColumn("mean", F.col("_s") / F.col("count").cast("double")).drop("_s")
+    # the nearest whole microsecond, in exact integers
+    stats = stats.withColumn("mean", F.expr(
+        "CASE WHEN count > 0 THEN (2 * _s + count) div (2 * count) END").cast("double")).drop("_s")
     out = _with_quartiles(stats, long_df, approx, accuracy)
     as_ts = lambda c: _from_micros(F.floor(F.col(c) + F.lit(0.5))).alias(c)
     return out.select("column", "count", as_ts("mean"), as_ts("min"), as_ts("p25"), as_ts("p50"),
@@ -180,12 +181,16 @@ def profile_datetime(df: DataFrame, columns: Sequence[str] | None = None, approx
 def profile_categorical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, unique, top (most frequent; ties to the smallest), freq per string column."""
     names = list(columns) if columns else _typed(df, StringType)
+    if not names:
+        return _empty(df, "column string, count bigint, unique bigint, top string, freq bigint")
     long_df = _long(df, names, lambda n: C.col(n))
-    counts = long_df.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
+    counts = long_df.groupBy("column", "value").agg(F.count("value").alias("c"))  # 0 for the null value
+    known_c = F.when(F.col("value").isNotNull(), F.col("c"))
     return counts.groupBy("column").agg(
-        F.sum("c").alias("count"), F.count(F.lit(1)).alias("unique"),
-        F.min_by("value", F.struct((-F.col("c")).alias("k"), F.col("value").alias("v"))).alias("top"),
-        F.max("c").alias("freq"))
+        F.sum("c").alias("count"), F.count("value").alias("unique"),
+        F.min_by("value", F.when(F.col("value").isNotNull(), F.struct(
+            (-F.col("c")).alias("k"), F.col("value").alias("v")))).alias("top"),
+        F.max(known_c).alias("freq"))
 
 
 def profile_min_max_unique(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -194,25 +199,38 @@ def profile_min_max_unique(df: DataFrame, approx: bool = False) -> DataFrame:
     ``approx=True`` uses HyperLogLog++ (``approx_count_distinct``) instead of
     exact distinct counting for very wide or very large tables.
     """
-    distinct = F.approx_count_distinct if approx else F.count_distinct
+    if not df.columns:
+        return _empty(df, "column string, min string, max string, unique bigint")
     aggs = []
     for i, n in enumerate(df.columns):
         c = C.col(n)
-        aggs += [F.min(c).cast("string").alias(f"_mn{i}"), F.max(c).cast("string").alias(f"_mx{i}"),
-                 distinct(c).cast("bigint").alias(f"_u{i}")]
+        aggs += [F.min(c).cast("string").alias(f"_mn{i}"), F.max(c).cast("string").alias(f"_mx{i}")]
+        aggs += [F.approx_count_distinct(c).alias(f"_u{i}")] if approx else []
     row = df.agg(*aggs)
+    unique = (lambda i: F.col(f"_u{i}")) if approx else (lambda i: F.lit(0).cast("bigint"))
     entries = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"_mn{i}").alias("min"),
-                                 F.col(f"_mx{i}").alias("max"), F.col(f"_u{i}").alias("unique"))
+                                 F.col(f"_mx{i}").alias("max"), unique(i).alias("unique"))
                         for i, n in enumerate(df.columns)])
-    return row.select(F.inline(entries))
+    ends = row.select(F.inline(entries))
+    if approx:
+        return ends
+    # Distinct values of all columns in one shuffle of (column, value) rows.
+    floats = set(_typed(df, (FloatType, DoubleType)))
+    values = _long(df, df.columns, lambda n: (
+        C.col(n) + F.lit(0.0) if n in floats else C.col(n)).cast("string"))  # -0.0 equals 0.0
+    counts = (values.where(F.col("value").isNotNull()).distinct()
+              .groupBy("column").agg(F.count(F.lit(1)).alias("_u")))
+    return ends.join(counts, "column", "left").select(
+        "column", "min", "max", F.coalesce("_u", "unique").alias("unique"))
 
 
 def profile_duplicates(df: DataFrame) -> DataFrame:
     """rows, distinct_rows, duplicate_rows (rows beyond the first of each
     identical group; nulls compare equal)."""
     groups = df.groupBy(*[C.col(n) for n in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
-    return groups.agg(F.sum("_c").alias("rows"), F.count(F.lit(1)).alias("distinct_rows"),
-                      F.sum(F.col("_c") - 1).alias("duplicate_rows"))
+    zero = F.lit(0).cast("bigint")
+    return groups.agg(F.coalesce(F.sum("_c"), zero).alias("rows"), F.count(F.lit(1)).alias("distinct_rows"),
+                      F.coalesce(F.sum(F.col("_c") - 1), zero).alias("duplicate_rows"))
 
 
 def _order(df: DataFrame, order_by: Sequence[str] | None, descending: bool) -> list[Column]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import columns as C
-from ..functions.exact import exact_mean, exact_total
+from ..functions.totals import mean, total
 
 
 def _empty(df: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def top_tenants(bookings: DataFrame, top_n: int = 10) -> DataFrame:
     return (C.drop_null_keys(df, [C.TENANT])
             .groupBy(C.TENANT)
             .agg(F.count(C.TENANT).alias("booking_count"),
-                 exact_total(F.col("_price")).alias("total_revenue"))
+                 total(F.col("_price")).alias("total_revenue"))
             .orderBy(F.desc("booking_count"), F.desc("total_revenue"), F.asc(C.TENANT))
             .limit(top_n))
 
@@ -51,8 +51,8 @@ def top_revenue_products(revenue: DataFrame, top_n: int = 20) -> DataFrame:
                         C.col(counted).alias("_counted"))
     return (C.drop_null_keys(df, keys)
             .groupBy(*keys)
-            .agg(exact_total(F.col("_price")).alias("total_revenue"),
-                 exact_mean(F.col("_price")).alias("avg_revenue"),
+            .agg(total(F.col("_price")).alias("total_revenue"),
+                 mean(F.col("_price")).alias("avg_revenue"),
                  F.count("_counted").alias("count"))
             .orderBy(F.desc("total_revenue"), *[F.asc(k) for k in keys])
             .limit(top_n))
@@ -79,14 +79,14 @@ def high_roi_products(revenue: DataFrame) -> DataFrame:
         df = revenue.select(C.col(product), p.alias("_price"), rate.alias("_rate"))
         return (C.drop_null_keys(df, [product])
                 .groupBy(product)
-                .agg(exact_mean(F.col("_rate")).alias("avg_revenue_per_minute"),
-                     exact_total(F.col("_price")).alias("total_revenue"),
+                .agg(mean(F.col("_rate")).alias("avg_revenue_per_minute"),
+                     total(F.col("_price")).alias("total_revenue"),
                      F.count(product).alias("transactions"))
                 .orderBy(F.desc_nulls_last("avg_revenue_per_minute"), F.asc(product)))
     df = revenue.select(C.col(product), p.alias("_price"))
     return (C.drop_null_keys(df, [product])
             .groupBy(product)
-            .agg(exact_total(F.col("_price")).alias("total_revenue"),
+            .agg(total(F.col("_price")).alias("total_revenue"),
                  F.count(product).alias("transactions"))
             .orderBy(F.desc("total_revenue"), F.asc(product)))
 
@@ -108,6 +108,6 @@ def product_revenue_rate(revenue: DataFrame) -> DataFrame:
     df = revenue.select(*[C.col(k) for k in keys], p.alias("_price"), rate.alias("_rate"))
     return (C.drop_null_keys(df, keys)
             .groupBy(*keys)
-            .agg(exact_total(F.col("_price")).alias("total_revenue"),
-                 exact_mean(F.col("_rate")).alias("avg_rev_per_min"))
+            .agg(total(F.col("_price")).alias("total_revenue"),
+                 mean(F.col("_rate")).alias("avg_rev_per_min"))
             .orderBy(F.desc_nulls_last("avg_rev_per_min"), *[F.asc(k) for k in keys]))

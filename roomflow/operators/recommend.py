@@ -32,49 +32,35 @@ from pyspark.sql.types import (
 )
 
 from ..functions import columns as C
-from ..functions.exact import UNITS_PER_ONE, decimal_to_double, exact_mean, millionths
 from ..functions.running import running_totals
-from ..session import ensure_checkpoint_dir
-
-
-def _reliable(df: DataFrame) -> DataFrame:
-    """Checkpoint to the reliable folder, computing ``df`` once: the
-    checkpoint write re-runs the plan unless the rows are persisted first."""
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
+from ..functions.totals import mean
+from ..session import reliable
 
 
 def room_average_utilization(util_df: DataFrame) -> DataFrame:
     """Mean utilization % per room over its months (room_id, avg_utilization)."""
     rooms = C.drop_null_keys(util_df.select("room_id", "utilization_pct"), ["room_id"])
-    return rooms.groupBy("room_id").agg(exact_mean(F.col("utilization_pct")).alias("avg_utilization"))
+    return rooms.groupBy("room_id").agg(mean(F.col("utilization_pct")).alias("avg_utilization"))
 
 
-def two_means_cut(values: DataFrame, x: str = "_x") -> float:
+def two_means_cut(values: DataFrame, x: str = "_x") -> float | None:
     """Largest value of the lower cluster in the optimal two-means split of
-    column ``x`` (exact; ties stay together). Raises if fewer than two
-    distinct values exist."""
+    column ``x`` (exact; ties stay together), None with fewer than two values.
+
+    With values taken from their mean, the squares between the two clusters of
+    a cut are ``s1^2 * n / (n1 * n2)`` for the lower cluster's sum ``s1``, so
+    the best cut needs running counts and sums only and nothing cancels.
+    """
     v = F.col(x)
     per_value = values.groupBy(x).agg(F.count(F.lit(1)).alias("c"))
-    per_value = per_value.withColumns({
-        "_u1": millionths(v) * F.col("c"), "_u2": millionths(v * v) * F.col("c")})
-    run = running_totals(per_value, [x], {"n1": F.col("c"), "s1u": F.col("_u1"), "q1u": F.col("_u2")})
-    tot = per_value.agg(F.sum("c").cast("double").alias("n"),
-                        (decimal_to_double(F.sum("_u1")) / F.lit(UNITS_PER_ONE)).alias("s"),
-                        (decimal_to_double(F.sum("_u2")) / F.lit(UNITS_PER_ONE)).alias("q")).first()
-    n_all, s_all, q_all = F.lit(tot["n"]), F.lit(tot["s"]), F.lit(tot["q"])
-    n1 = F.col("n1").cast("double")
-    s1 = decimal_to_double(F.col("s1u")) / F.lit(UNITS_PER_ONE)
-    q1 = decimal_to_double(F.col("q1u")) / F.lit(UNITS_PER_ONE)
-    sse = (q1 - s1 * s1 / n1) + ((q_all - q1) - (s_all - s1) * (s_all - s1) / (n_all - n1))
-    best = (run.where(n1 < n_all)
-            .agg(F.min_by(v, F.struct(sse.alias("sse"), v.alias("v"))).alias("cut")).first())
-    if best is None or best["cut"] is None:
-        raise ValueError("two clusters need at least two distinct values")
-    return float(best["cut"])
+    tot = values.agg(F.count(v).cast("double").alias("n"), F.avg(v).alias("mean")).first()
+    if not tot["n"]:
+        return None
+    run = running_totals(per_value, [x], {"n1": F.col("c"), "s1": (v - F.lit(tot["mean"])) * F.col("c")})
+    n1, n2 = F.col("n1").cast("double"), F.lit(tot["n"]) - F.col("n1").cast("double")
+    between = F.col("s1") * F.col("s1") / (n1 * n2)
+    best = run.where(n2 > 0).agg(F.min_by(v, F.struct((-between).alias("b"), v.alias("v"))).alias("cut")).first()
+    return best["cut"]
 
 
 def ml_underutilized_rooms(util_df: DataFrame, n_clusters: int = 2, seed: int = 42,
@@ -84,7 +70,8 @@ def ml_underutilized_rooms(util_df: DataFrame, n_clusters: int = 2, seed: int =
     Clusters are fitted on the per-room average (NULL as 0 for fitting only);
     ``method='auto'`` is the exact split for two clusters and Spark ML KMeans
     (``seed``, ``max_iter``) otherwise. KMeans labels are renumbered 0..k-1
-    by ascending centre, so labels do not depend on the random start.
+    by ascending centre, so labels do not depend on the random start. Fewer
+    distinct averages than clusters give as many clusters as there are values.
     Columns: room_id, avg_utilization, cluster, ml_underutilized. Without
     room_id or utilization_pct the input comes back unchanged.
     """
@@ -94,12 +81,12 @@ def ml_underutilized_rooms(util_df: DataFrame, n_clusters: int = 2, seed: int =
         raise ValueError("n_clusters must be >= 1")
     if method not in ("auto", "exact", "kmeans"):
         raise ValueError("method must be 'auto', 'exact' or 'kmeans'")
-    rooms = _reliable(room_average_utilization(util_df)
+    rooms = reliable(room_average_utilization(util_df)
                       .withColumn("_x", F.coalesce(F.col("avg_utilization"), F.lit(0.0))))
     if n_clusters == 2 and method in ("auto", "exact"):
         cut = two_means_cut(rooms)
-        labelled = rooms.select("room_id", "avg_utilization",
-                                F.when(F.col("_x") <= F.lit(cut), 0).otherwise(1).alias("cluster"))
+        lower = F.lit(True) if cut is None else F.col("_x") <= F.lit(cut)  # one value: one cluster
+        labelled = rooms.select("room_id", "avg_utilization", F.when(lower, 0).otherwise(1).alias("cluster"))
         return _lowest_cluster(labelled)
     if method == "exact":
         raise ValueError("the exact method is for two clusters")
@@ -107,9 +94,6 @@ def ml_underutilized_rooms(util_df: DataFrame, n_clusters: int = 2, seed: int =
     model = KMeans(k=n_clusters, seed=seed, maxIter=max_iter, featuresCol="_features",
                    predictionCol="_raw").fit(features)
     centres = [float(c[0]) for c in model.clusterCenters()]
-    if len(centres) < n_clusters:
-        raise ValueError(f"only {len(centres)} distinct cluster centres for k={n_clusters}: "
-                         "fewer distinct rooms than clusters")
     order = sorted(range(len(centres)), key=lambda i: (centres[i], i))
     relabel = F.create_map(*[x for new, old in enumerate(order) for x in (F.lit(old), F.lit(new))])
     labelled = (model.transform(features)
@@ -150,6 +134,21 @@ def _support_ok(n: int, min_support: float):
     return F.col("freq").cast("double") / F.lit(float(n)) >= F.lit(float(min_support))
 
 
+def _candidates(sets: DataFrame, size: int) -> DataFrame:
+    """``(items, item)``: sets of ``size + 1`` whose subsets of ``size`` are all
+    among ``sets`` (sorted arrays), as a frequent set and a larger item."""
+    head = F.slice("items", 1, size - 1).alias("head")
+    a = sets.select(head, F.get("items", F.lit(size - 1)).alias("last"), "items")
+    b = sets.select(head, F.get("items", F.lit(size - 1)).alias("item"))
+    pairs = a.join(b, "head").where(F.col("item") > F.col("last")).select("items", "item")
+    # the two parents are frequent; the others leave out one of the first size - 1 items
+    subsets = pairs.select("items", "item", F.explode(F.slice("items", 1, size - 1)).alias("out")).select(
+        "items", "item", F.concat(F.array_remove("items", F.col("out")), F.array("item")).alias("subset"))
+    return (subsets.join(sets.select(F.col("items").alias("subset")), "subset")
+            .groupBy("items", "item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == size - 1)
+            .select("items", "item"))
+
+
 def frequent_itemsets_vertical(bookings: DataFrame, min_support: float,
                                max_size: int | None = None) -> tuple[DataFrame, int]:
     """Frequent product sets of tenant baskets, level by level, in vertical form.
@@ -157,11 +156,12 @@ def frequent_itemsets_vertical(bookings: DataFrame, min_support: float,
     Every tenant gets one bit in a 64-bit word (``monotonically_increasing_id``
     of the checkpointed tenant list: unique, not dense), every frequent item
     a list of (word, bits). An itemset of size k, keyed by its sorted items,
-    keeps the same list; it is extended by an equi-join with the item lists
-    on ``word`` (only larger items), its new bits are the AND of both, and
-    the support is the summed ``bit_count``. Work per level is candidates x
-    occupied words: 64 tenants per operation and no enumeration of item pairs
-    inside a basket. Keys are the item arrays themselves, so every level is
+    keeps the same list. Pairs come from an equi-join of the item lists on
+    ``word``; from there on candidates come first: two frequent sets that
+    differ in their last item only are joined on their common prefix, and a
+    candidate stays when all its subsets are frequent. Its bits are the AND of
+    a parent's and the new item's, and the support is the summed ``bit_count``:
+    64 tenants per operation. Keys are the item arrays themselves, so every level is
     deterministic; each level's word lists are checkpointed (lineage stays
     one level deep) and the result table is checkpointed once.
     Returns ((items sorted, freq), number of baskets).
@@ -169,14 +169,14 @@ def frequent_itemsets_vertical(bookings: DataFrame, min_support: float,
     spark = bookings.sparkSession
     rows = bookings.select(C.col(C.TENANT).alias("tenant"), C.col("product_name").alias("item")) \
         .where(F.col("tenant").isNotNull())
-    tenants = _reliable(rows.select("tenant").distinct()
+    tenants = reliable(rows.select("tenant").distinct()
                         .withColumn("tid", F.monotonically_increasing_id()))
     n = tenants.count()
     if n == 0:
         return spark.createDataFrame([], "items array<string>, freq bigint"), 0
     ok = _support_ok(n, min_support)
     pairs = rows.where(F.col("item").isNotNull()).distinct().join(tenants, "tenant")
-    all_words = _reliable(
+    all_words = reliable(
         pairs.groupBy("item", F.shiftright("tid", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), CAST(pmod(tid, 64) AS INT))")).alias("bits")))
     items = (all_words.groupBy("item").agg(F.sum(F.bit_count("bits")).cast("bigint").alias("freq"))
@@ -186,25 +186,28 @@ def frequent_itemsets_vertical(bookings: DataFrame, min_support: float,
     held = [items, item_words]
     found, size = [items.select(F.array("item").alias("items"), "freq")], 1
     while max_size is None or size < max_size:
-        ext = (words.alias("w").join(item_words.alias("i"), "word")
-               .where(F.col("i.item") > F.col("w.last"))
+        if size == 1:
+            joined = words.alias("w").join(item_words.alias("i"), "word").where(F.col("i.item") > F.col("w.last"))
+        else:
+            larger = _candidates(found[-1].select("items"), size)
+            joined = (words.alias("w").join(larger, "items")
+                      .join(item_words.alias("i"), ["item", "word"]))
+        ext = (joined
                .select(F.col("w.items").alias("items"), F.col("i.item").alias("item"), "word",
                        F.col("w.bits").bitwiseAND(F.col("i.bits")).alias("bits"))
                .where(F.col("bits") != 0)
                .persist(StorageLevel.MEMORY_AND_DISK))
-        counts = (ext.groupBy("items", "item")
-                  .agg(F.sum(F.bit_count("bits")).cast("bigint").alias("freq"))
-                  .where(ok).persist(StorageLevel.MEMORY_AND_DISK))
-        nxt = _reliable(ext.join(counts.select("items", "item"), ["items", "item"])
+        counts = reliable(ext.groupBy("items", "item")
+                          .agg(F.sum(F.bit_count("bits")).cast("bigint").alias("freq")).where(ok))
+        nxt = reliable(ext.join(counts.select("items", "item"), ["items", "item"])
                         .select(F.concat("items", F.array("item")).alias("items"),
                                 F.col("item").alias("last"), "word", "bits"))
         ext.unpersist()
-        held.append(counts)
         if nxt.isEmpty():
             break
         found.append(counts.select(F.concat("items", F.array("item")).alias("items"), "freq"))
         words, size = nxt, size + 1
-    sets = _reliable(reduce(DataFrame.unionByName, found))
+    sets = reliable(reduce(DataFrame.unionByName, found))
     for df in held:
         df.unpersist()
     return sets, n
@@ -245,8 +248,8 @@ def ml_product_upsell(bookings: DataFrame, min_support: float = 0.05,
         max_size = None if max_consequents is None else max_consequents + 1
         sets, n = frequent_itemsets_vertical(bookings, min_support, max_size)
     elif method == "fpgrowth":
-        sets, n = frequent_itemsets(_reliable(tenant_baskets(bookings)), min_support)
-        sets = _reliable(sets) if n else sets
+        sets, n = frequent_itemsets(reliable(tenant_baskets(bookings)), min_support)
+        sets = reliable(sets) if n else sets
     else:
         raise ValueError("method must be 'vertical' or 'fpgrowth'")
     if n == 0:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import timecols as T
-from ..functions.exact import exact_mean, exact_total
+from ..functions.totals import mean, total
 
 # ---------------------------------------------------------------------------
 # Pricing thresholds (exclusive) and suggestion texts.
@@ -52,15 +52,15 @@ def report_monthly_bookings(bookings: DataFrame) -> DataFrame:
     b = prepare_bookings(bookings)
     return (b.where(F.col("month").isNotNull()).groupBy("month")
             .agg(F.count("product_name").alias("total_bookings"),
-                 exact_mean(F.col("calculated_price")).alias("avg_revenue"),
-                 exact_total(F.col("calculated_price")).alias("total_revenue")))
+                 mean(F.col("calculated_price")).alias("avg_revenue"),
+                 total(F.col("calculated_price")).alias("total_revenue")))
 
 
 def report_monthly_revenue(revenue: DataFrame) -> DataFrame:
     r = prepare_revenue(revenue)
     return (r.where(F.col("month").isNotNull()).groupBy("month")
-            .agg(exact_total(F.col("price")).alias("total_revenue"),
-                 exact_mean(F.col("price")).alias("avg_price")))
+            .agg(total(F.col("price")).alias("total_revenue"),
+                 mean(F.col("price")).alias("avg_price")))
 
 
 def _booked_minutes(b: DataFrame) -> Column:
@@ -109,7 +109,7 @@ def report_top_tenants(bookings: DataFrame, top_n: int = 10) -> DataFrame:
     b = C.drop_null_keys(bookings, [C.TENANT])
     return (b.groupBy(C.TENANT)
             .agg(F.count("product_name").alias("bookings"),
-                 exact_total(F.col("calculated_price")).alias("revenue"))
+                 total(F.col("calculated_price")).alias("revenue"))
             .orderBy(F.desc("revenue"), F.asc(C.TENANT))
             .limit(top_n))
 
@@ -117,8 +117,8 @@ def report_top_tenants(bookings: DataFrame, top_n: int = 10) -> DataFrame:
 def report_top_products(revenue: DataFrame, top_n: int = 10) -> DataFrame:
     r = C.drop_null_keys(revenue, ["product_name"])
     return (r.groupBy("product_name")
-            .agg(exact_total(F.col("price")).alias("total_revenue"),
-                 exact_mean(F.col("price")).alias("avg_price"),
+            .agg(total(F.col("price")).alias("total_revenue"),
+                 mean(F.col("price")).alias("avg_price"),
                  F.count("product_name").alias("transactions"))
             .orderBy(F.desc("total_revenue"), F.asc("product_name"))
             .limit(top_n))
@@ -131,8 +131,8 @@ def report_roi_products(bookings: DataFrame, top_n: int = 10) -> DataFrame:
                         F.when(minutes != 0, minutes).cast("double"))
     b = C.drop_null_keys(bookings.withColumn("_rate", rate), ["product_name"])
     return (b.groupBy("product_name")
-            .agg(exact_mean(F.col("_rate")).alias("avg_revenue_per_minute"),
-                 exact_total(F.col("calculated_price")).alias("total_revenue"))
+            .agg(mean(F.col("_rate")).alias("avg_revenue_per_minute"),
+                 total(F.col("calculated_price")).alias("total_revenue"))
             .orderBy(F.desc_nulls_last("avg_revenue_per_minute"), F.asc("product_name"))
             .limit(top_n))
 

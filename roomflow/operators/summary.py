@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exact import exact_total
+from ..functions.totals import total
 from .monthly import monthly_bookings_and_revenue, monthly_revenue_summary
 from .ranking import top_revenue_products, top_tenants
 from .utilization import utilization_metrics
@@ -43,7 +43,7 @@ def summary_kpis(tables: dict[str, DataFrame]) -> DataFrame:
     for name, df in tables.items():
         measure = MEASURES[name]
         rows.append(df.agg(F.count(F.lit(1)).alias("rows"),
-                           exact_total(F.col(measure)).alias("measure_total"))
+                           total(F.col(measure)).alias("measure_total"))
                     .select(F.lit(name).alias("table_name"), "rows", F.lit(measure).alias("measure"),
                             "measure_total"))
     return reduce(DataFrame.unionByName, rows)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.fixtures import bookings_view, revenue_view, with_views
 
@@ -20,18 +21,31 @@ ORACLE: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None, *, revenue_with_room: bool = False,
-             extra_ctes: tuple[str, ...] = ()):
-    """Register ``fn`` as query ``name``; ``sql`` is wrapped with the view CTEs."""
+             extra_ctes: tuple[str, ...] = (), rounded: tuple[str, ...] = (), digits: int = 6):
+    """Register ``fn`` as query ``name``; ``sql`` is wrapped with the view CTEs.
+
+    ``rounded`` names double results that depend on the order rows are added in
+    (means of rates, fits); they are rounded to ``digits`` places here, on both
+    sides, for the comparison. Operators themselves never round.
+    """
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query name {name}")
-        QUERIES[name] = fn
+        QUERIES[name] = (lambda spark, sf_dir: _rounded(fn(spark, sf_dir), rounded, digits)) if rounded else fn
         if sql is not None:
-            ORACLE[name] = with_views(sql, *extra_ctes, revenue_with_room=revenue_with_room)
+            full = with_views(sql, *extra_ctes, revenue_with_room=revenue_with_room)
+            if rounded:
+                full = (f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) AS {c}' for c in rounded)}) "
+                        f"FROM ({full}) q")
+            ORACLE[name] = full
         return fn
     return deco
 
 
+def _rounded(df: DataFrame, columns: tuple[str, ...], digits: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
 def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bookings_view(spark, sf_dir)
 
@@ -44,37 +58,12 @@ def revenue(spark: SparkSession, sf_dir: str, with_room: bool = False) -> DataFr
 # SQL fragments shared by several oracle queries (DuckDB dialect).
 # ---------------------------------------------------------------------------
 
-def millionths_sql(x: str) -> str:
-    """``x`` in whole millionths as DECIMAL(38,0), as ``functions.exact.millionths``:
-    exact floor while |t| < 2^52, then an exact split at 2^42 and 2^21."""
-    t = f"(CAST({x} AS DOUBLE) * 1000000.0 + 0.5)"
-    u = f"(CASE WHEN abs({t}) < 4503599627370496.0 THEN floor({t}) ELSE {t} END)"
-    top = f"floor({u} / 4398046511104.0)"
-    rest = f"({u} - {top} * 4398046511104.0)"
-    mid = f"floor({rest} / 2097152.0)"
-    low = f"({rest} - {mid} * 2097152.0)"
-    d = "DECIMAL(38,0)"
-    return (f"(CAST({top} AS {d}) * CAST(4398046511104 AS {d}) "
-            f"+ CAST({mid} AS {d}) * CAST(2097152 AS {d}) + CAST({low} AS {d}))")
-
-
-def money_sum_sql(x: str) -> str:
-    """Exact money total, as the library computes it (decimal, then double)."""
-    return f"({decimal_to_double_sql(f'SUM({millionths_sql(x)})')} / 1000000.0)"
-
-
-def decimal_to_double_sql(d: str) -> str:
-    hi = f"CAST(CAST({d} AS DOUBLE) / 4294967296.0 AS BIGINT)"
-    lo = f"({d} - CAST({hi} AS DECIMAL(38,0)) * CAST(4294967296 AS DECIMAL(38,0)))"
-    return f"(CAST({hi} AS DOUBLE) * 4294967296.0 + CAST({lo} AS DOUBLE))"
-
-
 def money_total_sql(x: str) -> str:
-    return f"COALESCE({money_sum_sql(x)}, 0.0)"
+    return f"COALESCE(CAST(SUM({x}) AS DOUBLE), 0.0)"
 
 
 def money_mean_sql(x: str) -> str:
-    return f"({money_sum_sql(x)} / CAST(COUNT({x}) AS DOUBLE))"
+    return f"(CAST(SUM({x}) AS DOUBLE) / COUNT({x}))"
 
 
 def month_sql(ts: str) -> str:

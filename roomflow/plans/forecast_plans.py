@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from ..operators import forecast as FC
 from ..operators.monthly import monthly_revenue_summary
-from ..operators.report import prepare_bookings, prepare_revenue
-from .catalog import bookings, money_sum_sql, money_total_sql, month_sql, register, revenue
+from ..operators.report import generate_report
+from .catalog import bookings, money_mean_sql, money_total_sql, month_sql, register, revenue
 
 
 def forecast_sql(series_sql: str, keys: list[str], periods: int, interval_width: float = 0.8,
@@ -26,43 +26,36 @@ def forecast_sql(series_sql: str, keys: list[str], periods: int, interval_width:
     else:
         out_keys = (", ".join(keys) + ", ") if keys else ""
     nn = "".join(f" AND {k} IS NOT NULL" for k in keys)
+    dx = f"(date_diff('day', DATE '{FC.EPOCH}', CAST(pts.ds AS DATE)) - fit.xbar)"
     return f"""
 WITH series AS ({series_sql}),
 s AS (SELECT *{kdef}, date_diff('day', DATE '{FC.EPOCH}', CAST(ds AS DATE)) AS x,
              month(CAST(ds AS DATE) + 1) AS m
       FROM series WHERE ds IS NOT NULL{nn}),
-st AS (SELECT {kcols}, CAST(COUNT(*) AS DOUBLE) AS n, CAST(SUM(x) AS DOUBLE) AS sx,
-              CAST(SUM(x * x) AS DOUBLE) AS sxx, {money_sum_sql('y')} AS sy,
-              {money_sum_sql('x * y')} AS sxy, min(ds) AS min_ds, max(ds) AS max_ds
-       FROM s GROUP BY {kcols} HAVING COUNT(*) >= 2),
-st2 AS (SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b FROM st),
-p AS (SELECT *, (sy - b * sx) / n AS a, sx / n AS xbar, (n * sxx - sx * sx) / n AS sxx_c,
-             {season_on} AS season_on FROM st2),
-r AS (SELECT s.*, CAST(s.y AS DOUBLE) - (p.a + p.b * CAST(s.x AS DOUBLE)) AS resid, p.season_on
-      FROM s JOIN p {using}),
-sea AS (SELECT {kcols}, m,
-               CASE WHEN season_on THEN {money_sum_sql('resid')} / CAST(COUNT(*) AS DOUBLE)
-                    ELSE 0.0 END AS season
+fit AS (SELECT {kcols}, regr_count(y, x) AS n, regr_slope(y, x) AS b, regr_avgy(y, x) AS ybar,
+               regr_avgx(y, x) AS xbar, regr_sxx(y, x) AS sxx, min(ds) AS min_ds, max(ds) AS max_ds
+        FROM s GROUP BY {kcols} HAVING regr_count(y, x) >= 2),
+r AS (SELECT s.*, y - (ybar + b * (x - xbar)) AS resid, {season_on} AS season_on
+      FROM s JOIN fit {using} WHERE y IS NOT NULL),
+sea AS (SELECT {kcols}, m, CASE WHEN season_on THEN avg(resid) ELSE 0.0 END AS season
         FROM r GROUP BY {kcols}, m, season_on),
-sig AS (SELECT {kcols}, sqrt({money_sum_sql('(r.resid - sea.season) * (r.resid - sea.season)')}
-                             / max(p.n)) AS sigma
-        FROM r JOIN sea {using.replace(')', ', m)')} JOIN p {using} GROUP BY {kcols}),
-pts AS (SELECT {kcols}, ds FROM s JOIN p {using}
+sig AS (SELECT {kcols}, sqrt(sum((resid - season) * (resid - season)) / count(*)) AS sigma
+        FROM r JOIN sea {using.replace(')', ', m)')} GROUP BY {kcols}),
+pts AS (SELECT {kcols}, ds FROM s JOIN fit {using}
         UNION ALL
         SELECT {kcols}, CAST(last_day(CAST(max_ds AS DATE) + to_months(t.i)) AS TIMESTAMP) AS ds
-        FROM p CROSS JOIN range(0, {periods}) AS t(i)),
-f AS (SELECT pts.*, (p.a + p.b * CAST(date_diff('day', DATE '{FC.EPOCH}', CAST(pts.ds AS DATE)) AS DOUBLE))
-                     + COALESCE(sea.season, 0.0) AS yhat,
-             (CAST('{z!r}' AS DOUBLE) * sig.sigma) * sqrt((1.0 + 1.0 / p.n)
-               + ((CAST(date_diff('day', DATE '{FC.EPOCH}', CAST(pts.ds AS DATE)) AS DOUBLE) - p.xbar)
-                  * (CAST(date_diff('day', DATE '{FC.EPOCH}', CAST(pts.ds AS DATE)) AS DOUBLE) - p.xbar))
-                 / p.sxx_c) AS half
-      FROM pts JOIN p {using} JOIN sig {using}
+        FROM fit CROSS JOIN range(0, {periods}) AS t(i)),
+f AS (SELECT pts.*, fit.ybar + fit.b * {dx} + COALESCE(sea.season, 0.0) AS yhat,
+             CAST('{z!r}' AS DOUBLE) * sig.sigma * sqrt(1.0 + 1.0 / fit.n + {dx} * {dx} / fit.sxx) AS half
+      FROM pts JOIN fit {using} JOIN sig {using}
       LEFT JOIN sea ON {' AND '.join(f'sea.{k} = pts.{k}' for k in ks)}
                    AND sea.m = month(CAST(pts.ds AS DATE) + 1))
 SELECT {out_keys}ds, yhat, yhat - half AS yhat_lower, yhat + half AS yhat_upper FROM f"""
 
 
+POINTS = ("yhat", "yhat_lower", "yhat_upper")
+
+
 def _booking_series_sql(key: str | None) -> str:
     k = f"{key}, " if key else ""
     return (f"SELECT {k}ds, COUNT(*) AS y FROM (SELECT {k}{month_sql('booking_start_time')} AS ds "
@@ -73,31 +66,31 @@ _REVENUE_SERIES_SQL = (f"SELECT ds, {money_total_sql('price')} AS y FROM "
                        f"(SELECT {month_sql('created_at')} AS ds, price FROM revenue) r GROUP BY ds")
 
 
-@register("bookings_forecast_by_room", forecast_sql(_booking_series_sql("room_id"), ["room_id"], 3))
+@register("bookings_forecast_by_room", forecast_sql(_booking_series_sql("room_id"), ["room_id"], 3), rounded=POINTS)
 def bookings_forecast_by_room(spark, sf_dir):
     return FC.bookings_forecast(bookings(spark, sf_dir), months=3)
 
 
 @register("bookings_forecast_by_property",
-          forecast_sql(_booking_series_sql("property_id"), ["property_id"], 6))
+          forecast_sql(_booking_series_sql("property_id"), ["property_id"], 6), rounded=POINTS)
 def bookings_forecast_by_property(spark, sf_dir):
     return FC.bookings_forecast(bookings(spark, sf_dir), months=6, group_by="property_id")
 
 
-@register("bookings_forecast_overall", forecast_sql(_booking_series_sql(None), [], 3))
+@register("bookings_forecast_overall", forecast_sql(_booking_series_sql(None), [], 3), rounded=POINTS)
 def bookings_forecast_overall(spark, sf_dir):
     return FC.bookings_forecast(bookings(spark, sf_dir).drop("room_id"), months=3)
 
 
-@register("revenue_forecast", forecast_sql(_REVENUE_SERIES_SQL, [], 12))
+@register("revenue_forecast", forecast_sql(_REVENUE_SERIES_SQL, [], 12), rounded=POINTS, digits=1)
 def revenue_forecast(spark, sf_dir):
     return FC.revenue_forecast(revenue(spark, sf_dir), months=12)
 
 
 @register("forecast_series", forecast_sql(
-    f"SELECT month AS ds, {money_sum_sql('price')} / CAST(COUNT(price) AS DOUBLE) AS y FROM "
+    f"SELECT month AS ds, {money_mean_sql('price')} AS y FROM "
     f"(SELECT {month_sql('created_at')} AS month, price FROM revenue) r "
-    f"WHERE month IS NOT NULL GROUP BY month", [], 12, 0.9, False))
+    f"WHERE month IS NOT NULL GROUP BY month", [], 12, 0.9, False), rounded=POINTS, digits=4)
 def forecast_series(spark, sf_dir):
     # A user series: average sale per month, no season, 90 % band.
     series = monthly_revenue_summary(revenue(spark, sf_dir))
@@ -106,18 +99,18 @@ def forecast_series(spark, sf_dir):
 
 
 @register("forecast_as_arrays", forecast_sql(_booking_series_sql("room_id"), ["room_id"], 3,
-                                             key_out="CAST(room_id AS VARCHAR) AS key"))
+                                             key_out="CAST(room_id AS VARCHAR) AS key"), rounded=POINTS)
 def forecast_as_arrays(spark, sf_dir):
     # Column-list sink, checked after the round trip back to rows.
     fc = FC.bookings_forecast(bookings(spark, sf_dir), months=3)
     return FC.arrays_to_rows(FC.forecast_as_arrays(fc, ["room_id"]))
 
 
-@register("report_forecast_bookings", forecast_sql(_booking_series_sql("room_id"), ["room_id"], 3))
+@register("report_forecast_bookings", forecast_sql(_booking_series_sql("room_id"), ["room_id"], 3), rounded=POINTS)
 def report_forecast_bookings(spark, sf_dir):
-    return FC.bookings_forecast(prepare_bookings(bookings(spark, sf_dir)), months=3)
+    return generate_report(bookings(spark, sf_dir), revenue(spark, sf_dir))["forecast_bookings"]
 
 
-@register("report_forecast_revenue", forecast_sql(_REVENUE_SERIES_SQL, [], 12))
+@register("report_forecast_revenue", forecast_sql(_REVENUE_SERIES_SQL, [], 12), rounded=POINTS, digits=1)
 def report_forecast_revenue(spark, sf_dir):
-    return FC.revenue_forecast(prepare_revenue(revenue(spark, sf_dir)), months=12)
+    return generate_report(bookings(spark, sf_dir), revenue(spark, sf_dir))["forecast_revenue"]

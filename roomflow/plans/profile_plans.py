@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from ..operators import profile as P
-from ..sources.fixtures import read_spread
-from .catalog import bookings, decimal_to_double_sql, money_sum_sql, register, revenue
+from ..sources.fixtures import read_table
+from .catalog import bookings, register, revenue
 
 # bookings columns and the Spark type names they carry
 BOOKING_COLUMNS = [("room_id", "bigint"), ("property_id", "int"), ("enterprise_name", "string"),
                    ("product_name", "string"), ("product_type", "string"),
                    ("booking_start_time", "timestamp_ntz"), ("booking_end_time", "timestamp_ntz"),
-                   ("duration_in_mins", "int"), ("calculated_price", "double")]
-NUMERIC = [c for c, t in BOOKING_COLUMNS if t in ("bigint", "int", "double")]
+                   ("duration_in_mins", "int"), ("calculated_price", "decimal(18,4)")]
+NUMERIC = [c for c, t in BOOKING_COLUMNS if t in ("bigint", "int", "decimal(18,4)")]
 STRINGS = [c for c, t in BOOKING_COLUMNS if t == "string"]
 TIMES = [c for c, t in BOOKING_COLUMNS if t == "timestamp_ntz"]
 
@@ -38,15 +38,12 @@ def profile_columns(spark, sf_dir):
 
 def _numeric_sql(c: str) -> str:
     v = f"CAST({c} AS DOUBLE)"
-    n = f"CAST(COUNT({c}) AS DOUBLE)"
-    s, ss = money_sum_sql(v), money_sum_sql(f"{v} * {v}")
     q = ", ".join(f"quantile_cont({v}, {p}) AS p{int(p * 100)}" for p in P.QUARTILES)
-    return (f"SELECT '{c}' AS \"column\", COUNT({c}) AS count, {s} / {n} AS mean, "
-            f"CASE WHEN COUNT({c}) > 1 THEN sqrt(greatest(({ss} - {s} * {s} / {n}) / ({n} - 1.0), 0.0)) "
-            f"END AS std, min({v}) AS min, {q}, max({v}) AS max FROM bookings")
+    return (f"SELECT '{c}' AS \"column\", COUNT({c}) AS count, avg({v}) AS mean, stddev_samp({v}) AS std, "
+            f"min({v}) AS min, {q}, max({v}) AS max FROM bookings")
 
 
-@register("profile_numeric", _union([_numeric_sql(c) for c in NUMERIC]))
+@register("profile_numeric", _union([_numeric_sql(c) for c in NUMERIC]), rounded=("mean", "std"))
 def profile_numeric(spark, sf_dir):
     return P.profile_numeric(bookings(spark, sf_dir))
 
@@ -57,10 +54,9 @@ def _datetime_sql(c: str) -> str:
     def ts(x: str) -> str:
         return f"make_timestamp(CAST(floor({x} + 0.5) AS BIGINT))"
 
-    total = decimal_to_double_sql(f"SUM(CAST(epoch_us({c}) AS DECIMAL(38,0)))")
-    mean = f"{total} / CAST(COUNT({c}) AS DOUBLE)"
+    mean = f"make_timestamp(CAST((2 * SUM(epoch_us({c})) + COUNT({c})) // (2 * COUNT({c})) AS BIGINT))"
     q = ", ".join(f"{ts(f'quantile_cont({us}, {p})')} AS p{int(p * 100)}" for p in P.QUARTILES)
-    return (f"SELECT '{c}' AS \"column\", COUNT({c}) AS count, {ts(mean)} AS mean, "
+    return (f"SELECT '{c}' AS \"column\", COUNT({c}) AS count, {mean} AS mean, "
             f"{ts(f'min({us})')} AS min, {q}, {ts(f'max({us})')} AS max FROM bookings")
 
 
@@ -90,30 +86,35 @@ ORDERS_SCHEMA = ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_t
     f"SELECT '{c}' AS \"column\", CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max, "
     f"COUNT(DISTINCT {c}) AS \"unique\" FROM orders" for c in ORDERS_COLUMNS]))
 def profile_min_max_unique(spark, sf_dir):
-    return P.profile_min_max_unique(read_spread(spark, sf_dir, "orders", ORDERS_COLUMNS,
-                                                schema=ORDERS_SCHEMA))
+    return P.profile_min_max_unique(read_table(spark, sf_dir, "orders", ORDERS_SCHEMA))
 
 
 @register("profile_duplicates", """
-SELECT SUM(c) AS rows, COUNT(*) AS distinct_rows, SUM(c - 1) AS duplicate_rows
-FROM (SELECT l_orderkey, l_linenumber, COUNT(*) AS c FROM lineitem
-      GROUP BY l_orderkey, l_linenumber) g""")
+SELECT (SELECT COUNT(*) FROM lineitem) AS rows, COUNT(*) AS distinct_rows,
+       (SELECT COUNT(*) FROM lineitem) - COUNT(*) AS duplicate_rows
+FROM (SELECT DISTINCT * FROM lineitem) g""")
 def profile_duplicates(spark, sf_dir):
-    li = read_spread(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"],
-                     schema="l_orderkey bigint, l_linenumber int")
-    return P.profile_duplicates(li)
+    return P.profile_duplicates(spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet"))
 
 
-@register("preview_head", "SELECT * FROM bookings ORDER BY "
+# Previews show the price as a double.
+_PREVIEW = "SELECT * REPLACE (CAST(calculated_price AS DOUBLE) AS calculated_price) FROM bookings ORDER BY "
+
+
+def _shown(df):
+    return df.withColumn("calculated_price", df["calculated_price"].cast("double"))
+
+
+@register("preview_head", _PREVIEW
           + ", ".join(f"{c} ASC NULLS LAST" for c, _ in BOOKING_COLUMNS) + " LIMIT 5")
 def preview_head(spark, sf_dir):
-    return P.preview_head(bookings(spark, sf_dir))
+    return P.preview_head(_shown(bookings(spark, sf_dir)))
 
 
-@register("preview_tail", "SELECT * FROM bookings ORDER BY "
+@register("preview_tail", _PREVIEW
           + ", ".join(f"{c} DESC NULLS LAST" for c, _ in BOOKING_COLUMNS) + " LIMIT 5")
 def preview_tail(spark, sf_dir):
-    return P.preview_tail(bookings(spark, sf_dir))
+    return P.preview_tail(_shown(bookings(spark, sf_dir)))
 
 
 def _diagnose_sql(table: str, roles, present: list[str], types: dict[str, str]) -> str:

@@ -1,8 +1,8 @@
 """Recommendation queries: low-use room clusters (ML1) and upsell rules (ML2).
 
 Oracles are restatements in plain SQL: the two-means cut by one ordered
-window over the rooms, and itemsets counted by self-joins of (tenant,
-product) for the rules (checking only, never on the Spark side).
+window over the rooms, and itemsets of every size by recursion over lists of
+tenants (checking only, never on the Spark side).
 """
 
 from __future__ import annotations
@@ -11,37 +11,28 @@ from pyspark.sql import functions as F
 
 from ..operators.recommend import ml_product_upsell, ml_underutilized_rooms
 from ..operators.utilization import utilization_metrics
-from .catalog import bookings, decimal_to_double_sql, millionths_sql, money_mean_sql, register
+from .catalog import bookings, register
 from .utilization_plans import _util_sql
 
-UPSELL_SUPPORT = 0.15  # 0.05 makes ~0.5 M itemsets on these baskets (64 items, ~29 each)
+PAIR_SUPPORT = 0.05  # the default
+RULE_SUPPORT = 0.15  # of rules of every size: at 0.05 these baskets give ~0.5 M itemsets
 UPSELL_CONFIDENCE = 0.3
 
 
-def _d(x: str) -> str:
-    return f"({decimal_to_double_sql(x)} / 1000000.0)"
-
-
 _TWO_MEANS_SQL = f"""
 WITH util AS ({_util_sql(['room_id'])}),
-room AS (SELECT room_id, {money_mean_sql('utilization_pct')} AS avg_utilization
+room AS (SELECT room_id, AVG(utilization_pct) AS avg_utilization
          FROM util WHERE room_id IS NOT NULL GROUP BY room_id),
 pts AS (SELECT room_id, avg_utilization, COALESCE(avg_utilization, 0.0) AS v FROM room),
-vals AS (SELECT v, COUNT(*) AS c FROM pts GROUP BY v),
-u AS (SELECT v, c, {millionths_sql('v')} * c AS u1, {millionths_sql('v * v')} * c AS u2 FROM vals),
-run AS (SELECT v, SUM(c) OVER w AS n1, SUM(u1) OVER w AS s1u, SUM(u2) OVER w AS q1u
-        FROM u WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING)),
-tot AS (SELECT CAST(SUM(c) AS DOUBLE) AS n_all, {_d('SUM(u1)')} AS s_all, {_d('SUM(u2)')} AS q_all FROM u),
-scored AS (SELECT v, (q1 - s1 * s1 / n1) + ((q_all - q1) - (s_all - s1) * (s_all - s1) / (n_all - n1)) AS sse
-           FROM (SELECT v, CAST(n1 AS DOUBLE) AS n1, {_d('s1u')} AS s1, {_d('q1u')} AS q1, n_all, s_all, q_all
-                 FROM run CROSS JOIN tot) r
-           WHERE n1 < n_all),
-best AS (SELECT v AS cut FROM scored ORDER BY sse ASC, v ASC LIMIT 1)
+tot AS (SELECT AVG(v) AS mean, COUNT(*) AS n FROM pts),
+run AS (SELECT v, n, COUNT(*) OVER w AS n1, SUM(v - mean) OVER w AS s1
+        FROM pts, tot WINDOW w AS (ORDER BY v RANGE UNBOUNDED PRECEDING)),
+best AS (SELECT v AS cut FROM run WHERE n1 < n ORDER BY s1 * s1 / (n1 * (n - n1)) DESC, v ASC LIMIT 1)
 SELECT room_id, avg_utilization, 0 AS cluster, TRUE AS ml_underutilized
 FROM pts WHERE v <= (SELECT cut FROM best)"""
 
 
-@register("ml_underutilized_rooms", _TWO_MEANS_SQL)
+@register("ml_underutilized_rooms", _TWO_MEANS_SQL, rounded=("avg_utilization",))
 def ml_underutilized_rooms_q(spark, sf_dir):
     return ml_underutilized_rooms(utilization_metrics(bookings(spark, sf_dir)), n_clusters=2)
 
@@ -52,41 +43,29 @@ def ml_room_clusters_k3(spark, sf_dir):
     return ml_underutilized_rooms(utilization_metrics(bookings(spark, sf_dir)), n_clusters=3)
 
 
-def _upsell_sql(max_consequents: int) -> str:
-    s = UPSELL_SUPPORT
-    triples = f"""
-s3 AS (SELECT b1.i AS i1, b2.i AS i2, b3.i AS i3, COUNT(*) AS f
-       FROM b b1 JOIN b b2 ON b1.t = b2.t AND b1.i < b2.i
-                 JOIN b b3 ON b1.t = b3.t AND b2.i < b3.i
-       WHERE (b1.i, b2.i) IN (SELECT (i1, i2) FROM s2) AND (b2.i, b3.i) IN (SELECT (i1, i2) FROM s2)
-       GROUP BY 1, 2, 3 HAVING CAST(COUNT(*) AS DOUBLE) / (SELECT n FROM nb) >= {s}),"""
-    rules3 = """
-UNION ALL
-SELECT a, [c1, c2] AS cs, f, fa, fc FROM (
-  SELECT i1 AS a, i2 AS c1, i3 AS c2, f FROM s3 UNION ALL
-  SELECT i2, i1, i3, f FROM s3 UNION ALL
-  SELECT i3, i1, i2, f FROM s3) r
-JOIN (SELECT i, f AS fa FROM s1) x ON x.i = r.a
-JOIN (SELECT i1, i2, f AS fc FROM s2) y ON y.i1 = r.c1 AND y.i2 = r.c2"""
+def _upsell_sql(support: float, max_size: int = 99) -> str:
+    """Itemsets of every size as lists of tenants, extended by larger items."""
     return f"""
-WITH b AS (SELECT DISTINCT enterprise_name AS t, product_name AS i FROM bookings
+WITH RECURSIVE b AS (SELECT DISTINCT enterprise_name AS t, product_name AS i FROM bookings
            WHERE enterprise_name IS NOT NULL AND product_name IS NOT NULL),
 nb AS (SELECT CAST(COUNT(DISTINCT enterprise_name) AS DOUBLE) AS n FROM bookings
        WHERE enterprise_name IS NOT NULL),
-s1 AS (SELECT i, COUNT(*) AS f FROM b GROUP BY i
-       HAVING CAST(COUNT(*) AS DOUBLE) / (SELECT n FROM nb) >= {s}),
-s2 AS (SELECT b1.i AS i1, b2.i AS i2, COUNT(*) AS f
-       FROM b b1 JOIN b b2 ON b1.t = b2.t AND b1.i < b2.i
-       WHERE b1.i IN (SELECT i FROM s1) AND b2.i IN (SELECT i FROM s1)
-       GROUP BY 1, 2 HAVING CAST(COUNT(*) AS DOUBLE) / (SELECT n FROM nb) >= {s}),{triples if max_consequents >= 2 else ''}
-r AS (SELECT a, [c] AS cs, f, fa, fc FROM (
-        SELECT i1 AS a, i2 AS c, f FROM s2 UNION ALL SELECT i2, i1, f FROM s2) r
-      JOIN (SELECT i, f AS fa FROM s1) x ON x.i = r.a
-      JOIN (SELECT i, f AS fc FROM s1) y ON y.i = r.c{rules3 if max_consequents >= 2 else ''}),
-m AS (SELECT a AS antecedent, cs, CAST(f AS DOUBLE) / (SELECT n FROM nb) AS support,
-             CAST(f AS DOUBLE) / CAST(fa AS DOUBLE) AS confidence, fc FROM r)
+one AS (SELECT i, list(t) AS ts FROM b GROUP BY i
+        HAVING CAST(COUNT(*) AS DOUBLE) / (SELECT n FROM nb) >= {support}),
+s AS (
+  SELECT [i] AS items, i AS last, ts FROM one
+  UNION ALL
+  SELECT list_append(s.items, one.i), one.i, list_intersect(s.ts, one.ts)
+  FROM s JOIN one ON one.i > s.last
+  WHERE len(s.items) < {max_size}
+    AND CAST(len(list_intersect(s.ts, one.ts)) AS DOUBLE) / (SELECT n FROM nb) >= {support}),
+f AS (SELECT items, CAST(len(ts) AS DOUBLE) AS f FROM s),
+c AS (SELECT f, items, unnest(items) AS a FROM f WHERE len(items) >= 2),
+r AS (SELECT a, f, list_filter(items, lambda x: x <> a) AS cs FROM c),
+m AS (SELECT a AS antecedent, cs, r.f / n AS support, r.f / x.f AS confidence, y.f AS fc, n
+      FROM r JOIN f x ON x.items = [a] JOIN f y ON y.items = cs, nb)
 SELECT antecedent, cs[1] AS consequent, array_to_string(cs, ', ') AS consequent_set,
-       support, confidence, confidence / (CAST(fc AS DOUBLE) / (SELECT n FROM nb)) AS lift
+       support, confidence, confidence / (fc / n) AS lift
 FROM m WHERE confidence >= {UPSELL_CONFIDENCE}"""
 
 
@@ -96,13 +75,13 @@ def _flat(rules):
                         "support", "confidence", "lift")
 
 
-@register("upsell_rules", _upsell_sql(2))
+@register("upsell_rules", _upsell_sql(RULE_SUPPORT))
 def upsell_rules(spark, sf_dir):
-    return _flat(ml_product_upsell(bookings(spark, sf_dir), min_support=UPSELL_SUPPORT,
+    return _flat(ml_product_upsell(bookings(spark, sf_dir), min_support=RULE_SUPPORT,
                                    min_confidence=UPSELL_CONFIDENCE))
 
 
-@register("upsell_pairs", _upsell_sql(1))
+@register("upsell_pairs", _upsell_sql(PAIR_SUPPORT, 2))
 def upsell_pairs(spark, sf_dir):
-    return _flat(ml_product_upsell(bookings(spark, sf_dir), min_support=UPSELL_SUPPORT,
+    return _flat(ml_product_upsell(bookings(spark, sf_dir), min_support=PAIR_SUPPORT,
                                    min_confidence=UPSELL_CONFIDENCE, max_consequents=1))

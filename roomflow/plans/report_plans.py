@@ -6,6 +6,11 @@ from ..operators import report as R
 from .catalog import bookings, money_mean_sql, money_total_sql, month_sql, register, revenue
 
 
+def _report(spark, sf_dir):
+    """The report's tables; nothing is computed before one of them is used."""
+    return R.generate_report(bookings(spark, sf_dir), revenue(spark, sf_dir))
+
+
 @register("report_monthly_bookings", f"""
 SELECT month, COUNT(product_name) AS total_bookings,
        {money_mean_sql('calculated_price')} AS avg_revenue,
@@ -15,7 +20,7 @@ FROM (SELECT {month_sql('booking_start_time')} AS month, product_name, calculate
 WHERE month IS NOT NULL
 GROUP BY month""")
 def report_monthly_bookings(spark, sf_dir):
-    return R.report_monthly_bookings(bookings(spark, sf_dir))
+    return _report(spark, sf_dir)["monthly_bookings"]
 
 
 @register("report_monthly_revenue", f"""
@@ -24,7 +29,7 @@ FROM (SELECT {month_sql('created_at')} AS month, price FROM revenue) t
 WHERE month IS NOT NULL
 GROUP BY month""")
 def report_monthly_revenue(spark, sf_dir):
-    return R.report_monthly_revenue(revenue(spark, sf_dir))
+    return _report(spark, sf_dir)["monthly_revenue"]
 
 
 def _room_util_sql(hours: int, pricing: bool, where: str = "") -> str:
@@ -50,12 +55,12 @@ FROM (SELECT month, product_name, CAST(SUM(mins) AS BIGINT) AS total_booked_minu
 
 @register("report_room_utilization", _room_util_sql(9, True))
 def report_room_utilization(spark, sf_dir):
-    return R.report_room_utilization(bookings(spark, sf_dir))
+    return _report(spark, sf_dir)["room_utilization"]
 
 
 @register("report_underutilized", _room_util_sql(9, False, "< 30"))
 def report_underutilized(spark, sf_dir):
-    return R.report_underutilized(bookings(spark, sf_dir))
+    return _report(spark, sf_dir)["underutilized"]
 
 
 @register("report_room_utilization_12h", _room_util_sql(12, True))
@@ -71,7 +76,7 @@ GROUP BY enterprise_name
 ORDER BY revenue DESC, enterprise_name ASC
 LIMIT 10""")
 def report_top_tenants(spark, sf_dir):
-    return R.report_top_tenants(bookings(spark, sf_dir))
+    return _report(spark, sf_dir)["top_tenants"]
 
 
 @register("report_top_products", f"""
@@ -82,7 +87,7 @@ GROUP BY product_name
 ORDER BY total_revenue DESC, product_name ASC
 LIMIT 10""")
 def report_top_products(spark, sf_dir):
-    return R.report_top_products(revenue(spark, sf_dir))
+    return _report(spark, sf_dir)["top_products"]
 
 
 @register("report_roi_products", f"""
@@ -95,6 +100,6 @@ FROM (SELECT product_name, calculated_price,
 WHERE product_name IS NOT NULL
 GROUP BY product_name
 ORDER BY avg_revenue_per_minute DESC NULLS LAST, product_name ASC
-LIMIT 10""")
+LIMIT 10""", rounded=("avg_revenue_per_minute",))
 def report_roi_products(spark, sf_dir):
-    return R.report_roi_products(bookings(spark, sf_dir))
+    return _report(spark, sf_dir)["roi_products"]

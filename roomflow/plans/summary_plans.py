@@ -3,7 +3,8 @@ reached by dropping or renaming columns of the fixture tables)."""
 
 from __future__ import annotations
 
-from ..functions.columns import strip_headers
+import uuid
+
 from ..operators.monthly import monthly_bookings_and_revenue, monthly_revenue_summary
 from ..operators.ranking import (
     high_roi_products,
@@ -12,7 +13,8 @@ from ..operators.ranking import (
     top_tenants,
 )
 from ..operators.summary import summary, summary_kpis
-from ..sources.io import records_from_json, records_json
+from ..session import ensure_checkpoint_dir
+from ..sources.io import load_data, records_from_json, records_json
 from .catalog import bookings, money_mean_sql, money_total_sql, month_sql, register, revenue
 
 
@@ -123,7 +125,7 @@ def _roi_sql(product: str, with_duration: bool = True) -> str:
 SELECT {product}, {money_mean_sql('rate')} AS avg_revenue_per_minute,
        {money_total_sql('price')} AS total_revenue, COUNT({product}) AS transactions
 FROM (SELECT {product}, price,
-             price / CAST(NULLIF(duration_in_mins, 0) AS DOUBLE) AS rate FROM revenue) t
+             CAST(price AS DOUBLE) / NULLIF(duration_in_mins, 0) AS rate FROM revenue) t
 WHERE {product} IS NOT NULL
 GROUP BY {product}"""
     return f"""
@@ -132,7 +134,7 @@ FROM revenue WHERE {product} IS NOT NULL
 GROUP BY {product}"""
 
 
-@register("high_roi_products", _roi_sql("product_name"))
+@register("high_roi_products", _roi_sql("product_name"), rounded=("avg_revenue_per_minute",))
 def high_roi_products_q(spark, sf_dir):
     return high_roi_products(revenue(spark, sf_dir))
 
@@ -142,13 +144,14 @@ def high_roi_products_no_duration(spark, sf_dir):
     return high_roi_products(revenue(spark, sf_dir).drop("duration_in_mins"))
 
 
-@register("high_roi_by_room", _roi_sql("room_id"), revenue_with_room=True)
+@register("high_roi_by_room", _roi_sql("room_id"), revenue_with_room=True,
+          rounded=("avg_revenue_per_minute",))
 def high_roi_by_room(spark, sf_dir):
     return high_roi_products(revenue(spark, sf_dir, with_room=True).drop("product_name"))
 
 
 def _rate_sql(with_minutes: bool) -> str:
-    rate = ("price / CAST(NULLIF(duration_in_mins, 0) AS DOUBLE)" if with_minutes else "price")
+    rate = ("CAST(price AS DOUBLE) / NULLIF(duration_in_mins, 0)" if with_minutes else "price")
     return f"""
 SELECT product_name, product_type, {money_total_sql('price')} AS total_revenue,
        {money_mean_sql('rate')} AS avg_rev_per_min
@@ -157,7 +160,7 @@ WHERE product_name IS NOT NULL AND product_type IS NOT NULL
 GROUP BY product_name, product_type"""
 
 
-@register("product_revenue_rate", _rate_sql(True))
+@register("product_revenue_rate", _rate_sql(True), rounded=("avg_rev_per_min",))
 def product_revenue_rate_q(spark, sf_dir):
     # Minutes of each sale under the name this operator reads.
     r = revenue(spark, sf_dir).withColumnRenamed("duration_in_mins", "booking_minutes")
@@ -186,25 +189,80 @@ def _kpi_sql() -> str:
         f"{money_total_sql(m)} AS measure_total FROM ({sql}) t" for name, m, sql in parts)
 
 
-@register("summary_kpis", _kpi_sql())
+@register("summary_kpis", _kpi_sql(), rounded=("measure_total",), digits=2)
 def summary_kpis_q(spark, sf_dir):
     return summary_kpis(summary(bookings(spark, sf_dir), revenue(spark, sf_dir)))
 
 
-@register("records_json", _top_tenants_sql("calculated_price"))
+_RECORDS = [
+    ("bookings_monthly", _monthly_bookings_sql(["room_id", "property_id"])),
+    ("revenue_monthly", _monthly_revenue_sql(month_sql("created_at"))),
+    ("top_tenants", _top_tenants_sql("calculated_price")),
+    ("top_products", _top_products_sql(["product_name", "product_type"])),
+]
+# Columns of the records in one table: a row per record, a filler where it has no value.
+_RECORD_COLUMNS = [
+    ("month", "timestamp_ntz", "TIMESTAMP"), ("room_id", "bigint", "BIGINT"), ("property_id", "int", "INTEGER"),
+    ("enterprise_name", "string", "VARCHAR"), ("product_name", "string", "VARCHAR"),
+    ("product_type", "string", "VARCHAR"), ("bookings_count", "bigint", "BIGINT"),
+    ("booking_count", "bigint", "BIGINT"), ("count", "bigint", "BIGINT"), ("avg_revenue", "double", "DOUBLE"),
+    ("total_revenue", "double", "DOUBLE")]
+
+
+_FILLERS = {"VARCHAR": "'-'", "TIMESTAMP": "TIMESTAMP '1970-01-01 00:00:00'"}
+
+
+def _records_sql() -> str:
+    blank = ", ".join(f'CAST(NULL AS {t}) AS "{c}"' for c, _, t in _RECORD_COLUMNS)
+    parts = [f"SELECT CAST(NULL AS VARCHAR) AS table_name, {blank} WHERE false"]
+    parts += [f"SELECT '{name}' AS table_name, * FROM ({sql}) t" for name, sql in _RECORDS]
+    filled = ", ".join(f'COALESCE("{c}", {_FILLERS.get(t, "-1")}) AS "{c}"' for c, _, t in _RECORD_COLUMNS)
+    return f"SELECT table_name, {filled} FROM ({' UNION ALL BY NAME '.join(parts)}) u"
+
+
+@register("records_json", _records_sql())
 def records_json_q(spark, sf_dir):
-    # records sink, checked after the round trip back to columns
-    table = top_tenants(bookings(spark, sf_dir))
-    return records_from_json(records_json(table), table.schema)
+    # Records sink: the summary tables as JSON, checked after the round trip back to columns.
+    from pyspark.sql import functions as F
+
+    tables = summary(bookings(spark, sf_dir), revenue(spark, sf_dir))
+    schema = ", ".join(f"`{c}` {t}" for c, t, _ in _RECORD_COLUMNS)
+    out = None
+    for name, _ in _RECORDS:
+        back = records_from_json(records_json(tables[name]), tables[name].schema)
+        have = set(back.columns)
+        back = back.select(F.lit(name).alias("table_name"), *[
+            (F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t, _ in _RECORD_COLUMNS])
+        out = back if out is None else out.unionByName(back)
+    filler = {"string": F.lit("-"), "timestamp_ntz": F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")}
+    return out.select("table_name", *[
+        F.coalesce(c, filler.get(t, F.lit(-1).cast(t))).alias(c) for c, t, _ in _RECORD_COLUMNS])
+
+
+# --- loading (S1, S2): files with padded headers, read by the loader ---------
+
+def _written(spark, df, name: str) -> str:
+    """``df`` as a Parquet folder with blanks around its headers."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/load-{name}-{uuid.uuid4().hex}"
+    df.toDF(*[f" {c}  " for c in df.columns]).write.parquet(path)
+    return path
+
+
+def _as_double(table: str, price: str) -> str:
+    return f"SELECT * REPLACE (CAST({price} AS DOUBLE) AS {price}) FROM {table}"
+
 
+def _loaded(spark, sf_dir):
+    b, r = bookings(spark, sf_dir), revenue(spark, sf_dir)
+    return load_data(spark, _written(spark, b.withColumn("calculated_price", b["calculated_price"].cast("double")), "b"),
+                     _written(spark, r.withColumn("price", r["price"].cast("double")), "r"))
 
-# --- loading (S1, S2): the two input tables, headers stripped ----------------
 
-@register("load_bookings", "SELECT * FROM bookings")
+@register("load_bookings", _as_double("bookings", "calculated_price"))
 def load_bookings(spark, sf_dir):
-    return strip_headers(bookings(spark, sf_dir))
+    return _loaded(spark, sf_dir)[0]
 
 
-@register("load_revenue", "SELECT * FROM revenue")
+@register("load_revenue", _as_double("revenue", "price"))
 def load_revenue(spark, sf_dir):
-    return strip_headers(revenue(spark, sf_dir))
+    return _loaded(spark, sf_dir)[1]

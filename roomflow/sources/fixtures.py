@@ -35,37 +35,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _read_fact(spark: SparkSession, sf_dir: str, cols: list[str]) -> DataFrame:
-    return read_spread(spark, sf_dir, "lineitem", cols)
-
-
-def read_spread(spark: SparkSession, sf_dir: str, name: str, cols: list[str] | None = None,
-                schema: str | None = None) -> DataFrame:
-    """A driver table, pruned to ``cols``.
-
-    A scan gives one task per file split, and a Parquet file splits only at
-    row groups. When that yields fewer tasks than the cluster can run (small
-    single-row-group files, as in the test data), the rows are spread
-    round-robin first (even however skewed the keys) so the joins and
-    partial aggregates run in parallel. Large inputs already have at least
-    that many splits and are left alone: no extra shuffle of the fact table
-    at scale.
-    """
-    if schema is None and name in SCHEMAS:
-        df = _read(spark, sf_dir, name)
-    else:
-        reader = spark.read.schema(schema) if schema else spark.read
-        df = reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if cols:
-        df = df.select(*cols)
-    try:
-        target = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  (sessions without RDD access: keep the scan as is)
-        return df
-    if splits < target:
-        df = df.repartition(target)
-    return df
+def read_table(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
+    """A driver table with a declared schema (which also prunes its columns)."""
+    return spark.read.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _add_minutes(ts: Column, minutes: Column) -> Column:
@@ -77,7 +49,7 @@ def _duration(l_orderkey: Column, l_quantity: Column) -> Column:
 
 
 def bookings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _read_fact(spark, sf_dir, [
+    li = _read(spark, sf_dir, "lineitem").select(*[
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_shipdate"])
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -103,7 +75,8 @@ def bookings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         dur.alias("duration_in_mins"),
         F.col("l_partkey"),
         F.when(F.col("l_partkey") % 97 == 0, F.lit(None).cast("double"))
-         .otherwise(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("calculated_price"),
+         .otherwise(F.col("l_extendedprice") * (1 - F.col("l_discount")))
+         .cast("decimal(18,4)").alias("calculated_price"),
     )
     return staged.select(
         "room_id", "property_id", "enterprise_name", "product_name", "product_type",
@@ -116,7 +89,7 @@ def bookings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def revenue_view(spark: SparkSession, sf_dir: str, with_room: bool = False) -> DataFrame:
     """Sales table; ``with_room`` adds the supplier key as ``room_id`` (variant)."""
-    li = _read_fact(spark, sf_dir, [
+    li = _read(spark, sf_dir, "lineitem").select(*[
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_shipdate"])
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
@@ -130,7 +103,7 @@ def revenue_view(spark: SparkSession, sf_dir: str, with_room: bool = False) -> D
         F.col("p_type").alias("product_type"),
         F.when(F.col("l_partkey") % 97 == 0, F.lit(None).cast("double"))
          .otherwise(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")))
-         .alias("price"),
+         .cast("decimal(18,6)").alias("price"),
         _duration(F.col("l_orderkey"), F.col("l_quantity")).alias("duration_in_mins"),
         *([F.col("l_suppkey").alias("room_id")] if with_room else []),
     )
@@ -159,7 +132,8 @@ bookings AS (
                 ELSE CAST(l.l_quantity AS INTEGER) * 15 END AS duration_in_mins,
            l.l_partkey,
            CASE WHEN l.l_partkey % 97 = 0 THEN NULL
-                ELSE l.l_extendedprice * (1 - l.l_discount) END AS calculated_price
+                ELSE CAST(l.l_extendedprice * (1 - l.l_discount) AS DECIMAL(18,4)) END
+             AS calculated_price
     FROM lineitem l
     JOIN orders o ON l.l_orderkey = o.o_orderkey
     JOIN customer c ON o.o_custkey = c.c_custkey
@@ -175,7 +149,8 @@ revenue AS (
          p.p_name AS product_name,
          p.p_type AS product_type,
          CASE WHEN l.l_partkey % 97 = 0 THEN NULL
-              ELSE l.l_extendedprice * (1 - l.l_discount) * (1 + l.l_tax) END AS price,
+              ELSE CAST(l.l_extendedprice * (1 - l.l_discount) * (1 + l.l_tax) AS DECIMAL(18,6)) END
+           AS price,
          CASE WHEN l.l_orderkey % 50 = 0 THEN 0
               ELSE CAST(l.l_quantity AS INTEGER) * 15 END AS duration_in_mins{room}
   FROM lineitem l
@@ -200,6 +175,8 @@ def with_views(sql: str, *extra_ctes: str, revenue_with_room: bool = False) -> s
         return sql
     head = "WITH " + ",\n".join(c.strip() for c in ctes)
     body = sql.lstrip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return head.replace("WITH", "WITH RECURSIVE", 1) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return head + ",\n" + body[5:]
     return head + "\n" + sql

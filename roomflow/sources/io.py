@@ -19,6 +19,8 @@ from pyspark.sql.types import StructType
 
 from ..functions.columns import strip_headers
 
+JSON_OPTIONS = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+                "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 READERS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".jsonl": "json", ".orc": "orc"}
 SPREADSHEET = {".xlsx", ".xls", ".xlsm"}
 
@@ -60,18 +62,19 @@ def load_data(spark: SparkSession, bookings_path: str, revenue_path: str,
 
 
 def records_json(df: DataFrame, column: str = "json") -> DataFrame:
-    """One JSON object per row (the records form), computed per task."""
-    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(column))
+    """One JSON object per row (the records form), computed per task. Null
+    values keep their key, timestamps their microseconds."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), JSON_OPTIONS).alias(column))
 
 
 def records_from_json(records: DataFrame, schema: StructType, column: str = "json") -> DataFrame:
     """Parse records written by ``records_json`` back into columns."""
-    return records.select(F.from_json(F.col(column), schema).alias("_r")).select("_r.*")
+    return records.select(F.from_json(F.col(column), schema, JSON_OPTIONS).alias("_r")).select("_r.*")
 
 
 def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON-lines files, one per task (never gathered on the driver)."""
-    df.write.mode(mode).json(path)
+    df.write.mode(mode).options(**JSON_OPTIONS).json(path)
 
 
 def write_report(tables: dict[str, DataFrame | None], path: str, mode: str = "overwrite") -> list[str]:

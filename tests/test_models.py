@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from roomflow.operators.forecast import (
     arrays_to_rows,
@@ -192,7 +193,7 @@ def _py_rules(baskets, min_support, min_conf):
 def test_upsell_rules_all_sizes_small_fixture(spark, sf_small):
     from collections import defaultdict
 
-    from roomflow.plans.recommend_plans import UPSELL_CONFIDENCE, UPSELL_SUPPORT
+    from roomflow.plans.recommend_plans import UPSELL_CONFIDENCE, RULE_SUPPORT
     from roomflow.sources.fixtures import bookings_view
 
     b = bookings_view(spark, sf_small)
@@ -202,8 +203,33 @@ def test_upsell_rules_all_sizes_small_fixture(spark, sf_small):
             baskets[r.enterprise_name]
             if r.product_name is not None:
                 baskets[r.enterprise_name].add(r.product_name)
-    want = _py_rules(baskets, UPSELL_SUPPORT, UPSELL_CONFIDENCE)
+    want = _py_rules(baskets, RULE_SUPPORT, UPSELL_CONFIDENCE)
     got = {(r.antecedent, tuple(r.consequents), r.support, r.confidence, r.lift)
-           for r in ml_product_upsell(b, UPSELL_SUPPORT, UPSELL_CONFIDENCE).collect()}
+           for r in ml_product_upsell(b, RULE_SUPPORT, UPSELL_CONFIDENCE).collect()}
     assert max(len(c) for _, c, *_ in want) >= 4          # deeper than the SQL oracle reaches
     assert got == want
+
+
+def test_forecast_ignores_months_without_a_value(spark):
+    from datetime import datetime
+
+    def series(values):
+        return spark.createDataFrame([(datetime(2024, k + 1, 1), v) for k, v in enumerate(values)],
+                                     "ds timestamp_ntz, y double")
+
+    rows = {r.ds: r for r in forecast_series(series([10.0, 20.0, None, 40.0, float("nan")]), periods=1).collect()}
+    assert rows[datetime(2024, 4, 1)].yhat == pytest.approx(39.95, abs=0.01)
+    assert datetime(2024, 3, 1) in rows and datetime(2024, 5, 1) in rows and datetime(2024, 5, 31) in rows
+    assert forecast_series(series([5.0, None, None])).collect() == []  # one month with a value
+    keyed = series([1.0, 2.0, 3.0]).withColumn("k", F.lit("a")).union(series([4.0, 4.0]).withColumn("k", F.lit("b")))
+    assert forecast_series(keyed, ["k"], periods=2).groupBy("k").count().collect() != []
+
+
+def test_equally_used_rooms_are_one_cluster(spark):
+    from roomflow.operators.recommend import ml_underutilized_rooms
+
+    util = spark.createDataFrame([(k, 50.0) for k in range(5)], "room_id long, utilization_pct double")
+    for k in (2, 3):
+        rows = ml_underutilized_rooms(util, n_clusters=k).collect()
+        assert sorted(r.room_id for r in rows) == list(range(5)) and {r.cluster for r in rows} == {0}
+    assert ml_underutilized_rooms(util.limit(0)).collect() == []

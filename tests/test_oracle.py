@@ -1,9 +1,4 @@
-"""Every registered query against its DuckDB oracle on the smallest tables.
-
-``upsell_rules`` is left out here: at this scale frequent itemsets grow past
-size three, beyond what its self-join oracle enumerates; it is checked at
-sf0.01 (tools/oracle_check.py) and against brute force in test_models.py.
-"""
+"""Every registered query against its DuckDB oracle on the smallest tables."""
 
 import os
 
@@ -11,11 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from roomflow.plans import ORACLE, QUERIES
 from tools.oracle_check import TABLES, rows
 
-SKIP = {"upsell_rules"}
 ROWS_ONLY = {"ml_room_clusters_k3"}  # iterative KMeans: no SQL restatement
-NAMES = sorted(n for n in entry.oracle_sql() if n not in SKIP)
+NAMES = sorted(ORACLE)
 
 
 @pytest.fixture(scope="module")
@@ -29,8 +24,8 @@ def con(sf_small):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry_runs(spark):

@@ -150,3 +150,76 @@ def test_streaming_bookings_tables_equal_batch(spark, scratch, sf_small, operato
     got = sorted(map(tuple, spark.read.parquet(out).collect()))
     want = sorted(map(tuple, INCREMENTAL[operator](b).collect()))
     assert got == want
+
+
+def _stored(df, how, scratch):
+    if how == "persisted":
+        return df.persist()
+    if how == "checkpointed":
+        return df.checkpoint()
+    path = os.path.join(scratch, "values")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+@pytest.mark.parametrize("how", ["persisted", "checkpointed", "file"])
+def test_quartiles_and_cut_do_not_depend_on_how_the_input_is_stored(spark, scratch, how, reuse):
+    from roomflow.operators.recommend import two_means_cut
+
+    df = _stored(spark.range(20_000).select(
+        F.lit("x").alias("column"), (F.rand(7) * F.lit(20.0)).alias("value")), how, scratch)
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        got = {r.p: r.q for r in P.exact_quantiles(df, (0.25, 0.5, 0.75)).collect()}
+        want = df.select(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
+        assert [got[p] for p in (0.25, 0.5, 0.75)] == pytest.approx(want, rel=1e-12)
+        x = np.sort(np.array([r.value for r in df.collect()]))
+        s = np.cumsum(x - x.mean())[:-1]
+        n1 = np.arange(1, len(x))
+        assert two_means_cut(df, "value") == pytest.approx(x[np.argmax(s * s / (n1 * (len(x) - n1)))], rel=1e-12)
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+        df.unpersist()
+
+
+def test_std_keeps_small_and_large_values(spark):
+    cases = [[1e-4, 3e-4], [1e9, 1e9 + 1, 1e9 + 2], [1.7e9 + k for k in range(10)], [5.0], [1.7e12 + k for k in range(100)]]
+    for values in cases:
+        (r,) = P.profile_numeric(spark.createDataFrame([(v,) for v in values], "x double")).collect()
+        assert r["count"] == len(values) and r.mean == pytest.approx(np.mean(values), rel=1e-15)
+        assert r.std == (pytest.approx(np.std(values, ddof=1), rel=1e-6) if len(values) > 1 else None)
+
+
+def test_profiles_keep_empty_columns_and_take_empty_tables(spark):
+    df = spark.createDataFrame([(1.0, None, "a", None), (float("nan"), None, None, None)],
+                               "x double, y double, s string, t string")
+    num = {r.column: r for r in P.profile_numeric(df).collect()}
+    assert (num["y"]["count"], num["y"].mean, num["y"].p50) == (0, None, None) and num["x"]["count"] == 1
+    cat = {r.column: r for r in P.profile_categorical(df).collect()}
+    assert (cat["t"]["count"], cat["t"].unique, cat["t"].top, cat["t"].freq) == (0, 0, None, None)
+    assert (cat["s"]["count"], cat["s"].unique, cat["s"].top, cat["s"].freq) == (1, 1, "a", 1)
+    assert {r.column: r.unique for r in P.profile_min_max_unique(df.drop("x")).collect()} == {"y": 0, "s": 1, "t": 0}
+    assert P.profile_datetime(df).collect() == []
+    assert P.profile_numeric(df.select("s")).collect() == [] and P.profile_categorical(df.select("x")).collect() == []
+    assert tuple(P.profile_duplicates(df.limit(0)).first()) == (0, 0, 0)
+    assert tuple(P.profile_duplicates(df.union(df)).first()) == (4, 2, 2)
+
+
+def test_records_keep_nulls_and_microseconds(spark):
+    df = spark.sql("SELECT 1 AS a, CAST(NULL AS INT) AS b, TIMESTAMP_NTZ '2024-01-02 03:04:05.123456' AS t")
+    (text,) = records_json(df).first()
+    assert text == '{"a":1,"b":null,"t":"2024-01-02T03:04:05.123456"}'
+    assert tuple(records_from_json(records_json(df), df.schema).first()) == tuple(df.first())
+
+
+def test_headers_that_differ_by_case_keep_the_known_name(spark):
+    from roomflow.functions.columns import strip_headers
+    from roomflow.operators.monthly import monthly_revenue_summary
+
+    df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-02 03:04:05' AS created_at, 7.0D AS a, 3.0D AS b, 1 AS c").toDF(
+        "created_at", "Price", " price ", "price_1")
+    out = strip_headers(df)
+    assert out.columns == ["created_at", "Price_2", "price", "price_1"]
+    assert monthly_revenue_summary(out).first().total_revenue == 3.0
+    assert strip_headers(df.toDF("a", "B", "b", "B ")).columns == ["a", "B", "b_1", "B_2"]

@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from roomflow.functions.columns import resolve, strip_headers
 from roomflow.operators import report as R
@@ -178,26 +179,25 @@ def test_price_priority_differs_by_table(spark):
     assert top.total_revenue == 10.0
 
 
-def test_exact_sum_matches_python_integers(spark):
-    import math
-    import random
+def test_totals_of_odd_prices(spark):
+    from decimal import Decimal
 
-    from pyspark.sql import functions as F
+    from roomflow.functions.totals import mean, total
+
+    def of(values, kind="double"):
+        df = spark.createDataFrame([(v,) for v in values], f"x {kind}")
+        return tuple(df.agg(total(F.col("x")), mean(F.col("x"))).first())
 
-    from roomflow.functions.exact import exact_sum, millionths
-
-    rnd = random.Random(3)
-    vals = ([rnd.uniform(-1e4, 1e4) for _ in range(300)] + [0.0000005, -0.0000005, 2.5e-7, 1e13, -3e12,
-            123456.789012, 1e19, -7.25e15] + [rnd.uniform(-1, 1) * 10 ** rnd.randrange(0, 14)
-                                               for _ in range(300)])
-    df = spark.createDataFrame([(i % 5, v) for i, v in enumerate(vals)], "g int, x double")
-    units = {}
-    for i, v in enumerate(vals):
-        units.setdefault(i % 5, []).append(math.floor(v * 1e6 + 0.5))
-    got = {r.g: r.s for r in df.groupBy("g").agg(exact_sum(F.col("x")).alias("s")).collect()}
-    assert got == {g: float(sum(u)) / 1e6 for g, u in units.items()}
-    per_row = [int(r.u) for r in df.select(millionths(F.col("x")).alias("u")).collect()]
-    assert per_row == [math.floor(v * 1e6 + 0.5) for v in vals]
+    nan, inf = float("nan"), float("inf")
+    assert of([1.0, nan, 3.0, None]) == (4.0, 2.0)          # NaN is missing, as null
+    assert of([None, nan]) == (0.0, None)
+    assert of([1.0, inf]) == (inf, inf)
+    assert of([4e-7, 4e-7]) == (8e-7, 4e-7)                 # nothing is rounded away
+    assert of([1e-7] * 5)[1] == pytest.approx(1e-7, rel=1e-12)
+    assert of([1.7e12 + k for k in range(100)])[1] == pytest.approx(1.7e12 + 49.5, rel=1e-15)
+    assert of([1e300, 1e300]) == (2e300, 1e300)
+    assert of([Decimal("0.10")] * 30, "decimal(18,4)") == (3.0, 0.1)  # exact in decimals
+    assert of([3, 4, None], "int") == (7.0, 3.5)
 
 
 def test_report_underutilized_equals_operator_and_summary_bundle(bookings, sales):
