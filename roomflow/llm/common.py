@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"  # what separates words: space and the ASCII controls 9 to 13
 
 
+_LOCAL: dict[str, str] = {}  # scratch folder per local application
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``. Where it is
     unset, a local master gets a scratch folder (kept for the session) and any
@@ -24,8 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="roomflow-llm-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="roomflow-llm-")
+        path = _LOCAL[app]
     return path.rstrip("/")
 
 
