@@ -22,7 +22,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 COUNTS = [
     ("hash exch", r"^Arguments: hashpartitioning"),
     ("range exch", r"^Arguments: rangepartitioning"),
-    ("round-robin", r"^Arguments: RoundRobinPartitioning"),
     ("single exch", r"^Arguments: SinglePartition"),
     ("broadcast", r"^\(\d+\) BroadcastExchange"),
     ("BHJ", r"^\(\d+\) BroadcastHashJoin"),
@@ -42,17 +41,17 @@ def main() -> int:
         os.path.abspath(__file__))), "PLANS.md"))
     a = ap.parse_args()
 
-    import __spark_entry__ as entry
+    from roomflow.plans import QUERIES
     from roomflow.session import get_session
 
     spark = get_session("local[8]", shuffle_partitions=16,
                         extra_conf={"spark.driver.memory": "12g"})
     rows = []
-    for name in sorted(entry.queries()):
+    for name in sorted(QUERIES):
         buf = io.StringIO()
         try:
             with contextlib.redirect_stdout(buf):
-                entry.queries()[name](spark, a.sf).explain("formatted")
+                QUERIES[name](spark, a.sf).explain("formatted")
         except Exception as e:  # noqa: BLE001
             rows.append(f"| {name} | planning failed: {type(e).__name__} |")
             continue
@@ -70,11 +69,9 @@ planned before adaptive execution (AQE may still turn a shuffle join into a
 broadcast join or coalesce partitions at runtime). "single exch" marks an
 exchange to one partition; it appears only after a map-side partial step of
 a global aggregate (one row per task) or for inputs bounded by configuration
-or by the number of months (offsets of running totals, the one-series
-forecast), never for data rows. "round-robin" is the spreading of a scan
-that yields fewer splits than cores (single-row-group test files); large
-inputs skip it. Model-based queries start from checkpointed tables, so
-their plans show no parquet scans.
+(offsets of running totals), never for data rows. Model-based queries, exact
+quartiles and loading start from checkpointed or written tables: their jobs run
+while the query is built, so the plans here show only what comes after.
 
 {head}
 {sep}
