@@ -13,7 +13,8 @@ little-endian unsigned 32-bit integers.
 
 Defined results: null text is the empty text, with no ids; a text of any length
 is encoded whole; repeated rows give equal rows; an empty table gives an empty
-table; other columns pass through (:func:`encode`) in their order. Decoding
+table; other columns pass through in their order, but for one that has the name
+of the new column, which it replaces. Decoding
 replaces bytes that are not UTF-8 by U+FFFD; a null binary decodes to the empty
 text; an id outside the vocabulary is an error.
 """
@@ -27,6 +28,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed value: the split pattern of this family of byte-level tokenizers.
@@ -226,6 +228,7 @@ def load(path: str) -> ByteBPE:
 
 def _mapped(df: DataFrame, column: str, name: str, kind: T.DataType, arrow: pa.DataType, make) -> DataFrame:
     """``df`` with ``column`` replaced by ``name``: ``make(values)`` batch by batch."""
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c == column or c != name])
     at = df.columns.index(column)
     schema = T.StructType([T.StructField(name, kind) if k == at else f
                            for k, f in enumerate(df.schema.fields)])

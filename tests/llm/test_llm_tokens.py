@@ -36,6 +36,8 @@ def test_bpe_equals_the_library(spark, sf_small, reference):
         assert r.raw == struct.pack(f"<{len(want)}I", *want)
         assert r.text == reference.decode(want, skip_special_tokens=False) == (r.said or "")
     assert bpe.encode(docs.limit(0), tokenizer_path()).count() == 0
+    clash = bpe.encode(docs.withColumn("ids", F.lit("own")).limit(3), tokenizer_path())
+    assert clash.columns == ["doc_id", "ids", "ids_sha256"] and clash.select("ids").count() == 3
 
 
 def test_both_segment_trees_equal_the_library(reference):
