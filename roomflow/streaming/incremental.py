@@ -2,10 +2,10 @@
 
 The aggregating operators of this library are plain ``groupBy().agg()``
 plans, so they run unchanged on a streaming DataFrame: Structured Streaming
-keeps one state row per group (per month, or month and room), which stays
-small however long the stream runs. Each micro-batch's complete result is
-written with ``foreachBatch`` as an overwrite of one Parquet folder, which
-makes a replayed batch (after a failure) harmless.
+keeps one state row per group (months x rooms x properties). Each
+micro-batch's complete result is written with ``foreachBatch`` into a folder of
+its own epoch, so a reader never meets a half-written table and a replayed
+batch (after a failure) is harmless.
 
 Top-N and sorted outputs are not incremental; compute them from the written
 table.
@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -39,11 +40,20 @@ def read_stream(spark: SparkSession, source_dir: str, schema: StructType,
     return reader.load(source_dir)
 
 
+def read_latest(spark: SparkSession, output_path: str) -> DataFrame:
+    """The table as of the last epoch written under ``output_path``."""
+    epochs = spark.read.parquet(output_path)
+    last = epochs.agg(F.max("epoch")).first()[0]
+    return epochs.where(F.col("epoch") == F.lit(last)).drop("epoch")
+
+
 def start_incremental(spark: SparkSession, source_dir: str, schema: StructType, output_path: str,
                       operator: str | Callable[[DataFrame], DataFrame] = "monthly_revenue",
                       checkpoint_location: str | None = None, available_now: bool = True,
                       processing_time: str | None = None, fmt: str = "parquet") -> StreamingQuery:
-    """Start a stream that keeps ``operator``'s table at ``output_path``.
+    """Start a stream that writes ``operator``'s whole table for every epoch
+    under ``output_path`` (see :func:`read_latest`; old epochs may be deleted).
+    State and output have a row per group: months x rooms x properties.
 
     ``checkpoint_location`` defaults to a folder under the session's reliable
     checkpoint directory. ``available_now`` processes what is there and
@@ -55,8 +65,9 @@ def start_incremental(spark: SparkSession, source_dir: str, schema: StructType,
         name = operator if isinstance(operator, str) else getattr(operator, "__name__", "table")
         checkpoint_location = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}"
 
-    def write_batch(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(output_path)
+    def write_batch(batch: DataFrame, epoch: int) -> None:
+        # a folder of its own per epoch: readers keep the last whole one, a re-run epoch rewrites its own
+        batch.write.mode("overwrite").parquet(f"{output_path.rstrip('/')}/epoch={epoch}")
 
     writer = (table.writeStream.outputMode("complete").foreachBatch(write_batch)
               .option("checkpointLocation", checkpoint_location))

@@ -94,7 +94,7 @@ def test_write_report_skips_missing(spark, scratch, sf_small):
 
 def test_streaming_monthly_revenue_equals_batch(spark, scratch, sf_small):
     from roomflow.operators.monthly import monthly_revenue_summary
-    from roomflow.streaming.incremental import start_incremental
+    from roomflow.streaming.incremental import read_latest, start_incremental
 
     r = revenue_view(spark, sf_small)
     src = os.path.join(scratch, "sales")
@@ -104,7 +104,7 @@ def test_streaming_monthly_revenue_equals_batch(spark, scratch, sf_small):
     q = start_incremental(spark, src, r.schema, out, "monthly_revenue",
                           checkpoint_location=os.path.join(scratch, "ckpt"))
     q.awaitTermination(120)
-    got = sorted(map(tuple, spark.read.parquet(out).collect()))
+    got = sorted(map(tuple, read_latest(spark, out).collect()))
     want = sorted(map(tuple, monthly_revenue_summary(r).collect()))
     assert got == want
 
@@ -137,7 +137,7 @@ def test_load_table_formats(spark, scratch, sf_small, fmt):
 
 @pytest.mark.parametrize("operator", ["monthly_bookings", "utilization"])
 def test_streaming_bookings_tables_equal_batch(spark, scratch, sf_small, operator):
-    from roomflow.streaming.incremental import INCREMENTAL, start_incremental
+    from roomflow.streaming.incremental import INCREMENTAL, read_latest, start_incremental
 
     b = bookings_view(spark, sf_small)
     src = os.path.join(scratch, "bookings")
@@ -147,7 +147,7 @@ def test_streaming_bookings_tables_equal_batch(spark, scratch, sf_small, operato
     q = start_incremental(spark, src, b.schema, out, operator,
                           checkpoint_location=os.path.join(scratch, "ckpt-" + operator))
     q.awaitTermination(180)
-    got = sorted(map(tuple, spark.read.parquet(out).collect()))
+    got = sorted(map(tuple, read_latest(spark, out).collect()))
     want = sorted(map(tuple, INCREMENTAL[operator](b).collect()))
     assert got == want
 
