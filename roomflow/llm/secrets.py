@@ -8,8 +8,9 @@
 3. Postings are intersected per row key and clause (``bit_or`` of the trigrams
    found, with map-side partials); keys with all trigrams of a clause are the
    rule's candidates.
-4. Only candidates are verified by the expression itself. Rules without a
-   mandatory trigram are run over every text.
+4. Only candidates are verified by the expression itself (a shuffled hash join
+   at every size, built from the keys). Rules without a mandatory trigram are
+   run over every text.
 
 A row key is a content key: hashes of id and text (96 bits) and the length; rows
 that share it have the same id, text and hence the same spans.
@@ -145,7 +146,7 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "
         F.when(F.col("rules").bitwiseAND(1 << k) != 0, rule_spans(F.col("text"), rules[k], k))
         .otherwise(F.array().cast(SPANS)) for k in indexed]))
     hits = materialize(
-        keyed.join(found, KEY).select(*KEY, verified.alias("verified")).filter(F.size("verified") > 0)
+        keyed.join(found.hint("shuffle_hash"), KEY).select(*KEY, verified.alias("verified")).filter(F.size("verified") > 0)
         .dropDuplicates(KEY), "secret-hits")
     return rows.join(hits, KEY, "left").select(*KEY, "doc_id", F.array_sort(F.concat(
         "scanned", F.coalesce("verified", F.array().cast(SPANS)))).alias("spans"))
@@ -184,7 +185,7 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id
     found = materialize(found.select(*KEY, "spans").dropDuplicates(KEY), "secret-spans")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        *_key(F.col(id_col), text_or_empty(text_col)))
-    rows = rows.join(found, KEY, "left")
+    rows = rows.join(found.hint("shuffle_hash"), KEY, "left")
     text = masked(F.col("row")[text_col], F.col("spans"), mask)
     text = F.when(F.col("spans").isNull(), F.col("row")[text_col]).otherwise(text)
     changed = rows.select("row", "spans", text.alias("text"))

@@ -200,4 +200,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rank = F.struct(F.col("id").isNull().alias("null_id"), F.col("id"), F.col("tie"))
     classes = link_fingerprints(rows.select("fp", rank.alias("rank")), max_distance)
     keep = classes.select(F.col("component.tie").alias("keep_tie")).distinct()
-    return rows.join(keep, rows["tie"] == keep["keep_tie"], "left_semi").select("row.*")
+    # The same plan at every size: keys are hashed per partition, texts are neither sorted nor spilled.
+    return rows.join(keep.hint("shuffle_hash"), rows["tie"] == keep["keep_tie"], "left_semi").select("row.*")
