@@ -1,11 +1,11 @@
 """Model-based recommendations: low-use room clusters and upsell rules.
 
-Room clusters: for two clusters of one-dimensional values the best split
-(least within-cluster squared error, the k-means objective) is found exactly:
-distinct values are ordered with distributed running totals of count, sum
-and sum of squares, every cut is scored, and a global ``min_by`` picks the
-best. Lloyd iterations (Spark ML KMeans) can stop in a worse local optimum,
-so KMeans is used only for k > 2 or on request. Upsell rules mine frequent
+Room clusters: one-dimensional values are cut where the within-cluster squared
+error (the k-means objective) is least. Distinct values are ordered with
+distributed running totals of count and sum, and one aggregate scores every
+place for a cut: the optimum for two clusters, and for more the cuts are placed
+in turn until none moves. Lloyd iterations (Spark ML KMeans, on request) depend
+on a random start and can stop in a worse local optimum. Upsell rules mine frequent
 product sets level by level in vertical (bitmap) form with joins and
 aggregates; Spark ML's FPGrowth is the alternative. Training inputs are small derived tables (one row per room, one
 basket per tenant), checkpointed to the reliable checkpoint folder so a lost
@@ -43,24 +43,64 @@ def room_average_utilization(util_df: DataFrame) -> DataFrame:
     return rooms.groupBy("room_id").agg(mean(F.col("utilization_pct")).alias("avg_utilization"))
 
 
-def two_means_cut(values: DataFrame, x: str = "_x") -> float | None:
-    """Largest value of the lower cluster in the optimal two-means split of
-    column ``x`` (exact; ties stay together), None with fewer than two values.
+def k_means_cuts(values: DataFrame, k: int, x: str = "_x", max_rounds: int = 20) -> list[float]:
+    """Ascending cuts of column ``x`` into at most ``k`` clusters: the largest
+    value of each cluster but the last (ties stay together). Fewer distinct
+    values than clusters give a cut after each value but the last.
 
-    With values taken from their mean, the squares between the two clusters of
-    a cut are ``s1^2 * n / (n1 * n2)`` for the lower cluster's sum ``s1``, so
-    the best cut needs running counts and sums only and nothing cancels.
+    The best cut of a range needs running counts and sums only: with values
+    taken from their mean, ``(s1 * n2 - s2 * n1)^2 / (n1 * n2 * (n1 + n2))`` is
+    what a cut takes off the range's squared error, and nothing cancels. Cuts
+    are added one by one where they take off most, then each is placed anew,
+    exactly, between its neighbours until a round moves none (at most
+    ``max_rounds``; ties go to the smallest value). One cut is the optimum; for
+    more, no single cut can be moved to a better place. The result depends on
+    the values only. A cut with its running sums is all that reaches the driver.
     """
     v = F.col(x)
     per_value = values.groupBy(x).agg(F.count(F.lit(1)).alias("c"))
     tot = values.agg(F.count(v).cast("double").alias("n"), F.avg(v).alias("mean")).first()
-    if not tot["n"]:
-        return None
-    run = running_totals(per_value, [x], {"n1": F.col("c"), "s1": (v - F.lit(tot["mean"])) * F.col("c")})
-    n1, n2 = F.col("n1").cast("double"), F.lit(tot["n"]) - F.col("n1").cast("double")
-    between = F.col("s1") * F.col("s1") / (n1 * n2)
-    best = run.where(n2 > 0).agg(F.min_by(v, F.struct((-between).alias("b"), v.alias("v"))).alias("cut")).first()
-    return best["cut"]
+    if not tot["n"] or k < 2:
+        return []
+    run = running_totals(per_value, [x], {"n": F.col("c"), "s": (v - F.lit(tot["mean"])) * F.col("c")})
+    run = run.select(v.alias("v"), F.col("n").cast("double").alias("n"), "s")
+    if k > 2:
+        run = reliable(run)  # read once per placement
+
+    def best(ranges: list[tuple]) -> list:
+        """Per range of two bounds the best cut inside it: (gain, v, n, s) or None."""
+        aggs = []
+        for r, (left, right) in enumerate(ranges):
+            n1, s1 = F.col("n") - F.lit(left[1]), F.col("s") - F.lit(left[2])
+            n2, s2 = F.lit(right[1]) - F.col("n"), F.lit(right[2]) - F.col("s")
+            gain = F.pow(s1 * n2 - s2 * n1, F.lit(2.0)) / (n1 * n2 * (n1 + n2))
+            inside = (F.col("n") > F.lit(left[1])) & (F.col("n") < F.lit(right[1]))
+            aggs.append(F.max(F.when(inside, F.struct(
+                gain.alias("gain"), (-F.col("v")).alias("minus_v"), "n", "s"))).alias(f"r{r}"))
+        return [b and (b["gain"], -b["minus_v"], b["n"], b["s"]) for b in run.agg(*aggs).first()]
+
+    # a bound is (value, running count, running sum); the sum of all centred values is zero
+    bounds = [(None, 0.0, 0.0), (None, tot["n"], 0.0)]
+    while len(bounds) <= k:
+        found = [(b[0], -r, b[1:]) for r, b in enumerate(best(list(zip(bounds, bounds[1:])))) if b]
+        if not found:
+            break
+        _, r, cut = max(found, key=lambda f: f[:2])
+        bounds.insert(1 - r, cut)
+    for _ in range(max_rounds if len(bounds) > 3 else 0):
+        before = list(bounds)
+        for i in range(1, len(bounds) - 1):
+            bounds[i] = best([(bounds[i - 1], bounds[i + 1])])[0][1:]
+        if bounds == before:
+            break
+    return [b[0] for b in bounds[1:-1]]
+
+
+def two_means_cut(values: DataFrame, x: str = "_x") -> float | None:
+    """Largest value of the lower cluster in the optimal two-means split of
+    column ``x`` (exact; ties stay together), None with fewer than two values."""
+    cuts = k_means_cuts(values, 2, x)
+    return cuts[0] if cuts else None
 
 
 def ml_underutilized_rooms(util_df: DataFrame, n_clusters: int = 2, seed: int = 42,
@@ -68,9 +108,10 @@ def ml_underutilized_rooms(util_df: DataFrame, n_clusters: int = 2, seed: int =
     """Rooms in the cluster with the lowest mean utilization.
 
     Clusters are fitted on the per-room average (NULL as 0 for fitting only);
-    ``method='auto'`` is the exact split for two clusters and Spark ML KMeans
-    (``seed``, ``max_iter``) otherwise. KMeans labels are renumbered 0..k-1
-    by ascending centre, so labels do not depend on the random start. Fewer
+    ``method='auto'`` places the cuts between clusters (:func:`k_means_cuts`, at
+    most ``max_iter`` rounds; 'exact' is the same for two clusters, where that is
+    the optimum) and 'kmeans' is Spark ML's (``seed``, ``max_iter``). Labels are
+    0..k-1 by ascending value, so they do not depend on a random start. Fewer
     distinct averages than clusters give as many clusters as there are values.
     Columns: room_id, avg_utilization, cluster, ml_underutilized. Without
     room_id or utilization_pct the input comes back unchanged.
@@ -83,13 +124,13 @@ def ml_underutilized_rooms(util_df: DataFrame, n_clusters: int = 2, seed: int =
         raise ValueError("method must be 'auto', 'exact' or 'kmeans'")
     rooms = reliable(room_average_utilization(util_df)
                       .withColumn("_x", F.coalesce(F.col("avg_utilization"), F.lit(0.0))))
-    if n_clusters == 2 and method in ("auto", "exact"):
-        cut = two_means_cut(rooms)
-        lower = F.lit(True) if cut is None else F.col("_x") <= F.lit(cut)  # one value: one cluster
-        labelled = rooms.select("room_id", "avg_utilization", F.when(lower, 0).otherwise(1).alias("cluster"))
-        return _lowest_cluster(labelled)
-    if method == "exact":
+    if method == "exact" and n_clusters != 2:
         raise ValueError("the exact method is for two clusters")
+    if method != "kmeans":
+        above = [F.when(F.col("_x") > F.lit(c), 1).otherwise(0)
+                 for c in k_means_cuts(rooms, n_clusters, max_rounds=max_iter)]
+        return _lowest_cluster(rooms.select(
+            "room_id", "avg_utilization", reduce(lambda p, q: p + q, above, F.lit(0)).alias("cluster")))
     features = VectorAssembler(inputCols=["_x"], outputCol="_features").transform(rooms)
     model = KMeans(k=n_clusters, seed=seed, maxIter=max_iter, featuresCol="_features",
                    predictionCol="_raw").fit(features)

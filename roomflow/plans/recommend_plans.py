@@ -1,7 +1,7 @@
 """Recommendation queries: low-use room clusters (ML1) and upsell rules (ML2).
 
-Oracles are restatements in plain SQL: the two-means cut by one ordered
-window over the rooms, and itemsets of every size by recursion over lists of
+Oracles are restatements in plain SQL: the best cuts by one ordered window over
+the rooms (and every pair of places for two cuts), and itemsets of every size by recursion over lists of
 tenants (checking only, never on the Spark side).
 """
 
@@ -19,27 +19,33 @@ RULE_SUPPORT = 0.15  # of rules of every size: at 0.05 these baskets give ~0.5 M
 UPSELL_CONFIDENCE = 0.3
 
 
-_TWO_MEANS_SQL = f"""
+_RUNNING_SQL = f"""
 WITH util AS ({_util_sql(['room_id'])}),
 room AS (SELECT room_id, AVG(utilization_pct) AS avg_utilization
          FROM util WHERE room_id IS NOT NULL GROUP BY room_id),
 pts AS (SELECT room_id, avg_utilization, COALESCE(avg_utilization, 0.0) AS v FROM room),
 tot AS (SELECT AVG(v) AS mean, COUNT(*) AS n FROM pts),
-run AS (SELECT v, n, COUNT(*) OVER w AS n1, SUM(v - mean) OVER w AS s1
-        FROM pts, tot WINDOW w AS (ORDER BY v RANGE UNBOUNDED PRECEDING)),
-best AS (SELECT v AS cut FROM run WHERE n1 < n ORDER BY s1 * s1 / (n1 * (n - n1)) DESC, v ASC LIMIT 1)
+run AS (SELECT DISTINCT v, n, COUNT(*) OVER w AS n1, SUM(v - mean) OVER w AS s1
+        FROM pts, tot WINDOW w AS (ORDER BY v RANGE UNBOUNDED PRECEDING)),"""
+_LOWEST_SQL = """
 SELECT room_id, avg_utilization, 0 AS cluster, TRUE AS ml_underutilized
 FROM pts WHERE v <= (SELECT cut FROM best)"""
 
 
-@register("ml_underutilized_rooms", _TWO_MEANS_SQL, rounded=("avg_utilization",))
+@register("ml_underutilized_rooms", f"""{_RUNNING_SQL}
+best AS (SELECT v AS cut FROM run WHERE n1 < n ORDER BY s1 * s1 / (n1 * (n - n1)) DESC, v ASC LIMIT 1){_LOWEST_SQL}""",
+          rounded=("avg_utilization",))
 def ml_underutilized_rooms_q(spark, sf_dir):
     return ml_underutilized_rooms(utilization_metrics(bookings(spark, sf_dir)), n_clusters=2)
 
 
-@register("ml_room_clusters_k3")
+# The optimum over every pair of cuts (checking only: the Spark side places cuts in turn).
+@register("ml_room_clusters_k3", f"""{_RUNNING_SQL}
+best AS (SELECT a.v AS cut FROM run a JOIN run b ON a.v < b.v WHERE b.n1 < b.n
+         ORDER BY a.s1 * a.s1 / a.n1 + (b.s1 - a.s1) * (b.s1 - a.s1) / (b.n1 - a.n1)
+                  + b.s1 * b.s1 / (b.n - b.n1) DESC, a.v ASC, b.v ASC LIMIT 1){_LOWEST_SQL}""",
+          rounded=("avg_utilization",))
 def ml_room_clusters_k3(spark, sf_dir):
-    # Spark ML KMeans (iterative, no SQL restatement): lowest of three clusters
     return ml_underutilized_rooms(utilization_metrics(bookings(spark, sf_dir)), n_clusters=3)
 
 

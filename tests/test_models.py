@@ -97,12 +97,47 @@ def test_two_means_cut_is_optimal(spark):
         assert cut == pytest.approx(u[int(np.argmin(sse))])
 
 
-def test_kmeans_path_for_three_clusters(spark):
+def _sse(vals, cuts):
+    parts = np.split(np.sort(vals), np.searchsorted(np.sort(vals), cuts, side="right"))
+    return sum(((p - p.mean()) ** 2).sum() for p in parts)
+
+
+def test_cuts_into_more_clusters(spark):
+    from roomflow.operators.recommend import k_means_cuts
+
+    rng = np.random.default_rng(11)
+    for k in (3, 4):
+        vals = np.round(np.concatenate([rng.gamma(2, 5, 30), rng.normal(40, 8, 20), rng.normal(90, 2, 12)]), 1)
+        cuts = k_means_cuts(spark.createDataFrame([(float(v),) for v in vals], "_x double"), k)
+        assert len(cuts) == k - 1 and cuts == sorted(cuts)
+        u = np.unique(vals)
+        for i in range(k - 1):  # no cut has a better place between its neighbours
+            low, high = ([-np.inf] + cuts)[i], (cuts + [u[-1]])[i + 1]
+            moved = [_sse(vals, sorted(cuts[:i] + [c] + cuts[i + 1:])) for c in u if low < c < high]
+            assert _sse(vals, cuts) <= min(moved) + 1e-9
+        if k == 3:
+            assert _sse(vals, cuts) == pytest.approx(min(
+                _sse(vals, [x, y]) for n, x in enumerate(u[:-1]) for y in u[n + 1:-1]))
+
+
+def test_cuts_of_few_values(spark):
+    from roomflow.operators.recommend import k_means_cuts
+
+    def cuts(values, k):
+        return k_means_cuts(spark.createDataFrame([(v,) for v in values], "_x double"), k)
+
+    assert cuts([], 3) == [] and cuts([5.0, 5.0], 3) == [] and cuts([1.0, 2.0], 1) == []
+    assert cuts([1.0, 2.0, 2.0], 4) == [1.0] and cuts([1.0, 2.0, 9.0, 9.0], 3) == [1.0, 2.0]
+    assert cuts([0.0, 1.0, 2.0], 2) == [0.0]  # a tie goes to the smallest value
+
+
+def test_three_clusters(spark):
     rows = [(i, datetime(2024, 1, 1), v) for i, v in
             enumerate([1.0, 2.0, 1.5, 20.0, 22.0, 21.0, 60.0, 62.0, 61.0])]
     util = spark.createDataFrame(rows, "room_id long, month timestamp_ntz, utilization_pct double")
-    out = ml_underutilized_rooms(util, n_clusters=3).orderBy("room_id").collect()
-    assert [r.room_id for r in out] == [0, 1, 2] and {r.cluster for r in out} == {0}
+    for method in ("auto", "kmeans"):
+        out = ml_underutilized_rooms(util, n_clusters=3, method=method).orderBy("room_id").collect()
+        assert [r.room_id for r in out] == [0, 1, 2] and {r.cluster for r in out} == {0}
     with pytest.raises(ValueError):
         ml_underutilized_rooms(util, n_clusters=3, method="exact")
 
