@@ -18,16 +18,20 @@ from pyspark.sql import functions as F
 from ..session import reliable
 
 
+def ranged_rows(df: DataFrame, order_by: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned on ``order_by`` and checkpointed, with the range in ``_pid``."""
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return reliable(df.repartitionByRange(parts, *order_by).withColumn("_pid", F.spark_partition_id()))
+
+
 def running_totals(df: DataFrame, order_by: Sequence[str], sums: Mapping[str, Column],
                    group_by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Add inclusive running totals ``sums`` (name -> expression) in the order
     of ``order_by`` (which should be unique within a group), restarting per
-    ``group_by`` group."""
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ``group_by`` group. Rows from :func:`ranged_rows` (ranged on the groups, then
+    the order) are taken as they are."""
     groups = list(group_by)
-    ranged = reliable(df.repartitionByRange(parts, *groups, *order_by)
-                      .withColumn("_pid", F.spark_partition_id()))
+    ranged = df if "_pid" in df.columns else ranged_rows(df, [*groups, *order_by], partitions)
     local = Window.partitionBy("_pid", *groups).orderBy(*order_by).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     ranged = ranged.withColumns({f"_loc_{k}": F.sum(e).over(local) for k, e in sums.items()})

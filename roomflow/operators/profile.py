@@ -6,12 +6,13 @@ costs one shuffle rather than one per column:
 
 * shape, null counts, min / max / distinct: one global aggregate each
   (map-side partials, one row per task to the final merge);
-* exact quartiles with linear interpolation (pandas ``describe``): values are
-  counted per (column, value), then running counts over the value order come
-  from ``functions.running`` (range partitions, a window inside each, and a
-  broadcast columns x partitions offset table). Ranks are read off with an
-  equi-join on the column name. No column or value group ever funnels
-  through one task;
+* numeric and datetime summaries: values are counted per (column, value) in the
+  only scan of the table, written once in range partitions; moments are weighted
+  aggregates of the counts, and exact quartiles with linear interpolation (pandas
+  ``describe``) come from running counts over the value order
+  (``functions.running``). Ranks are read off with an equi-join on the column
+  name. No column or value group ever funnels through one task. The approximate
+  form is one aggregate without writing;
 * categorical top value: counts per (column, value), then the most frequent
   value per column with ties to the smallest value.
 
@@ -36,7 +37,7 @@ from pyspark.sql.types import (
 )
 
 from ..functions import columns as C
-from ..functions.running import running_totals
+from ..functions.running import ranged_rows, running_totals
 from ..functions.timecols import epoch_micros
 from ..functions.totals import known
 
@@ -84,18 +85,26 @@ def profile_columns(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(entries))
 
 
+def _value_counts(long_df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``column, value, c`` per distinct value (0 for null), ranged and written once."""
+    counts = long_df.groupBy("column", "value").agg(F.count("value").alias("c"))
+    return ranged_rows(counts, ["column", "value"], partitions)
+
+
 def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = QUARTILES,
                     partitions: int | None = None) -> DataFrame:
     """Exact quantiles of ``value`` per ``column`` (linear interpolation).
 
-    ``long_df``: (column string, value double), nulls already removed.
+    ``long_df``: (column string, value double); nulls are left out.
     Returns (column, p, q).
     """
-    counts = long_df.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
-    cum = running_totals(counts, ["value"], {"after": F.col("c")}, group_by=["column"],
-                         partitions=partitions)
+    return _quantiles(_value_counts(long_df, partitions), probs)
+
+
+def _quantiles(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
+    cum = running_totals(counts, ["value"], {"after": F.col("c")}, group_by=["column"])
     cum = cum.select("column", "value", (F.col("after") - F.col("c")).alias("before"), "after")
-    n = counts.groupBy("column").agg(F.sum("c").alias("n"))
+    n = counts.groupBy("column").agg(F.sum("c").alias("n")).where("n > 0")
     targets = n.select("column", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"), "n")
     h = (F.col("n") - 1).cast("double") * F.col("p")
     targets = targets.select("column", "p", h.alias("h"),
@@ -112,21 +121,18 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = QUARTILES,
     return picked.select("column", "p", q.alias("q"))
 
 
-def _with_quartiles(stats: DataFrame, long_df: DataFrame, approx: bool = False,
-                    accuracy: int = 10000) -> DataFrame:
-    if approx:
-        # mergeable quantile sketch per column: bounded memory, one shuffle
-        q = F.percentile_approx("value", [float(p) for p in QUARTILES], accuracy)
-        wide = long_df.groupBy("column").agg(q.alias("_q")).select(
-            "column", *[F.col("_q")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(QUARTILES)])
-    else:
-        qs = exact_quantiles(long_df.where(F.col("value").isNotNull()))
-        wide = qs.groupBy("column").agg(*[
-            F.max(F.when(F.col("p") == F.lit(p), F.col("q"))).alias(f"p{int(p * 100)}")
-            for p in QUARTILES])
+def _with_quartiles(stats: DataFrame, counts: DataFrame) -> DataFrame:
+    wide = _quantiles(counts, QUARTILES).groupBy("column").agg(*[
+        F.max(F.when(F.col("p") == F.lit(p), F.col("q"))).alias(f"p{int(p * 100)}") for p in QUARTILES])
     return stats.join(wide, "column", "left")  # one row per column on each side
 
 
+def _sketched(value: Column, accuracy: int) -> list[Column]:
+    # mergeable quantile sketch per column: bounded memory
+    q = F.percentile_approx(value, [float(p) for p in QUARTILES], accuracy)
+    return [F.get(q, F.lit(i)).alias(f"p{int(p * 100)}") for i, p in enumerate(QUARTILES)]
+
+
 def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False,
                     accuracy: int = 10000) -> DataFrame:
     """count, mean, std (sample), min, p25, p50, p75, max per numeric column.
@@ -140,10 +146,22 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, approx:
         return _empty(df, "column string, count bigint, mean double, std double, min double, p25 double, "
                           "p50 double, p75 double, max double")
     long_df = _long(df, names, lambda n: known(C.col(n)).cast("double"))
-    stats = long_df.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    out = _with_quartiles(stats, long_df, approx, accuracy)
+    v, c = F.col("value"), F.col("c")
+    ends = [F.min(v).alias("min"), F.max(v).alias("max")]
+    if approx:
+        out = long_df.groupBy("column").agg(
+            F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), *ends,
+            *_sketched(v, accuracy))
+    else:
+        counts = _value_counts(long_df)
+        n = F.sum("c")
+        means = counts.groupBy("column").agg(
+            n.alias("count"), F.when(n > 0, F.sum(v * c) / n).alias("mean"), *ends)
+        # squares about the mean, so that nothing cancels; means has one row per column
+        squares = counts.join(means.select("column", "count", "mean"), "column").groupBy("column").agg(
+            F.when(F.first("count") > 1, F.sqrt(F.sum(c * (v - F.col("mean")) * (v - F.col("mean")))
+                                                / (F.first("count") - 1))).alias("std"))
+        out = _with_quartiles(means.join(squares, "column"), counts)
     return out.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -166,13 +184,18 @@ def profile_datetime(df: DataFrame, columns: Sequence[str] | None = None, approx
             f"{c} timestamp_ntz" for c in ("mean", "min", "p25", "p50", "p75", "max")))
     long_df = _long(df, names, lambda n: _micros(C.col(n)).cast("double"))
     v = F.col("value")
-    stats = long_df.groupBy("column").agg(
-        F.count(v).alias("count"), F.sum(v.cast("decimal(28,0)")).alias("_s"),
-        F.min(v).alias("min"), F.max(v).alias("max"))
+    ends = [F.min(v).alias("min"), F.max(v).alias("max")]
+    micros = v.cast("decimal(19,0)")
+    if approx:
+        out = long_df.groupBy("column").agg(F.count(v).alias("count"), F.sum(micros.cast("decimal(28,0)")).alias("_s"),
+                                            *ends, *_sketched(v, accuracy))
+    else:
+        counts = _value_counts(long_df)
+        out = _with_quartiles(counts.groupBy("column").agg(
+            F.sum("c").alias("count"), F.sum(micros * F.col("c").cast("decimal(18,0)")).alias("_s"), *ends), counts)
     # the nearest whole microsecond, in exact integers
-    stats = stats.withColumn("mean", F.expr(
+    out = out.withColumn("mean", F.expr(
         "CASE WHEN count > 0 THEN (2 * _s + count) div (2 * count) END").cast("double")).drop("_s")
-    out = _with_quartiles(stats, long_df, approx, accuracy)
     as_ts = lambda c: _from_micros(F.floor(F.col(c) + F.lit(0.5))).alias(c)
     return out.select("column", "count", as_ts("mean"), as_ts("min"), as_ts("p25"), as_ts("p50"),
                       as_ts("p75"), as_ts("max"))
