@@ -223,3 +223,22 @@ def test_headers_that_differ_by_case_keep_the_known_name(spark):
     assert out.columns == ["created_at", "Price_2", "price", "price_1"]
     assert monthly_revenue_summary(out).first().total_revenue == 3.0
     assert strip_headers(df.toDF("a", "B", "b", "B ")).columns == ["a", "B", "b_1", "B_2"]
+
+
+def test_summaries_read_their_table_once(spark, tmp_path):
+    """Nulls of one column do not shift another's ranks, and what is left to run
+    after the value counts are written reads no table."""
+    rng = np.random.default_rng(3)
+    rows = [(float(v) if k % 3 else None, float(k % 7), None) for k, v in enumerate(rng.normal(0, 1, 500))]
+    spark.createDataFrame(rows, "a double, b double, none double").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    out = P.profile_numeric(df)
+    assert "FileScan" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.column: r for r in out.collect()}
+    for i, name in enumerate("ab"):
+        x = np.array([r[i] for r in rows if r[i] is not None])
+        r = got[name]
+        assert r["count"] == len(x)
+        assert [r.mean, r.std, r.min, r.max] == pytest.approx([x.mean(), x.std(ddof=1), x.min(), x.max()])
+        assert [r.p25, r.p50, r.p75] == pytest.approx(list(np.quantile(x, [0.25, 0.5, 0.75])))
+    assert got["none"]["count"] == 0 and got["none"].mean is None and got["none"].p50 is None
