@@ -1,13 +1,16 @@
 """Licence scans by sentence rules.
 
 A text is cut into sentences (after ``.``, ``!``, ``?`` or ``;`` before white
-space, and at blank lines; a sentence that is not known is cut at its line ends
-as well). A sentence is normalised — lower case, everything but letters and
-digits one space — and mapped to its identifier among the known licence
-sentences. The identifiers of a text, in order and without notices (copyright
-lines, "all rights reserved"), form a sequence in which ordered licence rules
-are matched: at each place the first rule that fits takes its identifiers.
-Identifiers that no rule takes are reported as unmatched.
+space, and at lines without a letter or
+digit: blank lines, comment signs only). A sentence's lines are normalised —
+lower case, everything but letters and digits one space — and from the first
+line on the longest run of lines that makes up a known licence sentence gives
+its identifier; a line that starts no such run is tried as
+a copyright line (that line only), and passed over otherwise. The
+identifiers of a text, in order and without notices (copyright lines, "all
+rights reserved"), form a sequence in which ordered licence rules are matched:
+at each place the first rule that fits takes its identifiers. Identifiers that no
+rule takes are reported as unmatched.
 
 All of it is one native projection per row: no join, no shuffle, no group, so
 neither a hot source nor a long text needs special care.
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import let, text_or_empty
 
-BOUNDARY = r"[.!?;]+\s+|\n[ \t\r]*\n"
+BOUNDARY = r"[.!?;]+\s+|\n[^\p{L}\p{N}\n]*\n"
 COPYRIGHT = r"^copyright (c )?[0-9]{4}"
 
 # Known licence sentences and their identifiers.
@@ -143,18 +146,39 @@ def marked(ids: str) -> str:
 
 def sentence_ids(text: Column, sentences: Mapping[str, str] = SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in order."""
+    words = [normal(s).split() for s in sentences]
+    most = max(map(len, words), default=1)  # lines of a run: each has a word
+    starts = sorted({" ".join(w[:n]) for w in words for n in range(1, len(w) + 1)})
     known = F.create_map(*[F.lit(x) for s, i in sentences.items() for x in (normal(s), i)])
+    match = "struct<at:int,next:int,id:string>"
 
-    def identified(s: Column) -> Column:
-        return let(_normal(s), lambda n: F.coalesce(
-            F.try_element_at(known, n), F.when(n.rlike(COPYRIGHT), F.lit("copyright"))))
+    def lines(s: Column) -> Column:
+        both = F.transform(F.split(s, "\n"), lambda y: F.struct(_normal(y).alias("line")))
+        return F.filter(both, lambda y: y["line"] != "")
 
-    def of(s: Column) -> Column:
-        return let(identified(s), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(
-            F.when(F.contains(s, F.lit("\n")), F.transform(F.split(s, "\n"), identified)).otherwise(
-                F.array().cast("array<string>"))))
+    def longest(b: Column, k: Column, first: Column) -> Column:
+        """The longest known run of the lines ``b`` from place ``k``, its first line as ``first``."""
+        runs = F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(b) - k)), lambda n: F.struct(
+            k.alias("at"), (k + n).alias("next"), F.try_element_at(known, F.concat_ws(
+                " ", first, F.slice(b, k + 2, n - 1)["line"])).alias("id")).cast(match))
+        return F.try_element_at(F.filter(runs, lambda m: m["id"].isNotNull()), F.lit(-1))
+
+    def matched(b: Column, y: Column, k: Column) -> Column:
+        first = F.when(y["line"].isin(starts), y["line"])
+        notice = F.when(y["line"].rlike(COPYRIGHT), F.struct(
+            k.alias("at"), (k + 1).alias("next"), F.lit("copyright").alias("id")).cast(match))
+        return F.coalesce(F.when(first.isNotNull(), longest(b, k, first)), notice)
 
-    return F.filter(F.flatten(F.transform(F.split(F.lower(text), BOUNDARY), of)), lambda i: i.isNotNull())
+    def of(s: Column) -> Column:
+        found = let(lines(s), lambda b: F.filter(
+            F.transform(b, lambda y, k: matched(b, y, k)), lambda m: m.isNotNull()))
+        # runs that begin inside an earlier one go
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("ids"))
+        return F.aggregate(found, start, lambda a, m: F.when(m["at"] >= a["next"], F.struct(
+            m["next"].alias("next"), F.concat(a["ids"], F.array(m["id"])).alias("ids"))).otherwise(a),
+            lambda a: a["ids"])
+
+    return F.flatten(F.transform(F.split(F.lower(text), BOUNDARY), of))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -187,3 +187,36 @@ def test_licences(spark):
                    (6, "mit-notice"): ("", "mit-notice", False), (7, "all-rights"): ("", "", True),
                    (8, "cc-by-nc-line,cc-by-nc-line"): ("CC-BY-NC-4.0", "", False), (8, ""): ("", "", False), (9, ""): ("", "", False)}
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+APACHE = """#!/usr/bin/env python
+# Copyright 2020 Acme Inc
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+import os"""
+
+
+@pytest.fixture(scope="module")
+def scanned(spark):
+    def scan(texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+        return [tuple(r)[1:] for r in sorted(licenses.scan_licenses(df).collect())]
+    return scan
+
+
+def test_licence_lines_after_a_copyright_line(scanned):
+    assert scanned(["Copyright (c) 2020 Acme Inc\nReleased under the MIT License.", "Copyright (c) 2020 Acme\nSPDX-License-Identifier: MIT",
+                    APACHE, "SPDX-License-Identifier: MIT\nCopyright 2020 A\nCopyright 2021 B\nall rights reserved"]) == [
+        ("copyright,mit-line", "MIT", "", True), ("copyright,mit-line", "MIT", "", True),
+        ("copyright,apache-grant,apache-use,apache-copy,apache-copy,apache-as-is,apache-see", "Apache-2.0", "", True),
+        ("mit-line,copyright,copyright,all-rights", "MIT", "", True)]
