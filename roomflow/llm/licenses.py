@@ -1,12 +1,12 @@
 """Licence scans by sentence rules.
 
 A text is cut into sentences (after ``.``, ``!``, ``?`` or ``;`` before white
-space, and at lines without a letter or
+space, after a colon before a list number, and at lines without a letter or
 digit: blank lines, comment signs only). A sentence's lines are normalised —
 lower case, everything but letters and digits one space — and from the first
 line on the longest run of lines that makes up a known licence sentence gives
-its identifier; a line that starts no such run is tried as
-a copyright line (that line only), and passed over otherwise. The
+its identifier; a line that starts no such run is tried without its list marker,
+then as a copyright line (that line only), and passed over otherwise. The
 identifiers of a text, in order and without notices (copyright lines, "all
 rights reserved"), form a sequence in which ordered licence rules are matched:
 at each place the first rule that fits takes its identifiers. Identifiers that no
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import let, text_or_empty
 
-BOUNDARY = r"[.!?;]+\s+|\n[^\p{L}\p{N}\n]*\n"
+BOUNDARY = r"[.!?;]+\s+|:\s+(?=[^\p{L}\p{N}\n]*[0-9]{1,2}[.)]\s)|\n[^\p{L}\p{N}\n]*\n"
+MARKER = r"^[^\p{L}\p{N}]*(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})[.)]\s"
 COPYRIGHT = r"^copyright (c )?[0-9]{4}"
 
 # Known licence sentences and their identifiers.
@@ -153,7 +154,8 @@ def sentence_ids(text: Column, sentences: Mapping[str, str] = SENTENCES) -> Colu
     match = "struct<at:int,next:int,id:string>"
 
     def lines(s: Column) -> Column:
-        both = F.transform(F.split(s, "\n"), lambda y: F.struct(_normal(y).alias("line")))
+        both = F.transform(F.split(s, "\n"), lambda y: F.struct(
+            _normal(y).alias("line"), F.when(y.rlike(MARKER), _normal(F.regexp_replace(y, MARKER, ""))).alias("bare")))
         return F.filter(both, lambda y: y["line"] != "")
 
     def longest(b: Column, k: Column, first: Column) -> Column:
@@ -164,7 +166,7 @@ def sentence_ids(text: Column, sentences: Mapping[str, str] = SENTENCES) -> Colu
         return F.try_element_at(F.filter(runs, lambda m: m["id"].isNotNull()), F.lit(-1))
 
     def matched(b: Column, y: Column, k: Column) -> Column:
-        first = F.when(y["line"].isin(starts), y["line"])
+        first = F.when(y["line"].isin(starts), y["line"]).when(y["bare"].isin(starts), y["bare"])
         notice = F.when(y["line"].rlike(COPYRIGHT), F.struct(
             k.alias("at"), (k + 1).alias("next"), F.lit("copyright").alias("id")).cast(match))
         return F.coalesce(F.when(first.isNotNull(), longest(b, k, first)), notice)

@@ -204,6 +204,21 @@ APACHE = """#!/usr/bin/env python
 # See the License for the specific language governing permissions and
 # limitations under the License.
 import os"""
+BSD = """Copyright (c) 2020, Acme
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+%s Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+%s Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+BSD_IDS = "copyright,all-rights,bsd-use,bsd-source,bsd-binary,bsd-as-is"
 
 
 @pytest.fixture(scope="module")
@@ -220,3 +235,14 @@ def test_licence_lines_after_a_copyright_line(scanned):
         ("copyright,mit-line", "MIT", "", True), ("copyright,mit-line", "MIT", "", True),
         ("copyright,apache-grant,apache-use,apache-copy,apache-copy,apache-as-is,apache-see", "Apache-2.0", "", True),
         ("mit-line,copyright,copyright,all-rights", "MIT", "", True)]
+
+
+def test_wrapped_licence_sentences_among_other_lines(scanned):
+    grant = "\n".join(MIT.split("\n")[2:])
+    assert scanned(["Title\n" + grant, "/*\n * Title\n * " + grant.replace("\n", "\n * ") + "\n */",
+                    *[BSD % m for m in (("1.", "2."), ("1)", "2)"), ("(a)", "(b)"), ("*", "*"), ("   (1)", "   (2)"))],
+                    " ".join((BSD % ("1.", "2.")).split("\n")[3:]),
+                    "This\nThis\nThis program is\nfree software\nx", "the\n" * 3000]) == [
+        ("mit-grant,mit-notice,mit-as-is", "MIT", "", False), ("mit-grant,mit-notice,mit-as-is", "MIT", "", False),
+        *[(BSD_IDS, "BSD-2-Clause", "", True)] * 5, (BSD_IDS[21:], "BSD-2-Clause", "", False),
+        ("gpl-free", "", "gpl-free", False), ("", "", "", False)]
