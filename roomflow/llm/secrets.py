@@ -51,11 +51,16 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+# From BEGIN to END; where END is missing, header lines and the base64 run, to a short last line of it.
+# Possessive groups: Java matches them without recursion, so a long run is safe.
+_KEY_END = r"[^-]*+(?:-{1,4}[^-]++)*+-{5,}END (?:[A-Z]+ )?PRIVATE KEY-----"
+_KEY_RUN = (r"(?:(?:\s*[A-Za-z-]+: [^\n]*\n){0,8}(?:[^A-Za-z0-9+/=]{0,12}[A-Za-z0-9+/]{16,}={0,2})++"
+            r"(?:\r?\n[^A-Za-z0-9+/=\n]{0,12}[A-Za-z0-9+/]{1,15}={0,2})?)?")
 FURTHER_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:%s|%s)" % (_KEY_END, _KEY_RUN)),
 )
 RULES = BASE_RULES + FURTHER_RULES
 MASK = "[SECRET]"
