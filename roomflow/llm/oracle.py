@@ -149,3 +149,38 @@ SELECT doc_id, coalesce(ids, '') AS sentence_ids,
   coalesce(notice, false) AS has_notice
 FROM d LEFT JOIN m USING (r)
 """
+
+ORACLE["op11_exact_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
+  sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+"""
+
+ORACLE["op13_ranked_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+q AS (
+  SELECT DISTINCT i, item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM (SELECT row_number() OVER () AS i, * FROM benchmark)),
+tot AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d),
+p AS (
+  SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(terms) AS t FROM d)
+  WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+w AS (
+  SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM p, tot GROUP BY t, n_docs),
+s AS (
+  SELECT q.i, item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(terms) * n_docs) // n_terms))))
+    ::BIGINT AS score
+  FROM q JOIN p USING (t) JOIN w USING (t) JOIN d USING (r), tot GROUP BY q.i, item_id, r),
+o AS (
+  SELECT item_id, doc_id, score,
+    row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank
+  FROM s JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""

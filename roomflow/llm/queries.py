@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, chat_format, decontaminate, licenses, packing, quality_rules, secrets, sharding,
-               simhash_dedup, warc)
+from . import (bpe, chat_format, decontaminate, exact_dedup, licenses, packing, quality_rules, ranked_search,
+               secrets, sharding, simhash_dedup, warc, whitening)
 from .common import new_path
 from .oracle import ORACLE  # noqa: F401  (read by the entry file)
 
@@ -116,3 +116,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_licenses")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+@_query("op11_exact_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.by_component(whitening.whiten(_table(spark, sf_dir, "embeddings")))
+    return rows.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+@_query("op13_ranked_search")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
