@@ -31,11 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 #: Fixed value: the split pattern of this family of byte-level tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KNOWN_WORDS = 400_000  # pre-tokens a worker keeps before it starts anew
-TOGETHER = 1 << 22  # characters split at a time
-NARROW = 64  # pre-tokens up to so many bytes are merged side by side
+KNOWN_BYTES = 48 << 20  # of pre-tokens with their ids, likewise
+ENTRY_BYTES = 240  # of an entry beside its own bytes
+TOGETHER = 1 << 20  # characters split at a time
+NARROW = 64  # pre-tokens up to so many bytes are merged side by side, and kept
 TREES = 1 << 16  # tree leaves held at a time
 NONE = 1 << 40  # larger than any rank times a width
 
@@ -48,6 +52,21 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def check_settings(spec: dict) -> None:
+    """Raise ``ValueError`` for a vocabulary file with settings that are not those
+    of this encoder: plain byte-level BPE, tokens in brackets taken as they stand."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback",
+                       "ignore_merges") if model.get(k)]
+    odd += ["normalizer"] if spec.get("normalizer") else []
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        odd.append("pre_tokenizer")
+    odd += [f"added token {t['content']!r}" for t in spec.get("added_tokens", [])
+            if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if odd or model.get("type", "BPE") != "BPE":
+        raise ValueError(f"settings of the vocabulary file that this encoder does not have: {odd or model['type']}")
+
+
 class ByteBPE:
     """Vocabulary, pair ranks and the two segment-tree merges."""
 
@@ -57,6 +76,7 @@ class ByteBPE:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_settings(spec)
         chars = byte_chars()
         vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
@@ -76,6 +96,7 @@ class ByteBPE:
             i: bytes(byte_of[c] for c in t) for t, i in vocab.items()}
         self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
 
     def _ranks(self, left, right, pos, width):
         """Leaf values ``rank * width + position`` of pairs, NONE where unmergeable."""
@@ -175,20 +196,24 @@ class ByteBPE:
         out = [i for i in ids if i >= 0]
         return struct.pack(f"<{len(out)}I", *out)
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encode pre-tokens that are not known yet, those of one width together."""
+    def learn(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Encode pre-tokens that are not known yet, those of one width together.
+        Narrow ones are kept; the others are returned."""
         widths: dict[int, list[str]] = {}
         for w in words:
             n = len(w.encode())
             widths.setdefault(1 << max(1, (n - 1).bit_length()), []).append(w)
+        wide: dict[str, bytes] = {}
         for width, group in widths.items():
             if width > NARROW:
-                self.known.update((w, self.merge_one(w.encode())) for w in group)
+                wide.update((w, self.merge_one(w.encode())) for w in group)
                 continue
             step = max(1, TREES // width)
             for k in range(0, len(group), step):
                 part = group[k:k + step]
                 self.known.update(zip(part, self.merge_rows([w.encode() for w in part], width)))
+            self.known_bytes += len(group) * (ENTRY_BYTES + 2 * width)
+        return wide
 
     def encode_texts(self, texts: Sequence[str | None]) -> Iterator[bytes]:
         """Ids of whole texts; strings of special tokens become their ids. Texts
@@ -203,14 +228,16 @@ class ByteBPE:
         yield from self._encode_group(group)
 
     def _encode_group(self, texts: Sequence[str]) -> Iterator[bytes]:
-        if len(self.known) > KNOWN_WORDS:
+        if len(self.known) > KNOWN_WORDS or self.known_bytes > KNOWN_BYTES:
             self.known.clear()
+            self.known_bytes = 0
         known = self.known
         split = [[self.split.findall(p) if k % 2 == 0 else p for k, p in enumerate(
             self.specials.split(t) if self.specials else [t])] for t in texts]
-        self.learn({w for parts in split for words in parts[::2] for w in words if w not in known})
+        wide = self.learn({w for parts in split for words in parts[::2] for w in words if w not in known})
+        ids = (lambda w: wide[w] if w in wide else known[w]) if wide else known.__getitem__
         for parts in split:
-            yield b"".join([b"".join(map(known.__getitem__, x)) if k % 2 == 0 else
+            yield b"".join([b"".join(map(ids, x)) if k % 2 == 0 else
                             struct.pack("<I", self.special[x]) for k, x in enumerate(parts)])
 
     def decode_ids(self, ids: bytes | None) -> str:
@@ -240,7 +267,7 @@ def _mapped(df: DataFrame, column: str, name: str, kind: T.DataType, arrow: pa.D
             yield pa.RecordBatch.from_arrays(
                 [done if k == at else b.column(k) for k in range(len(names))], names=names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

@@ -131,7 +131,9 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, keep_id, group_size, kept, text_sha256`` per row of ``docs``."""
     rows = materialize(identities(docs, id_col, text_col, size, digest_bits), "exact-rows")
     rank = F.struct(F.col("id").isNull().alias("null_id"), F.col("id"), F.col("row"))
-    groups = rows.groupBy("identity").agg(F.min(rank).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join below shuffles both sides for itself and a large group can be split.
+    groups = materialize(rows.groupBy("identity").agg(
+        F.min(rank).alias("keep"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
     return rows.join(groups, "identity").select(
         F.col("id").alias("doc_id"), F.col("keep.id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("keep.row")).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import map_arrow
+
 SEQ_LEN = 2048
 WINDOW_TOKENS = 1 << 22
 PADDING = 0
@@ -113,7 +115,7 @@ def token_ids(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc
                    for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return d.mapInArrow(run, schema)
+    return map_arrow(d, run, schema)
 
 
 def pack(ids: DataFrame, seq_len: int = SEQ_LEN, eos: int | None = None, id_bytes: int = 2,
@@ -167,7 +169,7 @@ def pack(ids: DataFrame, seq_len: int = SEQ_LEN, eos: int | None = None, id_byte
                         window, held = [], 0
         yield from emit(window)
 
-    return ids.select("doc_id", "ids").mapInArrow(run, schema)
+    return map_arrow(ids.select("doc_id", "ids"), run, schema)
 
 
 def write_packed(packed: DataFrame, path: str) -> DataFrame:

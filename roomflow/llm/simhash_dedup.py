@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import map_arrow, materialize
 
 SHINGLE = 3
 MAX_DISTANCE = 2
@@ -87,7 +87,7 @@ def add_fingerprints(docs: DataFrame, name: str, text_col: str = "text",
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(k) for k in kept), pa.array(fps, pa.int64())], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def _signed(x: int) -> int:

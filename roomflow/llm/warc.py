@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, new_path
+from .common import map_arrow, materialize, new_path
 
 CHUNK = 64 * 1024  # bytes of a chunk row; 10,000 rows of an Arrow batch stay under 1 GB
 MIN_REVISIT = 100
@@ -92,7 +92,7 @@ def chunk_table(records: DataFrame, key_col: str, payload_col: str, url_col: str
         F.substring("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("data"))
     schema = T.StructType([*chunks.schema.fields, T.StructField("sha256", T.StringType()),
                            T.StructField("upto", T.LongType())])
-    return materialize(chunks.mapInArrow(_running_digests(4, 0, 5), schema), "warc-chunks")
+    return materialize(map_arrow(chunks, _running_digests(4, 0, 5), schema), "warc-chunks")
 
 
 def choose_records(chunks: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
@@ -273,7 +273,7 @@ def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK, with_d
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                 zip(*rows), _CHUNKS.types)], schema=_CHUNKS)
 
-    return lines.mapInArrow(run, _CHUNKS_DDL)
+    return map_arrow(lines, run, _CHUNKS_DDL)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -296,7 +296,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     # A record starts where origin_id changes; position never resets it inside a record.
     schema = T.StructType([*parts.schema.fields, T.StructField("sha256", T.StringType()),
                            T.StructField("upto", T.LongType())])
-    hashed = parts.withColumn("position", F.lit(1)).mapInArrow(_running_digests(1, 0, 8), schema)
+    hashed = map_arrow(parts.withColumn("position", F.lit(1)), _running_digests(1, 0, 8), schema)
     segmented = hashed.groupBy("origin_id").agg(
         F.max("key").alias("key"), F.max("url").alias("url"), F.lit("response").alias("warc_type"),
         F.lit(None).cast("string").alias("refers_to"), F.max("upto").alias("payload_bytes"),

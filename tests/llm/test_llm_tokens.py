@@ -217,3 +217,51 @@ def test_written_shards_hold_every_row(spark):
     back = spark.read.parquet(path)
     assert sorted(tuple(r.row) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
     assert back.select("shard").distinct().count() == 4
+
+
+def test_bpe_keeps_a_bounded_number_of_bytes(reference, monkeypatch):
+    """Long distinct pre-tokens are encoded but not kept; the rest has a bound."""
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 100_000)
+    tool = bpe.ByteBPE(tokenizer_path())
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.choice([5, 30, 5000]))) for _ in range(40))
+             for _ in range(30)]
+    for t in texts:
+        assert next(iter(tool.encode_texts([t]))) == struct.pack(
+            f"<{len(ids := reference.encode(t, add_special_tokens=False).ids)}I", *ids)
+        assert all(len(w.encode()) <= bpe.NARROW for w in tool.known)
+        held = sum(len(w.encode()) + len(x) + bpe.ENTRY_BYTES for w, x in tool.known.items())
+        assert held <= tool.known_bytes <= 100_000 + 200_000
+
+
+@pytest.mark.parametrize("change", [
+    {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}},
+    {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {"ignore_merges": True}},
+    {"added_tokens": [{"id": 1, "content": "<x>", "lstrip": True}]}])
+def test_bpe_refuses_vocabularies_with_other_settings(change):
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.check_settings(spec)
+    for k, v in change.items():
+        spec[k] = {**spec[k], **v} if k == "model" else v
+    with pytest.raises(ValueError):
+        bpe.check_settings(spec)
+
+
+def test_shard_and_slot_of_every_row(spark):
+    """Row by row: the shard that the middle of a row falls in, rows in order of id,
+    checksum and size, gapless slots."""
+    rng = random.Random(8)
+    rows = [(i, "x" * rng.randint(0, 300) if rng.random() < 0.9 else None) for i in range(400)] + [
+        (1000, "long " * 40_000), (7, "again"), (7, "other")]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id bigint, text string"), n_shards=9).collect()
+    light = sorted((i, zlib.crc32((t or "").encode()), len(t or "") + sharding.OVERHEAD) for i, t in rows)
+    total, at, want, slots = sum(s for _, _, s in light), 0, [], {}
+    for i, c, s in light:
+        shard = min(8, (2 * at + s) * 9 // (2 * total))
+        want.append((i, s, c, shard, slots.setdefault(shard, 0)))
+        slots[shard] += 1
+        at += s
+    assert sorted((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got) == sorted(want)
