@@ -212,7 +212,7 @@ class ByteBPE:
             for k in range(0, len(group), step):
                 part = group[k:k + step]
                 self.known.update(zip(part, self.merge_rows([w.encode() for w in part], width)))
-            self.known_bytes += len(group) * (ENTRY_BYTES + 2 * width)
+            self.known_bytes += len(group) * (ENTRY_BYTES + 5 * width)
         return wide
 
     def encode_texts(self, texts: Sequence[str | None]) -> Iterator[bytes]:
