@@ -1,16 +1,14 @@
 """Model-based recommendations: low-use room clusters and upsell rules.
 
 Room clusters: one-dimensional values are cut where the within-cluster squared
-error (the k-means objective) is least. Distinct values are ordered with
-distributed running totals of count and sum, and one aggregate scores every
-place for a cut: the optimum for two clusters, and for more the cuts are placed
-in turn until none moves. Lloyd iterations (Spark ML KMeans, on request) depend
-on a random start and can stop in a worse local optimum. Upsell rules mine frequent
-product sets level by level in vertical (bitmap) form with joins and
-aggregates; Spark ML's FPGrowth is the alternative. Training inputs are small derived tables (one row per room, one
-basket per tenant), checkpointed to the reliable checkpoint folder so a lost
-executor does not replay the scan of the raw table. Only a handful of
-scalars (totals, the cut, k cluster means) ever reach the driver.
+error (the k-means objective) is least, exactly (``operators.cuts``). Lloyd
+iterations (Spark ML KMeans, on request) depend on a random start and can stop in a
+worse local optimum. Upsell rules mine frequent product sets depth first
+(``operators.itemsets``); Spark ML's FPGrowth is the alternative. Training inputs
+are small derived tables (one row per room, one basket per tenant), checkpointed to
+the reliable checkpoint folder so a lost executor does not replay the scan of the
+raw table. Only a handful of scalars (totals, pivots, cuts, k cluster means, the
+names of frequent products) ever reach the driver.
 """
 
 from __future__ import annotations
@@ -20,7 +18,6 @@ from functools import reduce
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.fpm import FPGrowth
-from pyspark.storagelevel import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -32,9 +29,10 @@ from pyspark.sql.types import (
 )
 
 from ..functions import columns as C
-from ..functions.running import running_totals
 from ..functions.totals import mean
 from ..session import reliable
+from .cuts import k_means_cuts
+from .itemsets import frequent_itemsets_diffsets
 
 
 def room_average_utilization(util_df: DataFrame) -> DataFrame:
@@ -43,59 +41,6 @@ def room_average_utilization(util_df: DataFrame) -> DataFrame:
     return rooms.groupBy("room_id").agg(mean(F.col("utilization_pct")).alias("avg_utilization"))
 
 
-def k_means_cuts(values: DataFrame, k: int, x: str = "_x", max_rounds: int = 20) -> list[float]:
-    """Ascending cuts of column ``x`` into at most ``k`` clusters: the largest
-    value of each cluster but the last (ties stay together). Fewer distinct
-    values than clusters give a cut after each value but the last.
-
-    The best cut of a range needs running counts and sums only: with values
-    taken from their mean, ``(s1 * n2 - s2 * n1)^2 / (n1 * n2 * (n1 + n2))`` is
-    what a cut takes off the range's squared error, and nothing cancels. Cuts
-    are added one by one where they take off most, then each is placed anew,
-    exactly, between its neighbours until a round moves none (at most
-    ``max_rounds``; ties go to the smallest value). One cut is the optimum; for
-    more, no single cut can be moved to a better place. The result depends on
-    the values only. A cut with its running sums is all that reaches the driver.
-    """
-    v = F.col(x)
-    per_value = values.groupBy(x).agg(F.count(F.lit(1)).alias("c"))
-    tot = values.agg(F.count(v).cast("double").alias("n"), F.avg(v).alias("mean")).first()
-    if not tot["n"] or k < 2:
-        return []
-    run = running_totals(per_value, [x], {"n": F.col("c"), "s": (v - F.lit(tot["mean"])) * F.col("c")})
-    run = run.select(v.alias("v"), F.col("n").cast("double").alias("n"), "s")
-    if k > 2:
-        run = reliable(run)  # read once per placement
-
-    def best(ranges: list[tuple]) -> list:
-        """Per range of two bounds the best cut inside it: (gain, v, n, s) or None."""
-        aggs = []
-        for r, (left, right) in enumerate(ranges):
-            n1, s1 = F.col("n") - F.lit(left[1]), F.col("s") - F.lit(left[2])
-            n2, s2 = F.lit(right[1]) - F.col("n"), F.lit(right[2]) - F.col("s")
-            gain = F.pow(s1 * n2 - s2 * n1, F.lit(2.0)) / (n1 * n2 * (n1 + n2))
-            inside = (F.col("n") > F.lit(left[1])) & (F.col("n") < F.lit(right[1]))
-            aggs.append(F.max(F.when(inside, F.struct(
-                gain.alias("gain"), (-F.col("v")).alias("minus_v"), "n", "s"))).alias(f"r{r}"))
-        return [b and (b["gain"], -b["minus_v"], b["n"], b["s"]) for b in run.agg(*aggs).first()]
-
-    # a bound is (value, running count, running sum); the sum of all centred values is zero
-    bounds = [(None, 0.0, 0.0), (None, tot["n"], 0.0)]
-    while len(bounds) <= k:
-        found = [(b[0], -r, b[1:]) for r, b in enumerate(best(list(zip(bounds, bounds[1:])))) if b]
-        if not found:
-            break
-        _, r, cut = max(found, key=lambda f: f[:2])
-        bounds.insert(1 - r, cut)
-    for _ in range(max_rounds if len(bounds) > 3 else 0):
-        before = list(bounds)
-        for i in range(1, len(bounds) - 1):
-            bounds[i] = best([(bounds[i - 1], bounds[i + 1])])[0][1:]
-        if bounds == before:
-            break
-    return [b[0] for b in bounds[1:-1]]
-
-
 def two_means_cut(values: DataFrame, x: str = "_x") -> float | None:
     """Largest value of the lower cluster in the optimal two-means split of
     column ``x`` (exact; ties stay together), None with fewer than two values."""
@@ -108,9 +53,9 @@ def ml_underutilized_rooms(util_df: DataFrame, n_clusters: int = 2, seed: int =
     """Rooms in the cluster with the lowest mean utilization.
 
     Clusters are fitted on the per-room average (NULL as 0 for fitting only);
-    ``method='auto'`` places the cuts between clusters (:func:`k_means_cuts`, at
-    most ``max_iter`` rounds; 'exact' is the same for two clusters, where that is
-    the optimum) and 'kmeans' is Spark ML's (``seed``, ``max_iter``). Labels are
+    ``method='auto'`` takes the optimal cuts (:func:`k_means_cuts`; 'exact' is its
+    older name for two clusters), 'kmeans' is Spark ML's (``seed``, ``max_iter``).
+    Labels are
     0..k-1 by ascending value, so they do not depend on a random start. Fewer
     distinct averages than clusters give as many clusters as there are values.
     Columns: room_id, avg_utilization, cluster, ml_underutilized. Without
@@ -128,7 +73,7 @@ def ml_underutilized_rooms(util_df: DataFrame, n_clusters: int = 2, seed: int =
         raise ValueError("the exact method is for two clusters")
     if method != "kmeans":
         above = [F.when(F.col("_x") > F.lit(c), 1).otherwise(0)
-                 for c in k_means_cuts(rooms, n_clusters, max_rounds=max_iter)]
+                 for c in k_means_cuts(rooms, n_clusters)]
         return _lowest_cluster(rooms.select(
             "room_id", "avg_utilization", reduce(lambda p, q: p + q, above, F.lit(0)).alias("cluster")))
     features = VectorAssembler(inputCols=["_x"], outputCol="_features").transform(rooms)
@@ -175,85 +120,6 @@ def _support_ok(n: int, min_support: float):
     return F.col("freq").cast("double") / F.lit(float(n)) >= F.lit(float(min_support))
 
 
-def _candidates(sets: DataFrame, size: int) -> DataFrame:
-    """``(items, item)``: sets of ``size + 1`` whose subsets of ``size`` are all
-    among ``sets`` (sorted arrays), as a frequent set and a larger item."""
-    head = F.slice("items", 1, size - 1).alias("head")
-    a = sets.select(head, F.get("items", F.lit(size - 1)).alias("last"), "items")
-    b = sets.select(head, F.get("items", F.lit(size - 1)).alias("item"))
-    pairs = a.join(b, "head").where(F.col("item") > F.col("last")).select("items", "item")
-    # the two parents are frequent; the others leave out one of the first size - 1 items
-    subsets = pairs.select("items", "item", F.explode(F.slice("items", 1, size - 1)).alias("out")).select(
-        "items", "item", F.concat(F.array_remove("items", F.col("out")), F.array("item")).alias("subset"))
-    return (subsets.join(sets.select(F.col("items").alias("subset")), "subset")
-            .groupBy("items", "item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == size - 1)
-            .select("items", "item"))
-
-
-def frequent_itemsets_vertical(bookings: DataFrame, min_support: float,
-                               max_size: int | None = None) -> tuple[DataFrame, int]:
-    """Frequent product sets of tenant baskets, level by level, in vertical form.
-
-    Every tenant gets one bit in a 64-bit word (``monotonically_increasing_id``
-    of the checkpointed tenant list: unique, not dense), every frequent item
-    a list of (word, bits). An itemset of size k, keyed by its sorted items,
-    keeps the same list. Pairs come from an equi-join of the item lists on
-    ``word``; from there on candidates come first: two frequent sets that
-    differ in their last item only are joined on their common prefix, and a
-    candidate stays when all its subsets are frequent. Its bits are the AND of
-    a parent's and the new item's, and the support is the summed ``bit_count``:
-    64 tenants per operation. Keys are the item arrays themselves, so every level is
-    deterministic; each level's word lists are checkpointed (lineage stays
-    one level deep) and the result table is checkpointed once.
-    Returns ((items sorted, freq), number of baskets).
-    """
-    spark = bookings.sparkSession
-    rows = bookings.select(C.col(C.TENANT).alias("tenant"), C.col("product_name").alias("item")) \
-        .where(F.col("tenant").isNotNull())
-    tenants = reliable(rows.select("tenant").distinct()
-                        .withColumn("tid", F.monotonically_increasing_id()))
-    n = tenants.count()
-    if n == 0:
-        return spark.createDataFrame([], "items array<string>, freq bigint"), 0
-    ok = _support_ok(n, min_support)
-    pairs = rows.where(F.col("item").isNotNull()).distinct().join(tenants, "tenant")
-    all_words = reliable(
-        pairs.groupBy("item", F.shiftright("tid", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), CAST(pmod(tid, 64) AS INT))")).alias("bits")))
-    items = (all_words.groupBy("item").agg(F.sum(F.bit_count("bits")).cast("bigint").alias("freq"))
-             .where(ok).persist(StorageLevel.MEMORY_AND_DISK))
-    item_words = all_words.join(items.select("item"), "item").persist(StorageLevel.MEMORY_AND_DISK)
-    words = item_words.select(F.array("item").alias("items"), F.col("item").alias("last"), "word", "bits")
-    held = [items, item_words]
-    found, size = [items.select(F.array("item").alias("items"), "freq")], 1
-    while max_size is None or size < max_size:
-        if size == 1:
-            joined = words.alias("w").join(item_words.alias("i"), "word").where(F.col("i.item") > F.col("w.last"))
-        else:
-            larger = _candidates(found[-1].select("items"), size)
-            joined = (words.alias("w").join(larger, "items")
-                      .join(item_words.alias("i"), ["item", "word"]))
-        ext = (joined
-               .select(F.col("w.items").alias("items"), F.col("i.item").alias("item"), "word",
-                       F.col("w.bits").bitwiseAND(F.col("i.bits")).alias("bits"))
-               .where(F.col("bits") != 0)
-               .persist(StorageLevel.MEMORY_AND_DISK))
-        counts = reliable(ext.groupBy("items", "item")
-                          .agg(F.sum(F.bit_count("bits")).cast("bigint").alias("freq")).where(ok))
-        nxt = reliable(ext.join(counts.select("items", "item"), ["items", "item"])
-                        .select(F.concat("items", F.array("item")).alias("items"),
-                                F.col("item").alias("last"), "word", "bits"))
-        ext.unpersist()
-        if nxt.isEmpty():
-            break
-        found.append(counts.select(F.concat("items", F.array("item")).alias("items"), "freq"))
-        words, size = nxt, size + 1
-    sets = reliable(reduce(DataFrame.unionByName, found))
-    for df in held:
-        df.unpersist()
-    return sets, n
-
-
 def frequent_itemsets(baskets: DataFrame, min_support: float) -> tuple[DataFrame, int]:
     """FPGrowth itemsets (items sorted, freq) and the number of baskets."""
     n = baskets.count()
@@ -267,7 +133,7 @@ def frequent_itemsets(baskets: DataFrame, min_support: float) -> tuple[DataFrame
 
 def ml_product_upsell(bookings: DataFrame, min_support: float = 0.05,
                       min_confidence: float = 0.3, max_consequents: int | None = None,
-                      method: str = "vertical") -> DataFrame:
+                      method: str = "diffsets") -> DataFrame:
     """Association rules with one antecedent product, strongest first.
 
     Baskets are the products of each tenant. For every frequent itemset I of
@@ -278,21 +144,22 @@ def ml_product_upsell(bookings: DataFrame, min_support: float = 0.05,
     every number. Columns: antecedent, consequent (first of the sorted
     consequent set), consequents, support, confidence, lift.
     ``max_consequents`` keeps only consequent sets up to that size (and stops
-    mining at itemsets one larger). ``method``: 'vertical' (default, see
-    ``frequent_itemsets_vertical``) or 'fpgrowth' (Spark ML FPGrowth, whose
-    work grows with its partition count on dense baskets).
+    mining at itemsets one larger). ``method``: 'diffsets' (default, see
+    ``operators.itemsets``) or 'fpgrowth' (Spark ML FPGrowth, whose work grows
+    with its partition count on dense baskets).
     """
     spark = bookings.sparkSession
     if C.TENANT not in bookings.columns or "product_name" not in bookings.columns:
         return spark.createDataFrame([], RULE_SCHEMA)
-    if method == "vertical":
+    if method == "diffsets":
         max_size = None if max_consequents is None else max_consequents + 1
-        sets, n = frequent_itemsets_vertical(bookings, min_support, max_size)
+        sets, n = frequent_itemsets_diffsets(bookings, min_support, max_size)
+        sets = reliable(sets) if n else sets
     elif method == "fpgrowth":
         sets, n = frequent_itemsets(reliable(tenant_baskets(bookings)), min_support)
         sets = reliable(sets) if n else sets
     else:
-        raise ValueError("method must be 'vertical' or 'fpgrowth'")
+        raise ValueError("method must be 'diffsets' or 'fpgrowth'")
     if n == 0:
         return spark.createDataFrame([], RULE_SCHEMA)
     singles = sets.where(F.size("items") == 1).select(
@@ -305,11 +172,13 @@ def ml_product_upsell(bookings: DataFrame, min_support: float = 0.05,
     if max_consequents is not None:
         cands = cands.where(F.size("consequents") <= max_consequents)
     nn = float(n)
-    rules = (cands.join(singles, "antecedent").join(rest_sets, "consequents")
+    # confidence needs the antecedent only: most sets go before they meet their other half
+    strong = (cands.join(singles, "antecedent")
+              .withColumn("confidence", F.col("freq_ac").cast("double") / F.col("freq_a").cast("double"))
+              .where(F.col("confidence") >= F.lit(float(min_confidence))))
+    rules = (strong.join(rest_sets, "consequents")
              .withColumn("support", F.col("freq_ac").cast("double") / F.lit(nn))
-             .withColumn("confidence", F.col("freq_ac").cast("double") / F.col("freq_a").cast("double"))
-             .withColumn("lift", F.col("confidence") / (F.col("freq_c").cast("double") / F.lit(nn)))
-             .where(F.col("confidence") >= F.lit(float(min_confidence))))
+             .withColumn("lift", F.col("confidence") / (F.col("freq_c").cast("double") / F.lit(nn))))
     return (rules.select("antecedent", F.col("consequents")[0].alias("consequent"), "consequents",
                          "support", "confidence", "lift")
             .orderBy(F.desc("confidence"), F.desc("support"), "antecedent", "consequents"))

@@ -1,8 +1,8 @@
 """Recommendation queries: low-use room clusters (ML1) and upsell rules (ML2).
 
 Oracles are restatements in plain SQL: the best cuts by one ordered window over
-the rooms (and every pair of places for two cuts), and itemsets of every size by recursion over lists of
-tenants (checking only, never on the Spark side).
+the rooms (and every pair of places for two cuts), and itemsets of every size by recursion over bit strings
+of tenants (checking only, never on the Spark side).
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ from ..operators.utilization import utilization_metrics
 from .catalog import bookings, register
 from .utilization_plans import _util_sql
 
-PAIR_SUPPORT = 0.05  # the default
-RULE_SUPPORT = 0.15  # of rules of every size: at 0.05 these baskets give ~0.5 M itemsets
+UPSELL_SUPPORT = 0.05  # the default; these baskets have ~0.5 M itemsets at sf0.01
 UPSELL_CONFIDENCE = 0.3
 
 
@@ -39,7 +38,7 @@ def ml_underutilized_rooms_q(spark, sf_dir):
     return ml_underutilized_rooms(utilization_metrics(bookings(spark, sf_dir)), n_clusters=2)
 
 
-# The optimum over every pair of cuts (checking only: the Spark side places cuts in turn).
+# The optimum over every pair of cuts (checking only: the Spark side takes linear passes).
 @register("ml_room_clusters_k3", f"""{_RUNNING_SQL}
 best AS (SELECT a.v AS cut FROM run a JOIN run b ON a.v < b.v WHERE b.n1 < b.n
          ORDER BY a.s1 * a.s1 / a.n1 + (b.s1 - a.s1) * (b.s1 - a.s1) / (b.n1 - a.n1)
@@ -50,29 +49,32 @@ def ml_room_clusters_k3(spark, sf_dir):
 
 
 def _upsell_sql(support: float, max_size: int = 99) -> str:
-    """Itemsets of every size as lists of tenants, extended by larger items."""
+    """Itemsets of every size as bit strings of tenants, extended by larger items."""
     return f"""
 WITH RECURSIVE b AS (SELECT DISTINCT enterprise_name AS t, product_name AS i FROM bookings
            WHERE enterprise_name IS NOT NULL AND product_name IS NOT NULL),
 nb AS (SELECT CAST(COUNT(DISTINCT enterprise_name) AS DOUBLE) AS n FROM bookings
        WHERE enterprise_name IS NOT NULL),
-one AS (SELECT i, list(t) AS ts FROM b GROUP BY i
-        HAVING CAST(COUNT(*) AS DOUBLE) / (SELECT n FROM nb) >= {support}),
+one AS (
+  SELECT i, CAST(string_agg(CASE WHEN b.t IS NULL THEN '0' ELSE '1' END, '' ORDER BY u.t) AS BIT) AS ts
+  FROM (SELECT DISTINCT t FROM b) u CROSS JOIN (SELECT DISTINCT i FROM b) p LEFT JOIN b USING (t, i) GROUP BY i
+  HAVING CAST(COUNT(b.t) AS DOUBLE) / (SELECT n FROM nb) >= {support}),
 s AS (
-  SELECT [i] AS items, i AS last, ts FROM one
+  SELECT [i] AS items, i AS last, ts, bit_count(ts) AS c FROM one
   UNION ALL
-  SELECT list_append(s.items, one.i), one.i, list_intersect(s.ts, one.ts)
+  SELECT list_append(s.items, one.i), one.i, s.ts & one.ts, bit_count(s.ts & one.ts)
   FROM s JOIN one ON one.i > s.last
   WHERE len(s.items) < {max_size}
-    AND CAST(len(list_intersect(s.ts, one.ts)) AS DOUBLE) / (SELECT n FROM nb) >= {support}),
-f AS (SELECT items, CAST(len(ts) AS DOUBLE) AS f FROM s),
+    AND CAST(bit_count(s.ts & one.ts) AS DOUBLE) / (SELECT n FROM nb) >= {support}),
+f AS (SELECT items, CAST(c AS DOUBLE) AS f FROM s),
 c AS (SELECT f, items, unnest(items) AS a FROM f WHERE len(items) >= 2),
-r AS (SELECT a, f, list_filter(items, lambda x: x <> a) AS cs FROM c),
-m AS (SELECT a AS antecedent, cs, r.f / n AS support, r.f / x.f AS confidence, y.f AS fc, n
-      FROM r JOIN f x ON x.items = [a] JOIN f y ON y.items = cs, nb)
+r AS (SELECT a, c.f, x.f AS fa, list_filter(c.items, lambda x: x <> a) AS cs
+      FROM c JOIN f x ON x.items = [a] WHERE c.f / x.f >= {UPSELL_CONFIDENCE}),
+m AS (SELECT a AS antecedent, cs, r.f / n AS support, r.f / fa AS confidence, y.f AS fc, n
+      FROM r JOIN f y ON y.items = cs, nb)
 SELECT antecedent, cs[1] AS consequent, array_to_string(cs, ', ') AS consequent_set,
        support, confidence, confidence / (fc / n) AS lift
-FROM m WHERE confidence >= {UPSELL_CONFIDENCE}"""
+FROM m"""
 
 
 def _flat(rules):
@@ -81,13 +83,13 @@ def _flat(rules):
                         "support", "confidence", "lift")
 
 
-@register("upsell_rules", _upsell_sql(RULE_SUPPORT))
+@register("upsell_rules", _upsell_sql(UPSELL_SUPPORT))
 def upsell_rules(spark, sf_dir):
-    return _flat(ml_product_upsell(bookings(spark, sf_dir), min_support=RULE_SUPPORT,
+    return _flat(ml_product_upsell(bookings(spark, sf_dir), min_support=UPSELL_SUPPORT,
                                    min_confidence=UPSELL_CONFIDENCE))
 
 
-@register("upsell_pairs", _upsell_sql(PAIR_SUPPORT, 2))
+@register("upsell_pairs", _upsell_sql(UPSELL_SUPPORT, 2))
 def upsell_pairs(spark, sf_dir):
-    return _flat(ml_product_upsell(bookings(spark, sf_dir), min_support=PAIR_SUPPORT,
+    return _flat(ml_product_upsell(bookings(spark, sf_dir), min_support=UPSELL_SUPPORT,
                                    min_confidence=UPSELL_CONFIDENCE, max_consequents=1))

@@ -7,8 +7,12 @@ of settings (UTC wall-clock times, AQE on, no UI).
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
@@ -75,3 +79,27 @@ def reliable(df: DataFrame) -> DataFrame:
     out = df.checkpoint(eager=True)
     df.unpersist()
     return out
+
+
+_SHIPPED: set[str] = set()  # applications whose workers have the package
+
+
+def ship_package(spark: SparkSession, folder: str | None = None) -> None:
+    """Give this package to the Python workers, once an application: a zip file in
+    ``folder`` (the checkpoint folder), so that tasks import it wherever the driver
+    was started."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent).as_posix())
+    folder = (folder or ensure_checkpoint_dir(spark)).rstrip("/")
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{folder}/{top.name}-{uuid.uuid4().hex}.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(path.toString())
+    _SHIPPED.add(sc.applicationId)

@@ -102,26 +102,41 @@ def _sse(vals, cuts):
     return sum(((p - p.mean()) ** 2).sum() for p in parts)
 
 
-def test_cuts_into_more_clusters(spark):
-    from roomflow.operators.recommend import k_means_cuts
-
-    rng = np.random.default_rng(11)
-    for k in (3, 4):
-        vals = np.round(np.concatenate([rng.gamma(2, 5, 30), rng.normal(40, 8, 20), rng.normal(90, 2, 12)]), 1)
-        cuts = k_means_cuts(spark.createDataFrame([(float(v),) for v in vals], "_x double"), k)
-        assert len(cuts) == k - 1 and cuts == sorted(cuts)
-        u = np.unique(vals)
-        for i in range(k - 1):  # no cut has a better place between its neighbours
-            low, high = ([-np.inf] + cuts)[i], (cuts + [u[-1]])[i + 1]
-            moved = [_sse(vals, sorted(cuts[:i] + [c] + cuts[i + 1:])) for c in u if low < c < high]
-            assert _sse(vals, cuts) <= min(moved) + 1e-9
-        if k == 3:
-            assert _sse(vals, cuts) == pytest.approx(min(
-                _sse(vals, [x, y]) for n, x in enumerate(u[:-1]) for y in u[n + 1:-1]))
+@pytest.mark.parametrize("k, piece", [(3, 1 << 16), (3, 4), (4, 3), (5, 5), (6, 7), (6, 1)])
+def test_cuts_into_more_clusters_are_optimal(spark, k, piece):
+    """Equal to exhaustive search; small pieces run pivots and pieces."""
+    from roomflow.operators.cuts import k_means_cuts
+
+    rng = np.random.default_rng(11 * k + piece)
+    vals = np.round(np.concatenate([rng.gamma(2, 5, 12), rng.normal(40, 8, 8), rng.normal(90, 2, 5)]), 0)
+    cuts = k_means_cuts(spark.createDataFrame([(float(v),) for v in vals], "_x double"), k, piece=piece)
+    assert len(cuts) == k - 1 and cuts == sorted(cuts)
+    u = np.unique(vals)
+    assert _sse(vals, cuts) == pytest.approx(min(_sse(vals, list(c)) for c in combinations(u[:-1], k - 1)), abs=1e-9)
+
+
+def test_one_layer_in_pieces_equals_the_plain_recurrence(spark):
+    """Every value of a layer, with many pivots and pieces, on skewed counts."""
+    from roomflow.operators.cuts import next_layer
+
+    rng = np.random.default_rng(2)
+    x, c = np.sort(rng.gamma(0.5, 10, 400)), rng.integers(1, 1000, 400)
+    x = x - (x * c).sum() / c.sum()
+    n, s = np.cumsum(c).astype(float), np.cumsum(x * c)
+    f = s * s / n
+    layer = spark.createDataFrame([(i + 1, float(n[i]), float(s[i]), float(f[i])) for i in range(400)],
+                                  "i bigint, n double, s double, f double").repartition(5)
+    for j in (2, 3):
+        want = [max(f[m] + (s[i] - s[m]) ** 2 / (n[i] - n[m]) for m in range(j - 2, i)) for i in range(j - 1, 400)]
+        layer = next_layer(layer, j, 400, piece=32)
+        got = layer.orderBy("i").collect()
+        assert [r.i for r in got] == list(range(j, 401))
+        assert np.allclose([r.f for r in got], want, rtol=1e-12)
+        f = np.array([0.0] * (j - 1) + want)
 
 
 def test_cuts_of_few_values(spark):
-    from roomflow.operators.recommend import k_means_cuts
+    from roomflow.operators.cuts import k_means_cuts
 
     def cuts(values, k):
         return k_means_cuts(spark.createDataFrame([(v,) for v in values], "_x double"), k)
@@ -180,7 +195,7 @@ def test_upsell_rules_three_baskets(spark):
     assert ml_product_upsell(b.drop("product_name")).count() == 0
 
 
-def test_vertical_and_fpgrowth_miners_agree(spark, sf_small):
+def test_diffset_and_fpgrowth_miners_agree(spark, sf_small):
     from roomflow.sources.fixtures import bookings_view
 
     b = bookings_view(spark, sf_small)
@@ -268,3 +283,49 @@ def test_equally_used_rooms_are_one_cluster(spark):
         rows = ml_underutilized_rooms(util, n_clusters=k).collect()
         assert sorted(r.room_id for r in rows) == list(range(5)) and {r.cluster for r in rows} == {0}
     assert ml_underutilized_rooms(util.limit(0)).collect() == []
+
+
+def _brute_itemsets(baskets, support):
+    n, out = len(baskets), {}
+    items = sorted({i for b in baskets for i in b})
+    def grow(head, rest):
+        for k, x in enumerate(rest):
+            have = sum(set(head) | {x} <= b for b in baskets)
+            if have and have / n >= support:
+                out[(*head, x)] = have
+                grow((*head, x), rest[k + 1:])
+    grow((), items)
+    return out
+
+
+@pytest.mark.parametrize("seed, support, chunk", [(1, 0.05, 1 << 16), (2, 0.1, 16), (3, 0.3, 7), (4, 0.2, 30)])
+def test_itemsets_equal_enumeration(spark, seed, support, chunk):
+    """Also with tenants in small chunks, where an itemset is not frequent in each."""
+    from roomflow.operators.itemsets import frequent_itemsets_diffsets
+
+    rng = np.random.default_rng(seed)
+    baskets = [{f"p{i}" for i in range(9) if rng.random() < (0.15 + 0.08 * i if t % 3 else 0.2)} for t in range(90)]
+    rows = [(f"t{t}", i) for t, b in enumerate(baskets) for i in b] * 2
+    rows += [("t0", None), ("none", None), (None, "p1")]
+    df = spark.createDataFrame(rows, "enterprise_name string, product_name string")
+    tenants = [b for b in baskets if b] + [set()]  # one tenant has no product
+    tenants += [set()] if not baskets[0] else []
+    sets, n = frequent_itemsets_diffsets(df, support, chunk_tenants=chunk)
+    assert n == len(tenants)
+    got = {tuple(r["items"]): r.freq for r in sets.collect()}
+    assert got == _brute_itemsets(tenants, support)
+    some, _ = frequent_itemsets_diffsets(df, support, max_size=2, chunk_tenants=chunk)
+    assert {tuple(r["items"]): r.freq for r in some.collect()} == {k: v for k, v in got.items() if len(k) <= 2}
+
+
+def test_itemsets_of_nothing(spark):
+    from roomflow.operators.itemsets import frequent_itemsets_diffsets, support_limit
+
+    empty = spark.createDataFrame([], "enterprise_name string, product_name string")
+    assert frequent_itemsets_diffsets(empty, 0.1)[1] == 0
+    alone = spark.createDataFrame([("a", None)], "enterprise_name string, product_name string")
+    sets, n = frequent_itemsets_diffsets(alone, 0.1)
+    assert n == 1 and sets.collect() == []
+    for n in range(1, 60):
+        for s in (0.05, 0.1, 0.15, 0.3, 1 / 3, 0.7, 1.0):
+            assert support_limit(s, n) == min(c for c in range(n + 2) if c / n >= s)
