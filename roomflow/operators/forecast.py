@@ -26,6 +26,7 @@ are skipped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import timecols as T
 from ..functions.totals import known, total
+from ..session import reliable, ship_package
 
 EPOCH = "2000-01-01"
 SEASON_MIN_SPAN_DAYS = 730
@@ -70,7 +72,7 @@ def forecast_series(series: DataFrame, keys: list[str] | None = None, periods: i
     s = series.select(*[C.col(k) for k in keys],
                       C.col(date_col).cast("timestamp_ntz").alias("ds"),
                       known(C.col(value_col)).cast("double").alias("y"))
-    s = C.drop_null_keys(s, keys + ["ds"])
+    s = reliable(C.drop_null_keys(s, keys + ["ds"]))  # months x series rows, used five times below
     if not keys:  # one series: joins go by a constant to a table of one row
         s = s.withColumn("_series", F.col("ds").isNull())  # false; a literal would make it a cross join
     by = keys or ["_series"]
@@ -121,6 +123,75 @@ def _on_series(left: DataFrame, right: DataFrame, by: list[str], keys: list[str]
     return left.join(right if keys else F.broadcast(right), by)
 
 
+MAX_POINTS = 100_000  # months of one series that a user model may be given
+
+
+def forecast_with_model(series: DataFrame, model: Callable, keys: list[str], periods: int = 12,
+                        date_col: str = "ds", value_col: str = "y", min_points: int = 2,
+                        max_points: int = MAX_POINTS) -> DataFrame:
+    """A user's model per series: ``model(x, y, at)`` gets numpy arrays of day numbers
+    ``x`` (since 2000-01-01, ascending) with values ``y`` and the day numbers ``at`` of
+    history and future, and returns ``(yhat, lower, upper)`` at ``at``. Columns and
+    dates are those of :func:`forecast_series`, which stays the default.
+
+    Each series goes to one task. A series of more than ``max_points`` rows is an error
+    (raised by the count that runs first); one of fewer than ``min_points`` values is
+    skipped. Rows without a value keep their place in the output only."""
+    import numpy as np
+    import pyarrow as pa
+
+    if periods < 0:
+        raise ValueError("periods must be >= 0")
+    if not keys:
+        raise ValueError("a user model needs keys: one series would be one task")
+    s = series.select(*[C.col(k) for k in keys], C.col(date_col).cast("timestamp_ntz").alias("ds"),
+                      known(C.col(value_col)).cast("double").alias("y"))
+    s = reliable(C.drop_null_keys(s, keys + ["ds"]))
+    longest = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("ds").alias("last"))
+    longest = reliable(longest)
+    most = longest.agg(F.max("n")).first()[0] or 0
+    if most > max_points:
+        raise ValueError(f"a series has {most} rows, more than max_points ({max_points})")
+    ship_package(series.sparkSession)
+    future = F.transform(F.sequence(F.lit(0), F.lit(periods - 1)) if periods else F.array().cast("array<int>"),
+                         lambda i: T.future_month_end(F.col("last"), i))
+    ahead = longest.select(*keys, F.explode(future).alias("ds"))
+    points = s.withColumn("known", F.lit(True)).unionByName(
+        ahead.select(*keys, "ds", F.lit(None).cast("double").alias("y"), F.lit(False).alias("known")))
+    points = points.withColumn("x", _days(F.col("ds")))
+    schema = ", ".join(f"`{k}` {s.schema[k].dataType.simpleString()}" for k in keys)
+
+    def fit(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("x")
+        at = table.column("x").to_numpy().astype(float)
+        y = table.column("y").to_numpy()
+        has = table.column("known").to_numpy(zero_copy_only=False) & ~np.isnan(y)
+        out = table.select([*keys, "ds"])
+        if has.sum() < min_points:
+            out = out.slice(0, 0)
+            bands = [np.zeros(0)] * 3
+        else:
+            bands = model(at[has], y[has], at)
+        for name, v in zip(OUTPUT[1:], bands):
+            out = out.append_column(name, pa.array(np.asarray(v, dtype=float)))
+        return out
+
+    return points.groupBy(*keys).applyInArrow(
+        fit, f"{schema}, ds timestamp_ntz, yhat double, yhat_lower double, yhat_upper double")
+
+
+def straight_line(x, y, at):
+    """A model for :func:`forecast_with_model`: least squares, with a band of one
+    root-mean-square residual."""
+    import numpy as np
+
+    dx = x - x.mean()
+    slope = (dx * y).sum() / (dx * dx).sum() if (dx * dx).sum() else 0.0
+    yhat = y.mean() + slope * (at - x.mean())
+    off = np.sqrt(np.mean((y - y.mean() - slope * dx) ** 2))
+    return yhat, yhat - off, yhat + off
+
+
 def monthly_count_series(bookings: DataFrame, group_by: str | None) -> DataFrame:
     start = C.require(bookings, C.BOOKING_START, "Could not find start datetime for forecasting")
     dtype = {f.name: f.dataType for f in bookings.schema.fields}[start]

@@ -6,6 +6,7 @@ costs one shuffle rather than one per column:
 
 * shape, null counts, min / max / distinct: one global aggregate each
   (map-side partials, one row per task to the final merge);
+* duplicates: 16-byte row fingerprints, whole rows only where one repeats;
 * numeric and datetime summaries: values are counted per (column, value) in the
   only scan of the table, written once in range partitions; moments are weighted
   aggregates of the counts, and exact quartiles with linear interpolation (pandas
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DateType,
@@ -40,6 +41,7 @@ from ..functions import columns as C
 from ..functions.running import ranged_rows, running_totals
 from ..functions.timecols import epoch_micros
 from ..functions.totals import known
+from ..session import reliable
 
 QUARTILES = (0.25, 0.5, 0.75)
 EPOCH_NTZ = "1970-01-01 00:00:00"
@@ -224,9 +226,10 @@ def profile_min_max_unique(df: DataFrame, approx: bool = False) -> DataFrame:
     """
     if not df.columns:
         return _empty(df, "column string, min string, max string, unique bigint")
+    floats = set(_typed(df, (FloatType, DoubleType)))
     aggs = []
     for i, n in enumerate(df.columns):
-        c = C.col(n)
+        c = known(C.col(n)) if n in floats else C.col(n)
         aggs += [F.min(c).cast("string").alias(f"_mn{i}"), F.max(c).cast("string").alias(f"_mx{i}")]
         aggs += [F.approx_count_distinct(c).alias(f"_u{i}")] if approx else []
     row = df.agg(*aggs)
@@ -238,22 +241,44 @@ def profile_min_max_unique(df: DataFrame, approx: bool = False) -> DataFrame:
     if approx:
         return ends
     # Distinct values of all columns in one shuffle of (column, value) rows.
-    floats = set(_typed(df, (FloatType, DoubleType)))
     values = _long(df, df.columns, lambda n: (
-        C.col(n) + F.lit(0.0) if n in floats else C.col(n)).cast("string"))  # -0.0 equals 0.0
+        known(C.col(n)) + F.lit(0.0) if n in floats else C.col(n)).cast("string"))  # -0.0 equals 0.0
     counts = (values.where(F.col("value").isNotNull()).distinct()
               .groupBy("column").agg(F.count(F.lit(1)).alias("_u")))
     return ends.join(counts, "column", "left").select(
         "column", "min", "max", F.coalesce("_u", "unique").alias("unique"))
 
 
+def row_fingerprint(df: DataFrame) -> Column:
+    """128 bits of a whole row; equal rows have equal ones (nulls too)."""
+    cols = [C.col(n) for n in df.columns]
+    where = [c.isNull() for c in cols]  # a null leaves a hash as it was
+    return F.struct(F.xxhash64(*cols, *where).alias("a"), F.xxhash64(F.lit("b"), *where, *cols).alias("b"))
+
+
 def profile_duplicates(df: DataFrame) -> DataFrame:
     """rows, distinct_rows, duplicate_rows (rows beyond the first of each
-    identical group; nulls compare equal)."""
-    groups = df.groupBy(*[C.col(n) for n in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
+    identical group; nulls compare equal).
+
+    Rows are grouped by a fingerprint of 16 bytes. Only where a fingerprint repeats
+    are whole rows compared, so two different rows never count as one."""
     zero = F.lit(0).cast("bigint")
-    return groups.agg(F.coalesce(F.sum("_c"), zero).alias("rows"), F.count(F.lit(1)).alias("distinct_rows"),
-                      F.coalesce(F.sum(F.col("_c") - 1), zero).alias("duplicate_rows"))
+    if not df.columns:
+        return df.agg(F.count(F.lit(1)).alias("rows")).select(
+            "rows", F.least("rows", F.lit(1).cast("bigint")).alias("distinct_rows"),
+            F.greatest(F.col("rows") - 1, zero).alias("duplicate_rows"))
+    counts = reliable(df.select(row_fingerprint(df).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("c"))
+                      .groupBy(F.when(F.col("c") > 1, F.col("f")).alias("f")).agg(
+                          F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")))
+    again = counts.where(F.col("f").isNotNull()).select("f")
+    own = df.select(row_fingerprint(df).alias("f"), F.struct(*[C.col(n) for n in df.columns]).alias("r"))
+    groups = own.join(again, "f", "left_semi").groupBy("r").agg(F.count(F.lit(1)).alias("c"))
+    repeated = groups.agg(F.count(F.lit(1)).alias("d"))
+    single = counts.where(F.col("f").isNull()).agg(F.coalesce(F.sum("n"), zero).alias("s"))
+    total_rows = counts.agg(F.coalesce(F.sum("c"), zero).alias("rows"))
+    one = total_rows.unionByName(single, True).unionByName(repeated, True).agg(
+        F.max("rows").alias("rows"), (F.max("s") + F.max("d")).alias("distinct_rows"))
+    return one.select("rows", "distinct_rows", (F.col("rows") - F.col("distinct_rows")).alias("duplicate_rows"))
 
 
 def _order(df: DataFrame, order_by: Sequence[str] | None, descending: bool) -> list[Column]:
@@ -284,9 +309,7 @@ REVENUE_ROLES = [("date", C.REVENUE_DATE, "timestamp_ntz"), ("price", C.REVENUE_
                  ("product", C.ROI_PRODUCT, "string"), ("duration", C.ROI_DURATION, "double")]
 
 
-def diagnose_columns(df: DataFrame, roles=BOOKING_ROLES) -> DataFrame:
-    """Per role: candidates, resolved column (NULL when none), rows, nulls,
-    and non-null values that do not convert to the role's type."""
+def _role_metrics(df: DataFrame, roles) -> tuple[list[Column], list[tuple]]:
     aggs, meta = [F.count(F.lit(1)).alias("_rows")], []
     for i, (role, cands, target) in enumerate(roles):
         name = C.resolve(df, cands)
@@ -298,6 +321,13 @@ def diagnose_columns(df: DataFrame, roles=BOOKING_ROLES) -> DataFrame:
         else:
             aggs += [F.lit(None).cast("bigint").alias(f"_nul{i}"),
                      F.lit(None).cast("bigint").alias(f"_bad{i}")]
+    return aggs, meta
+
+
+def diagnose_columns(df: DataFrame, roles=BOOKING_ROLES) -> DataFrame:
+    """Per role: candidates, resolved column (NULL when none), rows, nulls,
+    and non-null values that do not convert to the role's type."""
+    aggs, meta = _role_metrics(df, roles)
     row = df.agg(*aggs)
     entries = F.array(*[
         F.struct(F.lit(role).alias("role"), F.lit(cands).alias("candidates"),
@@ -305,3 +335,25 @@ def diagnose_columns(df: DataFrame, roles=BOOKING_ROLES) -> DataFrame:
                  F.col(f"_nul{i}").alias("nulls"), F.col(f"_bad{i}").alias("bad_values"))
         for i, (role, cands, name) in enumerate(meta)])
     return row.select(F.inline(entries))
+
+
+class LoadDiagnosis:
+    """The diagnosis of a table, collected by whatever reads it.
+
+    ``table`` is the table to use in place of ``df``; its first action (a write, a
+    count) fills the metrics as rows pass by, and :meth:`rows` then gives the rows of
+    :func:`diagnose_columns` without another scan."""
+
+    def __init__(self, df: DataFrame, roles=BOOKING_ROLES):
+        aggs, self._meta = _role_metrics(df, roles)
+        self._spark = df.sparkSession
+        self._seen = Observation()
+        self.table = df.observe(self._seen, *aggs)
+
+    def rows(self) -> DataFrame:
+        """Waits for the first action on ``table``."""
+        m = self._seen.get
+        return self._spark.createDataFrame(
+            [(role, cands, name, m["_rows"], m[f"_nul{i}"], m[f"_bad{i}"])
+             for i, (role, cands, name) in enumerate(self._meta)],
+            "role string, candidates string, resolved string, rows bigint, nulls bigint, bad_values bigint")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.totals import total
-from .monthly import monthly_bookings_and_revenue, monthly_revenue_summary
+from ..functions import columns as C
+from ..functions import timecols as T
+from ..functions.grouped import grouped_once
+from ..functions.totals import mean, total
+from .monthly import monthly_bookings_and_revenue, monthly_revenue_summary, revenue_month
 from .ranking import top_revenue_products, top_tenants
-from .utilization import utilization_metrics
+from .utilization import clipped_micros, utilization_metrics, utilization_of, with_booking_times
 
 # main measure of each summary table
 MEASURES = {
@@ -33,7 +37,43 @@ def summary(bookings: DataFrame, revenue: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def summary_kpis(tables: dict[str, DataFrame]) -> DataFrame:
+def summary_in_one_pass(bookings: DataFrame, revenue: DataFrame) -> dict[str, DataFrame]:
+    """The tables of :func:`summary` with each input read once: its group-bys are
+    grouping sets of one aggregate, written at this call."""
+    if C.TENANT not in bookings.columns:
+        raise ValueError("enterprise_name column required for top_tenants")
+    b, _ = with_booking_times(bookings)
+    price = C.resolve(bookings, C.BOOKING_PRICE)
+    rooms = C.present(bookings, C.ROOM_KEYS)
+    b = b.select(T.month_start(F.col("_start")).alias("month"), *[C.col(k) for k in rooms], C.col(C.TENANT),
+                 F.col("_start"), (C.col(price) if price else F.lit(0.0)).alias("_price"),
+                 clipped_micros(F.col("_start"), F.col("_end")).alias("_micros"))
+    part = grouped_once(b, {"monthly": ["month", *rooms], "used": ["month", *rooms[:1]], "tenant": [C.TENANT]}, {
+        "rows": F.count(F.lit(1)), "starts": F.count("_start"), "total": total(F.col("_price")),
+        "mean": mean(F.col("_price")), "_micros": F.sum("_micros")})
+    sold_for = C.require(revenue, C.REVENUE_PRICE, "Price column not found in revenue")
+    keys = C.present(revenue, C.PRODUCT_KEYS)
+    if not keys:
+        raise ValueError("product_name or product_type required in revenue for top products")
+    counted = "product_name" if "product_name" in keys else sold_for
+    r = revenue.select(revenue_month(revenue).alias("month"), *[C.col(k) for k in keys],
+                       C.col(sold_for).alias("_price"), C.col(counted).alias("_counted"))
+    sold = grouped_once(r, {"month": ["month"], "product": keys}, {
+        "total_revenue": total(F.col("_price")), "avg_revenue": mean(F.col("_price")), "count": F.count("_counted")})
+    return {
+        "bookings_monthly": part["monthly"].select("month", *rooms, F.col("starts").alias("bookings_count"),
+                                                   F.col("mean").alias("avg_revenue")),
+        "revenue_monthly": sold["month"].select("month", "total_revenue", "avg_revenue"),
+        "utilization": utilization_of(part["used"], ["month", *rooms[:1]]),
+        "top_tenants": part["tenant"].select(
+            C.TENANT, F.col("rows").alias("booking_count"), F.col("total").alias("total_revenue")).orderBy(
+            F.desc("booking_count"), F.desc("total_revenue"), F.asc(C.TENANT)).limit(10),
+        "top_products": sold["product"].select(*keys, "total_revenue", "avg_revenue", "count").orderBy(
+            F.desc("total_revenue"), *[F.asc(k) for k in keys]).limit(20),
+    }
+
+
+def summary_kpis(tables: Mapping[str, DataFrame], measures: Mapping[str, str] = MEASURES) -> DataFrame:
     """One row per table: table_name, rows, measure, measure_total.
 
     Each row is one global aggregate of its table (partial aggregates, a
@@ -41,7 +81,7 @@ def summary_kpis(tables: dict[str, DataFrame]) -> DataFrame:
     """
     rows = []
     for name, df in tables.items():
-        measure = MEASURES[name]
+        measure = measures[name]
         rows.append(df.agg(F.count(F.lit(1)).alias("rows"),
                            total(F.col(measure)).alias("measure_total"))
                     .select(F.lit(name).alias("table_name"), "rows", F.lit(measure).alias("measure"),

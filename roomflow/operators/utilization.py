@@ -6,7 +6,8 @@ its own day; nights inside a multi-day booking still count. The month is the
 start's month. Minutes are summed as exact microsecond counts (bigint), so
 the totals do not depend on partitioning; the one shuffle is the
 ``groupBy(month, room)`` after a map-side partial aggregate, whose output is
-rooms x months rows however large the input is.
+rooms x months rows however large the input is. ``mode='daily'`` counts the open
+hours of every day instead, in closed form (no row per day).
 """
 
 from __future__ import annotations
@@ -51,25 +52,74 @@ def with_booking_times(bookings: DataFrame, need_end: bool = True) -> tuple[Data
     return out, end
 
 
+def open_micros(start: Column, end: Column, start_hour: int = 9, end_hour: int = 18) -> Column:
+    """Microseconds of a booking inside the opening hours of every day it touches:
+    the open time up to its end less that up to its start, each a whole number of
+    days times the day's opening plus the part of the last day. NULL when either end
+    is NULL, 0 when the end is not after the start."""
+    _check_hours(start_hour, end_hour)
+    opening = max(0, end_hour - start_hour) * T.MICROS_PER_HOUR
+
+    def today(ts: Column) -> Column:
+        since = T.micros_of_day(ts) - F.lit(start_hour * T.MICROS_PER_HOUR)
+        return F.least(F.greatest(since, F.lit(0).cast("bigint")), F.lit(opening).cast("bigint"))
+
+    whole = T.days_between(start, end) * F.lit(opening) + today(end) - today(start)
+    return F.when(start.isNotNull() & end.isNotNull(), F.greatest(whole, F.lit(0).cast("bigint")))
+
+
+def _split_by_month(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per booking and month it touches, its ends cut at the month's; a booking
+    without an end after its start keeps one row, in the month of its start."""
+    first = T.month_start(F.col("_start"))
+    months = F.greatest(F.lit(0), F.months_between(
+        T.month_start(F.col("_end") - F.expr("INTERVAL '0.000001' SECOND")).cast("date"),
+        first.cast("date")).cast("int"))
+    longer = F.col("_end") > F.col("_start")
+    rows = df.select(*[C.col(k) for k in keys], "_start", "_end", first.alias("_first"), F.explode(
+        F.when(longer, F.sequence(F.lit(0), months)).otherwise(F.array(F.lit(0)))).alias("_k"))
+    month = F.add_months(F.col("_first").cast("date"), F.col("_k")).cast("timestamp_ntz")
+    after = F.add_months(F.col("_first").cast("date"), F.col("_k") + 1).cast("timestamp_ntz")
+    rows = rows.withColumns({"month": month, "_after": after})
+    return rows.select(*[C.col(k) for k in keys], "month", F.greatest("_start", "month").alias("_start"),
+                       F.when(F.col("_end").isNotNull(), F.least("_end", "_after")).alias("_end"))
+
+
 def utilization_metrics(bookings: DataFrame, available_start_hour: int = 9,
-                        available_end_hour: int = 18) -> DataFrame:
+                        available_end_hour: int = 18, mode: str = "endpoints") -> DataFrame:
     """Utilization % per month and room (else property, else month only).
 
     Columns: month, [room_id | property_id], booked_minutes (double),
     available_minutes (bigint), utilization_pct (double). The denominator is
     one room's opening minutes in that month, for every grouping.
+
+    ``mode``: 'endpoints' clips the two outer ends only and puts a booking into the
+    month of its start (the original's rule); 'daily' counts the opening hours of
+    every day and puts each part of a booking into its own month.
     """
+    if mode not in ("endpoints", "daily"):
+        raise ValueError("mode must be 'endpoints' or 'daily'")
     df, _ = with_booking_times(bookings)
     group_key = C.present(df, ["room_id"]) or C.present(df, ["property_id"])
     keys = ["month"] + group_key
-    per_row = df.select(
-        T.month_start(F.col("_start")).alias("month"),
-        *[C.col(k) for k in group_key],
-        clipped_micros(F.col("_start"), F.col("_end"), available_start_hour,
-                       available_end_hour).alias("_micros"))
+    hours = (available_start_hour, available_end_hour)
+    if mode == "daily":
+        per_row = _split_by_month(df, group_key).select(
+            *keys, open_micros(F.col("_start"), F.col("_end"), *hours).alias("_micros"))
+    else:
+        per_row = df.select(
+            T.month_start(F.col("_start")).alias("month"),
+            *[C.col(k) for k in group_key],
+            clipped_micros(F.col("_start"), F.col("_end"), *hours).alias("_micros"))
     booked = (C.drop_null_keys(per_row, keys)
               .groupBy(*keys)
               .agg(F.sum("_micros").alias("_micros")))
+    return utilization_of(booked, keys, *hours)
+
+
+def utilization_of(booked: DataFrame, keys: list[str], available_start_hour: int = 9,
+                   available_end_hour: int = 18) -> DataFrame:
+    """Utilization columns of groups with their booked microseconds ``_micros``."""
     per_day = (available_end_hour - available_start_hour) * 60
     available = (T.days_in_month(F.col("month")) * F.lit(per_day)).cast("bigint")
     booked_minutes = F.coalesce(F.col("_micros"), F.lit(0)).cast("double") / F.lit(

@@ -114,3 +114,23 @@ def report_forecast_bookings(spark, sf_dir):
 @register("report_forecast_revenue", forecast_sql(_REVENUE_SERIES_SQL, [], 12), rounded=POINTS, digits=1)
 def report_forecast_revenue(spark, sf_dir):
     return generate_report(bookings(spark, sf_dir), revenue(spark, sf_dir))["forecast_revenue"]
+
+
+@register("forecast_user_model", f"""
+WITH series AS ({_booking_series_sql("room_id")}),
+s AS (SELECT *, date_diff('day', DATE '{FC.EPOCH}', CAST(ds AS DATE)) AS x
+      FROM series WHERE ds IS NOT NULL AND room_id IS NOT NULL),
+fit AS (SELECT room_id, regr_slope(y, x) AS b, regr_avgy(y, x) AS ybar, regr_avgx(y, x) AS xbar,
+               sqrt(greatest(regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x), 0)
+                    / regr_count(y, x)) AS off, max(ds) AS max_ds
+        FROM s GROUP BY room_id HAVING COUNT(*) >= 2),
+pts AS (SELECT room_id, ds FROM s JOIN fit USING (room_id)
+        UNION ALL SELECT room_id, CAST(last_day(CAST(max_ds AS DATE) + to_months(t.i)) AS TIMESTAMP)
+        FROM fit CROSS JOIN range(0, 3) AS t(i)),
+f AS (SELECT room_id, ds, off,
+             ybar + b * (date_diff('day', DATE '{FC.EPOCH}', CAST(ds AS DATE)) - xbar) AS yhat
+      FROM pts JOIN fit USING (room_id))
+SELECT room_id, ds, yhat, yhat - off AS yhat_lower, yhat + off AS yhat_upper FROM f""", rounded=POINTS)
+def forecast_user_model(spark, sf_dir):
+    series = FC.monthly_count_series(bookings(spark, sf_dir), "room_id")
+    return FC.forecast_with_model(series, FC.straight_line, ["room_id"], periods=3)

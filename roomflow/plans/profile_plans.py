@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions.timecols import month_start
 from ..operators import profile as P
+from ..operators import sketches as S
+from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import read_table
 from .catalog import bookings, register, revenue
 
@@ -149,3 +156,52 @@ def diagnose_bookings(spark, sf_dir):
 def diagnose_revenue(spark, sf_dir):
     return P.diagnose_columns(revenue(spark, sf_dir), P.REVENUE_ROLES)
 
+
+
+# --- mergeable profiles: sketches stored per month, merged, checked against the table ------
+
+def _stored(spark, df, name: str):
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _merged_sketches(spark, sf_dir):
+    b = bookings(spark, sf_dir)
+    parts = S.column_sketches(b.withColumn("month", month_start(F.col("booking_start_time"))), ["month"], NUMERIC)
+    return b, S.merge_sketches(_stored(spark, parts, "sketches"))
+
+
+@register("profile_quantile_sketches", _union([
+    f"SELECT '{c}' AS \"column\", CAST({p} AS DOUBLE) AS p, COUNT({c}) AS count, TRUE AS within FROM bookings"
+    for c in NUMERIC for p in P.QUARTILES]))
+def profile_quantile_sketches(spark, sf_dir):
+    b, merged = _merged_sketches(spark, sf_dir)
+    answers = _stored(spark, S.sketched_quantiles(merged, P.QUARTILES), "quantiles")
+    return S.check_quantiles(b, answers)
+
+
+@register("profile_distinct_sketches", _union([
+    f"SELECT '{c}' AS \"column\", COUNT({c}) AS count, COUNT(DISTINCT {c}) AS \"unique\", TRUE AS within FROM bookings"
+    for c in NUMERIC]))
+def profile_distinct_sketches(spark, sf_dir):
+    b, merged = _merged_sketches(spark, sf_dir)
+    exact = P.profile_min_max_unique(b.select(*NUMERIC)).select("column", "unique")
+    found = S.sketched_distinct(merged).withColumnRenamed("unique", "estimate").join(exact, "column")
+    off = F.abs(F.col("estimate") - F.col("unique"))
+    return found.select("column", "count", "unique", (off <= 4 * S.distinct_error() * F.col("unique")).alias("within"))
+
+
+@register("profile_top_values", _union([
+    f"SELECT \"column\", count, top, freq FROM ({_categorical_sql(c)}) q" for c in STRINGS]))
+def profile_top_values(spark, sf_dir):
+    return S.exact_top(bookings(spark, sf_dir), STRINGS).drop("recounted")
+
+
+@register("diagnose_bookings_while_loading", _diagnose_sql("bookings", P.BOOKING_ROLES,
+                                                           [c for c, _ in BOOKING_COLUMNS], dict(BOOKING_COLUMNS)))
+def diagnose_bookings_while_loading(spark, sf_dir):
+    # The load itself (here a write) collects the metrics.
+    load = P.LoadDiagnosis(bookings(spark, sf_dir), P.BOOKING_ROLES)
+    _stored(spark, load.table, "loaded")
+    return load.rows()

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from ..operators import report as R
+from ..operators.summary import summary_kpis
 from .catalog import bookings, money_mean_sql, money_total_sql, month_sql, register, revenue
 
 
 def _report(spark, sf_dir):
-    """The report's tables; nothing is computed before one of them is used."""
+    """The report's tables; each is planned when it is asked for."""
     return R.generate_report(bookings(spark, sf_dir), revenue(spark, sf_dir))
 
 
@@ -90,7 +91,7 @@ def report_top_products(spark, sf_dir):
     return _report(spark, sf_dir)["top_products"]
 
 
-@register("report_roi_products", f"""
+_ROI_SQL = f"""
 SELECT product_name, {money_mean_sql('rate')} AS avg_revenue_per_minute,
        {money_total_sql('calculated_price')} AS total_revenue
 FROM (SELECT product_name, calculated_price,
@@ -100,6 +101,40 @@ FROM (SELECT product_name, calculated_price,
 WHERE product_name IS NOT NULL
 GROUP BY product_name
 ORDER BY avg_revenue_per_minute DESC NULLS LAST, product_name ASC
-LIMIT 10""", rounded=("avg_revenue_per_minute",))
+LIMIT 10"""
+
+
+@register("report_roi_products", _ROI_SQL, rounded=("avg_revenue_per_minute",))
 def report_roi_products(spark, sf_dir):
     return _report(spark, sf_dir)["roi_products"]
+
+
+# --- the whole report, each input read once (C5) ---------------------------------
+
+def _report_kpi_sql() -> str:
+    from .forecast_plans import _REVENUE_SERIES_SQL, _booking_series_sql, forecast_sql
+
+    part = f"FROM (SELECT {month_sql('booking_start_time')} AS month, * FROM bookings) t"
+    sqls = {
+        "monthly_bookings": f"SELECT {money_total_sql('calculated_price')} AS total_revenue {part} "
+                            "WHERE month IS NOT NULL GROUP BY month",
+        "monthly_revenue": f"SELECT {money_total_sql('price')} AS total_revenue FROM (SELECT "
+                           f"{month_sql('created_at')} AS month, price FROM revenue) t WHERE month IS NOT NULL GROUP BY month",
+        "room_utilization": _room_util_sql(9, True),
+        "top_tenants": f"SELECT {money_total_sql('calculated_price')} AS revenue FROM bookings "
+                       "WHERE enterprise_name IS NOT NULL GROUP BY enterprise_name ORDER BY revenue DESC LIMIT 10",
+        "top_products": f"SELECT {money_total_sql('price')} AS total_revenue FROM revenue "
+                        "WHERE product_name IS NOT NULL GROUP BY product_name ORDER BY total_revenue DESC LIMIT 10",
+        "forecast_bookings": forecast_sql(_booking_series_sql("room_id"), ["room_id"], 3),
+        "forecast_revenue": forecast_sql(_REVENUE_SERIES_SQL, [], 12),
+        "underutilized": _room_util_sql(9, False, "< 30"),
+        "roi_products": _ROI_SQL,
+    }
+    return "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS table_name, COUNT(*) AS rows, '{R.REPORT_MEASURES[name]}' AS measure, "
+        f"{money_total_sql(R.REPORT_MEASURES[name])} AS measure_total FROM ({sql}) t" for name, sql in sqls.items())
+
+
+@register("report_kpis", _report_kpi_sql(), rounded=("measure_total",), digits=0)
+def report_kpis(spark, sf_dir):
+    return summary_kpis(R.report_in_one_pass(bookings(spark, sf_dir), revenue(spark, sf_dir)), R.REPORT_MEASURES)

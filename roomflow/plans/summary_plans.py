@@ -12,10 +12,11 @@ from ..operators.ranking import (
     top_revenue_products,
     top_tenants,
 )
-from ..operators.summary import summary, summary_kpis
+from ..operators.summary import summary_in_one_pass, summary_kpis
 from ..session import ensure_checkpoint_dir
-from ..sources.io import load_data, records_from_json, records_json
+from ..sources.io import load_table, records_from_json, records_json
 from .catalog import bookings, money_mean_sql, money_total_sql, month_sql, register, revenue
+from .utilization_plans import _util_sql
 
 
 def _monthly_bookings_sql(keys: list[str], price: str | None = "calculated_price") -> str:
@@ -175,8 +176,6 @@ def product_revenue_rate_no_minutes(spark, sf_dir):
 # --- summary bundle digest (C1) and the JSON records sink (K1) --------------
 
 def _kpi_sql() -> str:
-    from .utilization_plans import _util_sql
-
     parts = [
         ("bookings_monthly", "bookings_count", _monthly_bookings_sql(["room_id", "property_id"])),
         ("revenue_monthly", "total_revenue", _monthly_revenue_sql(month_sql("created_at"))),
@@ -191,33 +190,30 @@ def _kpi_sql() -> str:
 
 @register("summary_kpis", _kpi_sql(), rounded=("measure_total",), digits=2)
 def summary_kpis_q(spark, sf_dir):
-    return summary_kpis(summary(bookings(spark, sf_dir), revenue(spark, sf_dir)))
+    return summary_kpis(summary_in_one_pass(bookings(spark, sf_dir), revenue(spark, sf_dir)))
 
 
 _RECORDS = [
     ("bookings_monthly", _monthly_bookings_sql(["room_id", "property_id"])),
     ("revenue_monthly", _monthly_revenue_sql(month_sql("created_at"))),
+    ("utilization", _util_sql(["room_id"])),
     ("top_tenants", _top_tenants_sql("calculated_price")),
     ("top_products", _top_products_sql(["product_name", "product_type"])),
 ]
-# Columns of the records in one table: a row per record, a filler where it has no value.
-_RECORD_COLUMNS = [
-    ("month", "timestamp_ntz", "TIMESTAMP"), ("room_id", "bigint", "BIGINT"), ("property_id", "int", "INTEGER"),
-    ("enterprise_name", "string", "VARCHAR"), ("product_name", "string", "VARCHAR"),
-    ("product_type", "string", "VARCHAR"), ("bookings_count", "bigint", "BIGINT"),
-    ("booking_count", "bigint", "BIGINT"), ("count", "bigint", "BIGINT"), ("avg_revenue", "double", "DOUBLE"),
-    ("total_revenue", "double", "DOUBLE")]
-
-
-_FILLERS = {"VARCHAR": "'-'", "TIMESTAMP": "TIMESTAMP '1970-01-01 00:00:00'"}
+# Columns of the records in one table: a row per record, null where it has no value
+# (numbers as doubles, which both engines hand over with their nulls alike).
+_RECORD_COLUMNS = [("month", "timestamp_ntz", "TIMESTAMP")] + [
+    (c, "string", "VARCHAR") for c in ("enterprise_name", "product_name", "product_type")] + [
+    (c, "double", "DOUBLE") for c in ("room_id", "property_id", "bookings_count", "booking_count", "count", "avg_revenue",
+                                      "total_revenue", "booked_minutes", "available_minutes", "utilization_pct")]
 
 
 def _records_sql() -> str:
     blank = ", ".join(f'CAST(NULL AS {t}) AS "{c}"' for c, _, t in _RECORD_COLUMNS)
     parts = [f"SELECT CAST(NULL AS VARCHAR) AS table_name, {blank} WHERE false"]
     parts += [f"SELECT '{name}' AS table_name, * FROM ({sql}) t" for name, sql in _RECORDS]
-    filled = ", ".join(f'COALESCE("{c}", {_FILLERS.get(t, "-1")}) AS "{c}"' for c, _, t in _RECORD_COLUMNS)
-    return f"SELECT table_name, {filled} FROM ({' UNION ALL BY NAME '.join(parts)}) u"
+    typed = ", ".join(f'CAST("{c}" AS {t}) AS "{c}"' for c, _, t in _RECORD_COLUMNS)
+    return f"SELECT table_name, {typed} FROM ({' UNION ALL BY NAME '.join(parts)}) u"
 
 
 @register("records_json", _records_sql())
@@ -225,8 +221,7 @@ def records_json_q(spark, sf_dir):
     # Records sink: the summary tables as JSON, checked after the round trip back to columns.
     from pyspark.sql import functions as F
 
-    tables = summary(bookings(spark, sf_dir), revenue(spark, sf_dir))
-    schema = ", ".join(f"`{c}` {t}" for c, t, _ in _RECORD_COLUMNS)
+    tables = summary_in_one_pass(bookings(spark, sf_dir), revenue(spark, sf_dir))
     out = None
     for name, _ in _RECORDS:
         back = records_from_json(records_json(tables[name]), tables[name].schema)
@@ -234,9 +229,7 @@ def records_json_q(spark, sf_dir):
         back = back.select(F.lit(name).alias("table_name"), *[
             (F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t, _ in _RECORD_COLUMNS])
         out = back if out is None else out.unionByName(back)
-    filler = {"string": F.lit("-"), "timestamp_ntz": F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")}
-    return out.select("table_name", *[
-        F.coalesce(c, filler.get(t, F.lit(-1).cast(t))).alias(c) for c, t, _ in _RECORD_COLUMNS])
+    return out
 
 
 # --- loading (S1, S2): files with padded headers, read by the loader ---------
@@ -252,17 +245,15 @@ def _as_double(table: str, price: str) -> str:
     return f"SELECT * REPLACE (CAST({price} AS DOUBLE) AS {price}) FROM {table}"
 
 
-def _loaded(spark, sf_dir):
-    b, r = bookings(spark, sf_dir), revenue(spark, sf_dir)
-    return load_data(spark, _written(spark, b.withColumn("calculated_price", b["calculated_price"].cast("double")), "b"),
-                     _written(spark, r.withColumn("price", r["price"].cast("double")), "r"))
+def _loaded(spark, df, price: str, name: str):
+    return load_table(spark, _written(spark, df.withColumn(price, df[price].cast("double")), name))
 
 
 @register("load_bookings", _as_double("bookings", "calculated_price"))
 def load_bookings(spark, sf_dir):
-    return _loaded(spark, sf_dir)[0]
+    return _loaded(spark, bookings(spark, sf_dir), "calculated_price", "b")
 
 
 @register("load_revenue", _as_double("revenue", "price"))
 def load_revenue(spark, sf_dir):
-    return _loaded(spark, sf_dir)[1]
+    return _loaded(spark, revenue(spark, sf_dir), "price", "r")

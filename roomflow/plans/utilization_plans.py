@@ -54,3 +54,27 @@ def underutilized_rooms(spark, sf_dir):
 @register("underutilized_rooms_t12", _util_sql(["room_id"], where="utilization_pct < 12.0"))
 def underutilized_rooms_t12(spark, sf_dir):
     return recommend_underutilized(utilization_metrics(bookings(spark, sf_dir)), 12.0)
+
+
+# Every day of a booking as a row (checking only: the Spark side has a closed form).
+_DAILY_SQL = """
+SELECT month, room_id, booked_minutes, available_minutes,
+       100.0 * booked_minutes / CAST(available_minutes AS DOUBLE) AS utilization_pct
+FROM (
+  SELECT month, room_id, CAST(COALESCE(SUM(mic), 0) AS DOUBLE) / 60000000.0 AS booked_minutes,
+         CAST(day(last_day(month)) * 540 AS BIGINT) AS available_minutes
+  FROM (
+    SELECT date_trunc('month', d) AS month, room_id, CASE WHEN e IS NOT NULL THEN greatest(
+             epoch_us(least(e, d + INTERVAL 18 HOUR)) - epoch_us(greatest(s, d + INTERVAL 9 HOUR)), 0) END AS mic
+    FROM (SELECT room_id, booking_start_time AS s, booking_end_time AS e, unnest(generate_series(
+            date_trunc('day', booking_start_time),
+            CASE WHEN booking_end_time > booking_start_time
+                 THEN date_trunc('day', booking_end_time - INTERVAL 1 MICROSECOND)
+                 ELSE date_trunc('day', booking_start_time) END, INTERVAL 1 DAY)) AS d FROM bookings) x) y
+  WHERE month IS NOT NULL AND room_id IS NOT NULL
+  GROUP BY month, room_id) z"""
+
+
+@register("utilization_daily", _DAILY_SQL)
+def utilization_daily(spark, sf_dir):
+    return utilization_metrics(bookings(spark, sf_dir), mode="daily")

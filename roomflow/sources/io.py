@@ -6,12 +6,16 @@ Parquet or CSV once, outside the query path. Column headers are stripped of
 surrounding blanks on load.
 
 Sinks: JSON records (one object per row, as a column or as files), and the
-multi-table report written as one Parquet directory per table.
+multi-table report written as one Parquet directory per table, or published as a
+whole behind a manifest.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +81,7 @@ def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).options(**JSON_OPTIONS).json(path)
 
 
-def write_report(tables: dict[str, DataFrame | None], path: str, mode: str = "overwrite") -> list[str]:
+def write_report(tables: Mapping[str, DataFrame | None], path: str, mode: str = "overwrite") -> list[str]:
     """Write each non-empty report table to ``path/<name>`` as Parquet.
 
     Returns the names written. Tables that could not be built (None) are
@@ -90,3 +94,43 @@ def write_report(tables: dict[str, DataFrame | None], path: str, mode: str = "ov
         table.write.mode(mode).parquet(f"{path.rstrip('/')}/{name}")
         written.append(name)
     return written
+
+
+MANIFEST = "report.json"
+
+
+def publish_report(tables: Mapping[str, DataFrame | None], path: str) -> str:
+    """Write the report as a whole: its tables go to a new folder under ``path``, then
+    the manifest that names the folder takes the place of the old one. A failure
+    before that leaves the report that readers see untouched. Returns the folder.
+    Earlier folders stay until they are cleaned."""
+    spark = SparkSession.getActiveSession()
+    root = path.rstrip("/")
+    version = f"v-{uuid.uuid4().hex}"
+    written = write_report(tables, f"{root}/{version}", mode="error")
+    body = json.dumps({"version": version, "tables": written}).encode()
+    fs, old = _file(spark, f"{root}/{MANIFEST}")
+    _, new = _file(spark, f"{root}/{version}/{MANIFEST}")
+    out = fs.create(new)
+    out.write(bytearray(body))
+    out.close()
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        old.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    rename = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(context.makeQualified(new), context.makeQualified(old), options)  # one step
+    return f"{root}/{version}"
+
+
+def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the report last published under ``path``."""
+    root = path.rstrip("/")
+    text = "".join(r["value"] for r in spark.read.text(f"{root}/{MANIFEST}").collect())  # one small file
+    found = json.loads(text)
+    return {name: spark.read.parquet(f"{root}/{found['version']}/{name}") for name in found["tables"]}
+
+
+def _file(spark: SparkSession, name: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

@@ -10,7 +10,7 @@ from roomflow.plans import QUERIES
 
 NAMES = sorted(QUERIES)
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
-             "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF"]
+             "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF", "FlatMapGroupsInArrow", "MapInArrow"]
 
 
 def _plan(df) -> str:
@@ -20,7 +20,10 @@ def _plan(df) -> str:
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", NAMES)
+USER_CODE = {"forecast_user_model"}  # runs a user's function by its purpose
+
+
+@pytest.mark.parametrize("name", sorted(set(NAMES) - USER_CODE))
 def test_plan_shape(spark, sf_small, name):
     sf = sf_small if name != "upsell_rules" else "/root/testdata/sf0.01"  # see test_oracle
     plan = _plan(QUERIES[name](spark, sf))
