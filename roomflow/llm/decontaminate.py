@@ -9,14 +9,15 @@ A document is contaminated by an item when a window of as many words as the item
 
 Method: items are the stated query set; they are taken in blocks of bounded
 size against all documents. Every shingle of a document is looked up among a
-block's shingles (a broadcast bounded by the block), which gives hit rows
-(document, item, position). A similarity of ``s`` needs ``2s/(1+s)`` of the
+block's shingles (a broadcast bounded by the block, shingles of all lengths in one
+pass), which gives hit rows (document, item, position). A similarity of ``s`` needs ``2s/(1+s)`` of the
 window's shingles to be hits, and moving a window right to its next hit, or to
 the end of the document, never loses one; so only windows that begin at a hit
 (or end with the document) and hold enough hits are fingerprinted. Fingerprints
-meet in multi-index Hamming blocks: ``radius + 1`` blocks of the 64 bits, at
-least one of which is equal within the radius, so every pair within the radius
-becomes a candidate; the distance and the exact similarity then decide.
+meet those of the items that the hits belong to in multi-index Hamming blocks:
+``radius + 1`` blocks of the 64 bits, at least one of which is equal within the
+radius, so every pair within the radius becomes a candidate, once; the distance and
+the exact similarity then decide. Work grows with the hits.
 
 Words are runs outside space and ASCII 9-13, lower-cased. An item or window
 of fewer words than ``shingle`` is one shingle. All rows are handled by content
@@ -32,7 +33,7 @@ are ignored (:func:`find_leaks`) or passed through (:func:`drop_leaks`).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,17 +53,27 @@ def _words(text: Column) -> Column:
     return words_of(F.lower(text))
 
 
-def _n_shingles(n_words: Column, size: int) -> Column:
-    return F.greatest(n_words - F.lit(size - 1), F.least(n_words, F.lit(1)))
+def _n_shingles(n_words: Column, size: Column) -> Column:
+    return F.greatest(n_words - size + 1, F.least(n_words, F.lit(1)))
 
 
-def _hashes(words: Column, size: int) -> Column:
-    """Hashes of the ``size``-word shingles, in order."""
-    return F.transform(indices(_n_shingles(F.size(words), size)),
-                       lambda i: F.xxhash64(F.slice(words, i, size)))
+def _shingles(h: Column, size: int) -> Column:
+    """Hashes of the ``size``-word shingles of the word hashes ``h``, in order."""
+    return F.transform(indices(_n_shingles(F.size(h), F.lit(size)), 0),
+                       lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)]))
 
 
-def _counted_shingles(words: Column, size: int) -> Column:
+def _word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _hashes(words: Column, size: Column, sizes: Sequence[int]) -> Column:
+    """Shingle hashes for the length in the column ``size``, one of ``sizes``."""
+    return let(_word_hashes(words), lambda h: reduce(
+        lambda rest, n: F.when(size == n, _shingles(h, n)).otherwise(rest), sizes, F.array().cast("array<bigint>")))
+
+
+def _counted_shingles(words: Column, size: Column) -> Column:
     """The shingles themselves, each with its occurrence number: the size of the
     intersection of two such sets is that of the multisets."""
     sorted_shingles = F.array_sort(F.transform(
@@ -100,6 +111,17 @@ def _hamming_blocks(fp: Column, radius: int) -> Column:
         for k in range(n)])
 
 
+def _first_equal_block(differ: Column, radius: int) -> Column:
+    """The first of the ``radius + 1`` blocks in which two fingerprints are equal."""
+    n = radius + 1
+    cuts = [64 * k // n for k in range(n + 1)]
+    out = F.lit(None).cast("int")
+    for k in reversed(range(n)):
+        part = F.shiftrightunsigned(differ, cuts[k]).bitwiseAND((1 << (cuts[k + 1] - cuts[k])) - 1)
+        out = F.when(part == 0, F.lit(k)).otherwise(out)
+    return out
+
+
 def _key(doc_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(doc_id, text).alias("k1"), F.hash(text).alias("k2"), F.octet_length(text).alias("k3")]
 
@@ -128,12 +150,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = benchmark.select(F.col(item_id_col).alias("item_id"), text_or_empty(item_text_col).alias("text"))
     items = materialize(items.select("item_id", "text", _words(text).alias("words")).select(
         "*", F.size("words").alias("n_words")).filter("n_words > 0"), "bench-items")
+    items = items.withColumn("size", F.least("n_words", F.lit(shingle)))
     found = []
     for block in _item_blocks(items, block_words):
-        sizes = block.select(F.least("n_words", F.lit(shingle)).alias("s")).distinct().collect()  # <= shingle rows
-        for size in sorted(r.s for r in sizes):
-            found.append(_scan(keyed, block.filter(F.least("n_words", F.lit(shingle)) == size),
-                               size, similarity, radius))
+        sizes = sorted(r["size"] for r in block.select("size").distinct().collect())  # at most ``shingle`` rows
+        if sizes:
+            found.append(_scan(keyed, block, sizes, similarity, radius))
     if not found:
         return keyed.filter("false").select(
             *KEY, "doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"),
@@ -142,27 +164,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return reduce(DataFrame.union, found)
 
 
-def _scan(keyed: DataFrame, items: DataFrame, size: int, similarity: float, radius: int) -> DataFrame:
-    """The leaks of one block of items, all of shingle length ``size``."""
-    words = F.col("words")
+def _scan(keyed: DataFrame, items: DataFrame, sizes: Sequence[int], similarity: float, radius: int) -> DataFrame:
+    """The leaks of one block of items, whose shingles have the lengths ``sizes``:
+    one pass over the documents' words, another over the texts with enough hits."""
+    words, size = F.col("words"), F.col("size")
     items = materialize(items.select(
-        F.monotonically_increasing_id().alias("item"), "item_id", "words", "n_words",
+        F.monotonically_increasing_id().alias("item"), "item_id", "words", "n_words", "size",
         _n_shingles(F.col("n_words"), size).alias("item_size"),
-        let(_hashes(words, size), _simhash).alias("item_fp")), "bench-block")
+        _hashes(words, size, sizes).alias("hashes")).withColumn("item_fp", _simhash(F.col("hashes"))), "bench-block")
 
     # 1. All documents' shingles against the block's (at most block_words rows are broadcast).
-    in_items = items.select("item", "n_words", "item_size", F.explode(F.array_distinct(
-        _hashes(words, size))).alias("h")).withColumnRenamed("n_words", "item_words")
+    in_items = items.select("item", "n_words", "item_size", "size", F.explode(F.array_distinct("hashes")).alias(
+        "h")).withColumnRenamed("n_words", "item_words")
+    placed = let(_word_hashes(words), lambda h: F.concat(*[F.transform(
+        _shingles(h, n), lambda x, i: F.struct(F.lit(n).alias("size"), x.alias("h"), i.alias("pos"))) for n in sizes]))
     shingled = keyed.filter(F.size("words") > 0).select(
-        *KEY, F.size("words").alias("doc_words"), F.posexplode(_hashes(words, size)).alias("pos", "h"))
-    hits = materialize(shingled.join(F.broadcast(in_items), "h").select(
-        *KEY, "item", "item_words", "item_size", "doc_words", "pos").dropDuplicates([*KEY, "item", "pos"]),
+        *KEY, F.size("words").alias("doc_words"), F.explode(placed).alias("p")).select(
+        *KEY, "doc_words", "p.size", "p.h", "p.pos")
+    hits = materialize(shingled.join(F.broadcast(in_items), ["h", "size"]).select(
+        *KEY, "item", "item_words", "item_size", "size", "doc_words", "pos").dropDuplicates([*KEY, "item", "pos"]),
         "bench-hits")
 
     # 2. Windows with enough hits. ``last`` is the start of a window that ends with the document.
     window = F.least("item_size", _n_shingles(F.col("doc_words"), size))
     need = F.ceil(F.lit(similarity) * (F.col("window") + F.col("item_size")) / F.lit(1 + similarity) - F.lit(1e-9))
-    grouped = hits.groupBy(*KEY, "item", "item_words", "item_size", "doc_words").agg(
+    grouped = hits.groupBy(*KEY, "item", "item_words", "item_size", "size", "doc_words").agg(
         F.count(F.lit(1)).alias("n"), F.collect_list("pos").alias("at")).withColumn("window", window).withColumn(
         "need", need.cast("int")).withColumn("last", _n_shingles(F.col("doc_words"), size) - F.col("window"))
     grouped = grouped.filter("n >= need").withColumn("at", F.array_sort("at"))
@@ -171,27 +197,28 @@ def _scan(keyed: DataFrame, items: DataFrame, size: int, similarity: float, radi
     at_end = F.when(F.size(F.filter("at", lambda p: p >= F.col("last"))) >= F.col("need"),
                     F.array("last")).otherwise(F.array().cast("array<int>"))
     windows = materialize(grouped.select(
-        *KEY, "item_size", F.least("item_words", "doc_words").alias("window_words"), "window",
-        F.explode(F.array_union(here, at_end)).alias("start")).distinct(), "bench-windows")
+        *KEY, "item", "size", F.least("item_words", "doc_words").alias("window_words"), "window",
+        F.explode(F.array_union(here, at_end)).alias("start")), "bench-windows")
 
-    # 3. Fingerprints of the windows; multi-index blocks give every item within the radius.
+    # 3. Fingerprints of the windows meet those of the items that their hits belong to (a similarity of
+    # ``similarity`` needs hits of that very item) in multi-index blocks. A pair may share several blocks:
+    # it is taken at the first, so there are at most as many rows as windows of hits.
     wanted = windows.select(*KEY).distinct()
     texts = materialize(keyed.join(wanted, KEY).dropDuplicates(KEY), "bench-texts")
     cut = windows.join(texts, KEY).select(
-        *KEY, "doc_id", "item_size", "window", "start",
+        *KEY, "doc_id", "item", "size", "window", "start",
         F.slice("words", F.col("start") + 1, F.col("window_words")).alias("cut"))
-    printed = materialize(cut.withColumn("fp", let(_hashes(F.col("cut"), size), _simhash)), "bench-prints")
-    left = printed.select(*KEY, "item_size", "start", "window", "fp", F.explode(
-        _hamming_blocks(F.col("fp"), radius)).alias("b"))
-    right = items.select("item", F.col("item_size").alias("size"), "item_fp", F.explode(
-        _hamming_blocks(F.col("item_fp"), radius)).alias("b2"))
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = left.join(F.broadcast(right), (F.col("item_size") == F.col("size")) & (F.col("b") == F.col("b2"))
-                     & (distance <= radius)).select(*KEY, "start", "window", "item", distance.alias("distance")).distinct()
+    printed = materialize(cut.withColumn("fp", let(_hashes(F.col("cut"), size, sizes), _simhash)), "bench-prints")
+    left = printed.select(*KEY, "item", "start", "fp", F.explode(_hamming_blocks(F.col("fp"), radius)).alias("b"))
+    right = items.select("item", "item_fp", F.explode(_hamming_blocks(F.col("item_fp"), radius)).alias("b"))
+    differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    near = left.join(F.broadcast(right), ["item", "b"]).filter(
+        (F.col("b.block") == _first_equal_block(differ, radius)) & (F.bit_count(differ) <= radius)).select(
+        *KEY, "start", "item", F.bit_count(differ).alias("distance"))
 
     # 4. Exact similarity of the multisets of shingles.
-    pairs = near.join(printed.select(*KEY, "doc_id", "start", "window", "cut"), [*KEY, "start", "window"]).join(
-        F.broadcast(items.select("item", "item_id", "item_size", F.col("words").alias("item_words"))), "item")
+    pairs = near.join(printed.select(*KEY, "doc_id", "item", "start", "window", "cut"), [*KEY, "item", "start"]).join(
+        F.broadcast(items.select("item", "item_id", "item_size", "size", F.col("words").alias("item_words"))), "item")
     shared = F.size(F.array_intersect(_counted_shingles(F.col("cut"), size),
                                       _counted_shingles(F.col("item_words"), size)))
     scored = pairs.select(*KEY, "doc_id", "item_id", "item", "start", F.size("cut").alias("n_words"), "distance",

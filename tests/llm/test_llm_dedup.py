@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +239,79 @@ def test_pipeline_stages_take_nulls_repeats_and_empty_tables(spark, sf_small):
         assert name == "bpe" or out.columns == docs.columns
         assert stage(spark, docs.limit(0), sf_small).count() == 0
         assert out.count() == {"quality": 3, "near_duplicates": 3, "decontamination": 5, "secrets": 5, "bpe": 5}[name]
+
+
+def _farthest_windows(rng, n, times):
+    """Bits between SimHashes of ``n`` shingles and of a window that shares just
+    enough of them for the similarity."""
+    shared = -(-16 * n // 18) if n > 1 else 1  # x / (2 n - x) >= 0.8
+    while shared / (2 * n - shared) < decontaminate.SIMILARITY:
+        shared += 1
+    bits = rng.integers(0, 2, size=(times, 2 * n - shared, 64), dtype=np.int8)
+    a = 2 * bits[:, :n].sum(axis=1, dtype=np.int32) > n
+    b = 2 * bits[:, n - shared:].sum(axis=1, dtype=np.int32) > n
+    return (a != b).sum(axis=1)
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 8, 9, 10, 13, 18, 26, 36, 46, 56])
+def test_default_radius_loses_next_to_nothing(n):
+    """Windows at the least similarity, by shingles of the item (README has the table)."""
+    far = _farthest_windows(np.random.default_rng(n), n, 20_000)
+    assert (far > decontaminate.RADIUS).sum() <= 2
+
+
+def test_leaks_at_the_default_radius_for_every_item_length(spark):
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(400)]
+    items, docs = [], []
+    for n in range(1, 61):
+        said = rng.choices(words, k=n)
+        items.append((n, " ".join(said)))
+        for copy in range(3):
+            cut = list(said)
+            if copy and n >= 25:  # a changed end word costs one shingle, one inside costs five
+                cut[-1 if copy == 1 else n // 2] = "other"
+            body = rng.choices(words, k=30)
+            docs.append((10 * n + copy, " ".join(body[:9] + cut + body[9:])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = leaks_brute(docs, items)
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(d, b).collect()}
+    assert len(want) >= 120 and got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_candidates_are_at_most_the_windows_of_the_hits(spark, monkeypatch):
+    """A window meets an item once, and only an item that its hits belong to."""
+    docs, items = leak_case(4)
+    made = {}
+    written = decontaminate.materialize
+
+    def keep(df, name):
+        made[name] = written(df, name)
+        return made[name]
+
+    monkeypatch.setattr(decontaminate, "materialize", keep)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    decontaminate.find_leaks(d, b).collect()
+    windows = made["bench-windows"].select(*decontaminate.KEY, "item", "start")
+    assert windows.distinct().count() == windows.count()
+    prints, block = made["bench-prints"], made["bench-block"]
+    for radius in (3, 24, 40):
+        fp, item_fp = F.col("fp"), F.col("item_fp")
+        differ = fp.bitwiseXOR(item_fp)
+        pairs = prints.join(block.select("item", "item_fp"), "item").select(
+            F.bit_count(differ).alias("n"), decontaminate._first_equal_block(differ, radius).alias("block"))
+        assert all(r.block is not None for r in pairs.filter(F.col("n") <= radius).collect())
+
+
+def test_leaks_in_one_very_long_text(spark):
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(3000)]
+    item = rng.choices(words, k=40)
+    body = rng.choices(words, k=120_000)
+    d = spark.createDataFrame([(1, " ".join(body[:90_000] + item + body[90_000:])), (2, " ".join(body))],
+                              "doc_id long, text string")
+    b = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    (found,) = decontaminate.find_leaks(d, b).collect()
+    assert (found.doc_id, found.item_id, found.start, found.similarity) == (1, 5, 90_000, 1.0)
