@@ -277,3 +277,78 @@ def test_wrapped_licence_sentences_among_other_lines(scanned):
         ("mit-grant,mit-notice,mit-as-is", "MIT", "", False), ("mit-grant,mit-notice,mit-as-is", "MIT", "", False),
         *[(BSD_IDS, "BSD-2-Clause", "", True)] * 5, (BSD_IDS[21:], "BSD-2-Clause", "", False),
         ("gpl-free", "", "gpl-free", False), ("", "", "", False)]
+
+
+BSD_HEAD = """Copyright (c) 2020, Acme Corp.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_TAIL = """
+THIS SOFTWARE IS PROVIDED BY %s "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+"""
+BSD_NAME = """3. Neither the name of %s nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+LESSER = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+"""
+AFFERO = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU Affero General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+MOZILLA = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+CONSORTIUM = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.
+"""
+HOLDERS = "THE COPYRIGHT HOLDERS AND CONTRIBUTORS"
+
+
+BY_HAND = [
+    (BSD_HEAD + BSD_NAME % "Acme Corp" + BSD_TAIL % HOLDERS, "BSD-3-Clause"),
+    (BSD_HEAD + BSD_NAME % "the Acme Inc. and\n   Sons" + BSD_TAIL % "ACME CORP. AND CONTRIBUTORS", "BSD-3-Clause"),
+    (BSD_HEAD + BSD_NAME % "the copyright holder" + BSD_TAIL % HOLDERS, "BSD-3-Clause"),
+    (BSD_HEAD + BSD_TAIL % "THE REGENTS", "BSD-2-Clause"),
+    (BSD_HEAD + "3. All advertising must name the product and its maker.\n" + BSD_TAIL % HOLDERS, ""),
+    (LESSER, "LGPL-2.1-or-later"), (AFFERO, "AGPL-3.0-or-later"), (MOZILLA, "MPL-2.0"), (CONSORTIUM, "ISC"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "GPL-2.0-or-later"),
+    ("# spdx-license-identifier: gpl-2.0+", "GPL-2.0-or-later"),
+    ("/* SPDX-License-Identifier: MIT OR Apache-2.0 */", "MIT OR Apache-2.0"),
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause.", "(MIT OR Apache-2.0) AND BSD-3-Clause"),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", "GPL-2.0-only WITH Linux-syscall-note"),
+    ("SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier: LicenseRef-Mine", "licenseref-mine"),
+    ("SPDX-License-Identifier:", ""), ("SPDX-License-Identifier: MPL-2.0\nSPDX-License-Identifier: MPL-2.0", "MPL-2.0"),
+]
+
+
+def test_licences_by_hand(scanned):
+    got = [r[1] for r in scanned([text for text, _ in BY_HAND])]
+    assert got == [want for _, want in BY_HAND]
