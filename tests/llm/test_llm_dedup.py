@@ -315,3 +315,46 @@ def test_leaks_in_one_very_long_text(spark):
     b = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
     (found,) = decontaminate.find_leaks(d, b).collect()
     assert (found.doc_id, found.item_id, found.start, found.similarity) == (1, 5, 90_000, 1.0)
+
+
+def test_pivots_discard_before_the_exact_check(spark):
+    """Of the pairs with an equal key most that are too far go by coordinates; none
+    that is near does."""
+    rng = random.Random(17)
+    base = [rng.getrandbits(64) for _ in range(300)]
+    fps = set(base)
+    for x in base:
+        for flips in (1, 2, 3, 6, 10):
+            y = x
+            for bit in rng.sample(range(16), flips):  # changes in few blocks: keys often stay equal
+                y ^= 1 << bit
+            fps.add(y)
+    signed = [simhash_dedup._signed(x) for x in fps]
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
+    met = simhash_dedup.candidate_pairs(nodes).distinct().collect()
+    exact = {(r.a, r.b): ((r.a ^ r.b) & (1 << 64) - 1).bit_count() for r in met}
+    far = [r for r in met if exact[r.a, r.b] > 2]
+    stay = [r for r in far if r.differ <= 2]
+    assert len(far) > 100 and len(stay) < len(far) / 2
+    assert all(r.differ <= exact[r.a, r.b] for r in met)
+    want = {(min(a, b), max(a, b)) for i, a in enumerate(signed) for b in signed[:i]
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    assert {(r.a, r.b) for r in simhash_dedup.near_pairs(nodes).collect()} == want
+
+
+@pytest.mark.parametrize("distance", [0, 5, 6, 7, 9])
+def test_other_distances(spark, distance):
+    rng = random.Random(distance)
+    fps = {rng.getrandbits(64) for _ in range(40)}
+    for x in list(fps):
+        y = x
+        for bit in rng.sample(range(64), rng.randint(1, 12)):
+            y ^= 1 << bit
+        fps.add(y)
+    signed = [simhash_dedup._signed(x) for x in fps]
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
+    want = {(min(a, b), max(a, b)) for i, a in enumerate(signed) for b in signed[:i]
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= distance}
+    assert {(r.a, r.b) for r in simhash_dedup.near_pairs(nodes, distance).collect()} == want
+    with pytest.raises(ValueError):
+        simhash_dedup.near_pairs(nodes, 6, groups=6)
