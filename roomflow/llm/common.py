@@ -7,16 +7,15 @@
 
 from __future__ import annotations
 
-import io
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 SPACE = r"\x20\x09-\x0D"  # what separates words: space and the ASCII controls 9 to 13
 
 
@@ -55,32 +54,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_SHIPPED: set[str] = set()  # applications whose workers have the package
+def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(f, schema)``; workers get the package first."""
+    ship_package(df.sparkSession, shared_dir(df.sparkSession))
+    return df.mapInArrow(f, schema)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give this package to the Python workers, once an application: a zip file in
-    the shared folder, so that tasks import it wherever the driver was started."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    top = Path(__file__).resolve().parent.parent
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent).as_posix())
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{top.name}-{uuid.uuid4().hex}.zip")
-    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
-    out.write(bytearray(data.getvalue()))
-    out.close()
-    sc.addPyFile(path.toString())
-    _SHIPPED.add(sc.applicationId)
+#: Columns of a content key: 96 bits of hashes of id and text, and the length.
+KEY = ["k1", "k2", "k3"]
 
 
-def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
-    """``df.mapInArrow(f, schema)``; workers get the package first."""
-    ship_package(df.sparkSession)
-    return df.mapInArrow(f, schema)
+def content_key(doc_id: Column, text: Column) -> list[Column]:
+    return [F.xxhash64(doc_id, text).alias("k1"), F.hash(text).alias("k2"), F.octet_length(text).alias("k3")]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

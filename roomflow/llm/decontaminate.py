@@ -39,7 +39,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import indices, let, materialize, running, text_or_empty, words_of
+from .common import KEY, content_key, indices, let, materialize, running, text_or_empty, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -122,13 +122,6 @@ def _first_equal_block(differ: Column, radius: int) -> Column:
     return out
 
 
-def _key(doc_id: Column, text: Column) -> list[Column]:
-    return [F.xxhash64(doc_id, text).alias("k1"), F.hash(text).alias("k2"), F.octet_length(text).alias("k3")]
-
-
-KEY = ["k1", "k2", "k3"]
-
-
 def _item_blocks(items: DataFrame, block_words: int) -> Iterator[DataFrame]:
     """The items in hash ranges of about half of ``block_words`` words each."""
     total = items.agg(F.sum("n_words")).head()[0] or 0
@@ -146,7 +139,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     word and its number of words)."""
     text = F.col("text")
     keyed = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).select(
-        *_key(F.col("doc_id"), text), "doc_id", _words(text).alias("words"))
+        *content_key(F.col("doc_id"), text), "doc_id", _words(text).alias("words"))
     items = benchmark.select(F.col(item_id_col).alias("item_id"), text_or_empty(item_text_col).alias("text"))
     items = materialize(items.select("item_id", "text", _words(text).alias("words")).select(
         "*", F.size("words").alias("n_words")).filter("n_words > 0"), "bench-items")
@@ -237,5 +230,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     leaked = materialize(find_leaks(docs, benchmark, id_col, text_col, **settings).select(*KEY).distinct(),
                          "bench-leaked")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                       *_key(F.col(id_col), text_or_empty(text_col)))
+                       *content_key(F.col(id_col), text_or_empty(text_col)))
     return rows.join(leaked, KEY, "left_anti").select("row.*")

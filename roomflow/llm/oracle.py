@@ -82,7 +82,16 @@ _SECRETS = (  # kind, expression, group that counts, least characters
     ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
     ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
     ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0),
-    ("private_key", "-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", 0, 0),
+    ("private_key", "-----BEGIN (?:[A-Z]+ )?PRIVATE KEY(?: BLOCK)?-----"
+     r"(?:[^-]*(?:-{1,4}[^-]+)*-{5,}END (?:[A-Z]+ )?PRIVATE KEY(?: BLOCK)?-----|"
+     r"(?:(?:\s*[A-Za-z-]+: [^\n]*\n)*(?:[^A-Za-z0-9+/=]{0,12}[A-Za-z0-9+/]{16,}={0,2})+"
+     r"(?:\r?\n[^A-Za-z0-9+/=\n]{0,12}[A-Za-z0-9+/]{1,15}={0,2})?)?)", 0, 0),
+    ("github_pat", "github_pat_[A-Za-z0-9_]{22,}", 0, 0),
+    ("aws_secret", r"""(?:%s)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9/+]{40}""" % _folded("aws_?secret_?access_?key"), 0, 0),
+    ("stripe", "[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", 0, 0),
+    ("google", "AIza[A-Za-z0-9_-]{35}", 0, 0),
+    ("npm", "npm_[A-Za-z0-9]{36}", 0, 0),
+    ("url_password", r"://[^\s/:@]{1,100}:[^\s/@]{1,100}@", 0, 0),
 )
 _FOUND = " UNION ALL ".join(
     f"""SELECT r, {k} AS kind, '{name}' AS name, {least} AS least, regexp_extract_all(t, '{p}') AS m,

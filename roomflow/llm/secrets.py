@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, prefix_sums, running, text_or_empty
+from .common import KEY, content_key, let, materialize, prefix_sums, running, text_or_empty
 from .trigrams import ANYTHING, trigram_query
 
 
@@ -53,14 +53,20 @@ BASE_RULES = (
 )
 # From BEGIN to END; where END is missing, header lines and the base64 run, to a short last line of it.
 # Possessive groups: Java matches them without recursion, so a long run is safe.
-_KEY_END = r"[^-]*+(?:-{1,4}[^-]++)*+-{5,}END (?:[A-Z]+ )?PRIVATE KEY-----"
-_KEY_RUN = (r"(?:(?:\s*[A-Za-z-]+: [^\n]*\n){0,8}(?:[^A-Za-z0-9+/=]{0,12}[A-Za-z0-9+/]{16,}={0,2})++"
+_KEY_END = r"[^-]*+(?:-{1,4}[^-]++)*+-{5,}END (?:[A-Z]+ )?PRIVATE KEY(?: BLOCK)?-----"
+_KEY_RUN = (r"(?:(?:\s*[A-Za-z-]+: [^\n]*\n)*+(?:[^A-Za-z0-9+/=]{0,12}[A-Za-z0-9+/]{16,}={0,2})++"
             r"(?:\r?\n[^A-Za-z0-9+/=\n]{0,12}[A-Za-z0-9+/]{1,15}={0,2})?)?")
 FURTHER_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:%s|%s)" % (_KEY_END, _KEY_RUN)),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY(?: BLOCK)?-----(?:%s|%s)" % (_KEY_END, _KEY_RUN)),
+    Rule("github_pat", r"github_pat_[A-Za-z0-9_]{22,}"),
+    Rule("aws_secret", r"""(?i:aws_?secret_?access_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9/+]{40}"""),
+    Rule("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("npm", r"npm_[A-Za-z0-9]{36}"),
+    Rule("url_password", r"://[^\s/:@]{1,100}:[^\s/@]{1,100}@"),
 )
 RULES = BASE_RULES + FURTHER_RULES
 MASK = "[SECRET]"
@@ -101,14 +107,7 @@ def rule_spans(text: Column, rule: Rule, kind: int) -> Column:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return d.select(*_key(F.col("doc_id"), F.col("text")), "doc_id", "text")
-
-
-def _key(doc_id: Column, text: Column) -> list[Column]:
-    return [F.xxhash64(doc_id, text).alias("k1"), F.hash(text).alias("k2"), F.octet_length(text).alias("k3")]
-
-
-KEY = ["k1", "k2", "k3"]
+    return d.select(*content_key(F.col("doc_id"), F.col("text")), "doc_id", "text")
 
 
 def inverted_index(keyed: DataFrame, trigrams: Sequence[str]) -> DataFrame:
@@ -189,7 +188,7 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id
     found = find_secrets(docs, rules, id_col, text_col).filter(F.size("spans") > 0)
     found = materialize(found.select(*KEY, "spans").dropDuplicates(KEY), "secret-spans")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                       *_key(F.col(id_col), text_or_empty(text_col)))
+                       *content_key(F.col(id_col), text_or_empty(text_col)))
     rows = rows.join(found.hint("shuffle_hash"), KEY, "left")
     text = masked(F.col("row")[text_col], F.col("spans"), mask)
     text = F.when(F.col("spans").isNull(), F.col("row")[text_col]).otherwise(text)

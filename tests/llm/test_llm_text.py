@@ -352,3 +352,62 @@ BY_HAND = [
 def test_licences_by_hand(scanned):
     got = [r[1] for r in scanned([text for text, _ in BY_HAND])]
     assert got == [want for _, want in BY_HAND]
+
+
+def test_more_kinds_of_secrets(spark):
+    long_key = "-----BEGIN RSA PRIVATE KEY-----\n" + "".join(f"Header-{c}: {c}\n" for c in "abcdefghijklmnop") + "\n" + \
+        "A" * 64 + "\n" + "B" * 30
+    cases = [
+        ("-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\n\n" + "x" * 64 + "\n=abcd\n-----END PGP PRIVATE KEY BLOCK-----!",
+         "private_key", "[SECRET]!"),
+        (long_key + "\n\nend", "private_key", "[SECRET]\n\nend"),
+        ("aws_secret_access_key = " + "aB3/" * 10 + ";", "aws_secret", None),
+        ("AWSSecretAccessKey: '" + "Zz9+" * 10 + "'", "aws_secret", "[SECRET]'"),
+        ("a sk_live_" + "4" * 24 + " b", "stripe", "a [SECRET] b"), ("rk_test_" + "Q" * 16, "stripe", "[SECRET]"),
+        ("sk_test_short", None, "sk_test_short"), ("AIza" + "Sy-_" * 8 + "abc.", "google", "[SECRET]."),
+        ("npm_" + "A1b2C3" * 6, "npm", "[SECRET]"), ("github_pat_" + "11AA_" * 6, "github_pat", "[SECRET]"),
+        ("see https://user:pass%20word@host/x", "url_password", "see https[SECRET]host/x"),
+        ("see https://host:80/a@b", None, "see https://host:80/a@b")]
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "doc_id long, text string")
+    found = {r.doc_id: [secrets.RULES[s.kind].name for s in r.spans] for r in secrets.find_secrets(df).collect()}
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    for k, (_, kind, masked) in enumerate(cases):
+        assert kind in found[k] if kind else found[k] == [], k
+        assert masked is None or got[k] == masked, k
+
+
+def test_secret_spans_equal_their_sql(spark):
+    """Also on texts with whole keys and every further kind."""
+    import duckdb
+
+    from roomflow.llm.queries import ORACLE, QUERIES
+
+    rng = random.Random(6)
+    key = "-----BEGIN RSA PRIVATE KEY-----\nA: b\n\n" + "\n".join(["Ab9+/" * 12] * 4) + "\nAb=="
+    pieces = [key + "\n-----END RSA PRIVATE KEY-----", key, "-----BEGIN PRIVATE KEY-----", "npm_" + "a" * 36,
+              "sk_live_" + "b" * 20, "://u:p@", "AIza" + "c" * 35, "aws_secret_access_key=" + "d" * 40, "github_pat_" + "e" * 25,
+              "ghp_" + "f" * 36, "xoxb-1234567890", "token: abcdefghijklmnop", " ", "\n", "é😀", "-", "x"]
+    rows = [(k, "".join(rng.choices(pieces, k=rng.randint(0, 12)))) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").toPandas()  # noqa: F841  (DuckDB reads it)
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM df")
+    want = {r[0]: r for r in con.execute(f"SELECT doc_id, n_assign, n_hex, base_sha256, spans FROM ({ORACLE['op4_secrets']}) q").fetchall()}
+    spark.createDataFrame(rows, "doc_id long, text string").createOrReplaceTempView("secret_docs")
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="roomflow-test-")
+    spark.table("secret_docs").write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    got = QUERIES["op4_secrets"](spark, path).collect()
+    assert {r.doc_id: (r.doc_id, r.n_assign, r.n_hex, r.base_sha256, r.spans) for r in got} == want
+
+
+def test_quality_order_counts_what_earlier_rules_leave(spark):
+    """Of two rules that reject the same rows the second to come rejects none."""
+    rows = [(k, "word " * 30 if k % 2 else "short") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few = quality_rules.BASE_RULES[0]
+    again = quality_rules.Rule("again", few.rejects)
+    never = quality_rules.Rule("never", lambda t: F.length(t) < 0)
+    ordered = quality_rules.order_rules(df, [never, few, again])
+    assert [share for _, _, share in ordered] == [0.5, 0.0, 0.0] and ordered[0][0].name in ("few_words", "again")
+    assert all(cost >= quality_rules.LEAST_SECONDS for _, cost, _ in ordered)
