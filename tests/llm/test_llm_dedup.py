@@ -166,7 +166,7 @@ def test_query_matches_its_sql(spark, con, sf_small, name):
 
 
 def test_every_query_is_registered(spark):
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in QUERIES}
     assert set(QUERIES) <= set(entry.queries()) and entry.queries()["pipeline"] is corpus_pipeline.run
 
 
