@@ -27,6 +27,17 @@ ROI_DURATION = ["duration_in_mins", "booked_minutes", "duration", "minutes"]
 ROOM_KEYS = ["room_id", "property_id"]
 PRODUCT_KEYS = ["product_name", "product_type"]
 TENANT = "enterprise_name"
+
+# Error texts, equal to the original library's.
+NO_START = "Could not find start datetime column in bookings"
+NO_START_END = "Could not find start/end datetime columns in bookings"
+NO_START_FORECAST = "Could not find start datetime for forecasting"
+NO_REVENUE_DATE = "Could not find date column in revenue"
+NO_REVENUE_DATE_FORECAST = "Could not find date column in revenue for forecasting"
+NO_REVENUE_PRICE = "Could not find price column in revenue"
+NO_PRICE = "Price column not found in revenue"
+NO_TENANT = "enterprise_name column required for top_tenants"
+NO_PRODUCT = "product_name or product_type required in revenue for top products"
 # ---------------------------------------------------------------------------
 
 

@@ -193,7 +193,7 @@ def straight_line(x, y, at):
 
 
 def monthly_count_series(bookings: DataFrame, group_by: str | None) -> DataFrame:
-    start = C.require(bookings, C.BOOKING_START, "Could not find start datetime for forecasting")
+    start = C.require(bookings, C.BOOKING_START, C.NO_START_FORECAST)
     dtype = {f.name: f.dataType for f in bookings.schema.fields}[start]
     keys = [group_by] if group_by else []
     df = bookings.select(*[C.col(k) for k in keys],
@@ -215,8 +215,8 @@ def bookings_forecast(bookings: DataFrame, months: int = 3, group_by: str = "roo
 def revenue_forecast(revenue: DataFrame, months: int = 12, interval_width: float = 0.8,
                      seasonality: str | bool = "auto") -> DataFrame:
     """Monthly revenue total forecast (one series)."""
-    date = C.require(revenue, C.REVENUE_DATE, "Could not find date column in revenue for forecasting")
-    price = C.require(revenue, C.REVENUE_PRICE, "Price column not found in revenue")
+    date = C.require(revenue, C.REVENUE_DATE, C.NO_REVENUE_DATE_FORECAST)
+    price = C.require(revenue, C.REVENUE_PRICE, C.NO_PRICE)
     dtype = {f.name: f.dataType for f in revenue.schema.fields}[date]
     df = revenue.select(T.month_start(T.to_wall_clock(C.col(date), dtype)).alias("ds"),
                         C.col(price).alias("_price"))

@@ -25,7 +25,7 @@ def monthly_bookings_and_revenue(bookings: DataFrame) -> DataFrame:
     Columns: month, [room_id], [property_id], bookings_count (bigint),
     avg_revenue (double; mean of the resolved price, 0.0 when no price column).
     """
-    start = C.require(bookings, C.BOOKING_START, "Could not find start datetime column in bookings")
+    start = C.require(bookings, C.BOOKING_START, C.NO_START)
     price = C.resolve(bookings, C.BOOKING_PRICE)
     price_col = C.col(price) if price else F.lit(0.0)
     room_cols = C.present(bookings, C.ROOM_KEYS)
@@ -47,13 +47,13 @@ def revenue_month(revenue: DataFrame):
         return T.month_start(_wall_clock(revenue, date))
     if "month" in revenue.columns:
         return _wall_clock(revenue, "month")
-    raise ValueError("Could not find date column in revenue")
+    raise ValueError(C.NO_REVENUE_DATE)
 
 
 def monthly_revenue_summary(revenue: DataFrame) -> DataFrame:
     """Revenue per month: month, total_revenue (0.0 if all null), avg_revenue."""
     month = revenue_month(revenue)
-    price = C.require(revenue, C.REVENUE_PRICE, "Could not find price column in revenue")
+    price = C.require(revenue, C.REVENUE_PRICE, C.NO_REVENUE_PRICE)
     df = revenue.select(month.alias("month"), C.col(price).alias("_price"))
     return (C.drop_null_keys(df, ["month"])
             .groupBy("month")

@@ -25,7 +25,7 @@ def top_tenants(bookings: DataFrame, top_n: int = 10) -> DataFrame:
     """Tenants by booking count, then revenue: enterprise_name, booking_count, total_revenue."""
     price = C.resolve(bookings, C.BOOKING_PRICE)
     if C.TENANT not in bookings.columns:
-        raise ValueError("enterprise_name column required for top_tenants")
+        raise ValueError(C.NO_TENANT)
     price_col = C.col(price) if price else F.lit(0.0)
     df = bookings.select(C.col(C.TENANT), price_col.alias("_price"))
     return (C.drop_null_keys(df, [C.TENANT])
@@ -42,10 +42,10 @@ def top_revenue_products(revenue: DataFrame, top_n: int = 20) -> DataFrame:
     Columns: [product_name], [product_type], total_revenue, avg_revenue, count.
     ``count`` counts product names; with only a type present it counts prices.
     """
-    price = C.require(revenue, C.REVENUE_PRICE, "Price column not found in revenue")
+    price = C.require(revenue, C.REVENUE_PRICE, C.NO_PRICE)
     keys = C.present(revenue, C.PRODUCT_KEYS)
     if not keys:
-        raise ValueError("product_name or product_type required in revenue for top products")
+        raise ValueError(C.NO_PRODUCT)
     counted = "product_name" if "product_name" in keys else price
     df = revenue.select(*[C.col(k) for k in keys], C.col(price).alias("_price"),
                         C.col(counted).alias("_counted"))

@@ -41,7 +41,7 @@ def summary_in_one_pass(bookings: DataFrame, revenue: DataFrame) -> dict[str, Da
     """The tables of :func:`summary` with each input read once: its group-bys are
     grouping sets of one aggregate, written at this call."""
     if C.TENANT not in bookings.columns:
-        raise ValueError("enterprise_name column required for top_tenants")
+        raise ValueError(C.NO_TENANT)
     b, _ = with_booking_times(bookings)
     price = C.resolve(bookings, C.BOOKING_PRICE)
     rooms = C.present(bookings, C.ROOM_KEYS)
@@ -51,10 +51,10 @@ def summary_in_one_pass(bookings: DataFrame, revenue: DataFrame) -> dict[str, Da
     part = grouped_once(b, {"monthly": ["month", *rooms], "used": ["month", *rooms[:1]], "tenant": [C.TENANT]}, {
         "rows": F.count(F.lit(1)), "starts": F.count("_start"), "total": total(F.col("_price")),
         "mean": mean(F.col("_price")), "_micros": F.sum("_micros")})
-    sold_for = C.require(revenue, C.REVENUE_PRICE, "Price column not found in revenue")
+    sold_for = C.require(revenue, C.REVENUE_PRICE, C.NO_PRICE)
     keys = C.present(revenue, C.PRODUCT_KEYS)
     if not keys:
-        raise ValueError("product_name or product_type required in revenue for top products")
+        raise ValueError(C.NO_PRODUCT)
     counted = "product_name" if "product_name" in keys else sold_for
     r = revenue.select(revenue_month(revenue).alias("month"), *[C.col(k) for k in keys],
                        C.col(sold_for).alias("_price"), C.col(counted).alias("_counted"))

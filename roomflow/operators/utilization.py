@@ -44,7 +44,7 @@ def with_booking_times(bookings: DataFrame, need_end: bool = True) -> tuple[Data
     start = C.resolve(bookings, C.BOOKING_START)
     end = C.resolve(bookings, C.BOOKING_END) if need_end else None
     if start is None or (need_end and end is None):
-        raise ValueError("Could not find start/end datetime columns in bookings")
+        raise ValueError(C.NO_START_END)
     schema = {f.name: f.dataType for f in bookings.schema.fields}
     out = bookings.withColumn("_start", T.to_wall_clock(C.col(start), schema[start]))
     if end is not None:
