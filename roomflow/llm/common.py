@@ -2,6 +2,8 @@
 
 * :func:`materialize` cuts lineage with a Parquet table in the shared folder.
 * :func:`map_arrow` is ``mapInArrow`` whose workers can import this package.
+* :class:`KeyFilter` splits rows by whether a written table may hold their key, where
+  the rows are: what it does not hold needs no shuffle.
 * :func:`let`, :func:`words_of`, :func:`running` are native column idioms.
 """
 
@@ -60,6 +62,10 @@ def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
+PAGE_BITS = 15  # of a bitmap that Spark's bitmap functions build
+BITS_A_KEY = 32
+
+
 #: Columns of a content key: 96 bits of hashes of id and text, and the length.
 KEY = ["k1", "k2", "k3"]
 
@@ -68,6 +74,41 @@ def content_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(doc_id, text).alias("k1"), F.hash(text).alias("k2"), F.octet_length(text).alias("k3")]
 
 
+class KeyFilter:
+    """Bitmaps of the hashed ``columns`` of ``keys``, at least :data:`BITS_A_KEY` bits a key,
+    broadcast: a table of at most ``2 ** most_bits / 8`` bytes whatever the input. Up to
+    ``2 ** most_bits / BITS_A_KEY`` keys at most one in 32 of the other rows counts as held;
+    with more keys the share rises. It only decides what moves: a join decides the result.
+    """
+
+    def __init__(self, keys: DataFrame, columns: list[str], most_bits: int = 30):
+        n, self.columns, self.bits = keys.count(), columns, PAGE_BITS
+        while self.bits < most_bits and (1 << self.bits) < BITS_A_KEY * n:
+            self.bits += 1
+        place = keys.select(self._place().alias("place"))
+        self.pages = materialize(
+            place.groupBy(F.shiftright("place", PAGE_BITS).alias("page_no")).agg(
+                F.bitmap_construct_agg(F.col("place").bitwiseAND((1 << PAGE_BITS) - 1)).alias("page")), "key-bitmaps")
+
+    def _place(self) -> Column:
+        return F.xxhash64(*self.columns).bitwiseAND((1 << self.bits) - 1)
+
+    def _split(self, rows: DataFrame, how: str) -> DataFrame:
+        at = self._place().bitwiseAND((1 << PAGE_BITS) - 1)
+        byte = F.conv(F.hex(F.substring("page", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        bit = F.getbit(byte, at.bitwiseAND(7).cast("int"))
+        held = (F.shiftright(self._place(), PAGE_BITS) == F.col("page_no")) & (bit == 1)
+        return rows.join(F.broadcast(self.pages), held, how)
+
+    def held(self, rows: DataFrame) -> DataFrame:
+        """Rows whose key may be among the keys (all that are, and few others)."""
+        return self._split(rows, "left_semi")
+
+    def absent(self, rows: DataFrame) -> DataFrame:
+        """The other rows; none of their keys is among the keys."""
+        return self._split(rows, "left_anti")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 

@@ -8,9 +8,9 @@
 3. Postings are intersected per row key and clause (``bit_or`` of the trigrams
    found, with map-side partials); keys with all trigrams of a clause are the
    rule's candidates.
-4. Only candidates are verified by the expression itself (a shuffled hash join
-   at every size, built from the keys). Rules without a mandatory trigram are
-   run over every text.
+4. Only candidates are verified by the expression itself. Texts whose key is no
+   candidate's are sorted out where they are (bitmaps of the candidates' keys), so
+   few texts move. Rules without a mandatory trigram are run over every text.
 
 A row key is a content key: hashes of id and text (96 bits) and the length; rows
 that share it have the same id, text and hence the same spans.
@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, content_key, let, materialize, prefix_sums, running, text_or_empty
+from .common import KEY, KeyFilter, content_key, let, materialize, prefix_sums, running, text_or_empty
 from .trigrams import ANYTHING, trigram_query
 
 
@@ -145,13 +145,13 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "
     if not indexed:
         return rows.select(*KEY, "doc_id", F.array_sort("scanned").alias("spans"))
     index = inverted_index(keyed, sorted({t for q in indexed.values() for c in q for t in c}))
-    found = candidates(index, indexed)
+    found = materialize(candidates(index, indexed), "secret-candidates")
     verified = F.flatten(F.array(*[
         F.when(F.col("rules").bitwiseAND(1 << k) != 0, rule_spans(F.col("text"), rules[k], k))
         .otherwise(F.array().cast(SPANS)) for k in indexed]))
     hits = materialize(
-        keyed.join(found.hint("shuffle_hash"), KEY).select(*KEY, verified.alias("verified")).filter(F.size("verified") > 0)
-        .dropDuplicates(KEY), "secret-hits")
+        KeyFilter(found, KEY).held(keyed).join(found, KEY).select(*KEY, verified.alias("verified"))
+        .filter(F.size("verified") > 0).dropDuplicates(KEY), "secret-hits")
     return rows.join(hits, KEY, "left").select(*KEY, "doc_id", F.array_sort(F.concat(
         "scanned", F.coalesce("verified", F.array().cast(SPANS)))).alias("spans"))
 
@@ -189,13 +189,14 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id
     found = materialize(found.select(*KEY, "spans").dropDuplicates(KEY), "secret-spans")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        *content_key(F.col(id_col), text_or_empty(text_col)))
-    rows = rows.join(found.hint("shuffle_hash"), KEY, "left")
+    known = KeyFilter(found, KEY)
+    some = known.held(rows).join(found, KEY, "left")
     text = masked(F.col("row")[text_col], F.col("spans"), mask)
     text = F.when(F.col("spans").isNull(), F.col("row")[text_col]).otherwise(text)
-    changed = rows.select("row", "spans", text.alias("text"))
+    changed = some.select("row", "spans", text.alias("text"))
     kinds = dict(docs.dtypes)
     return changed.select(*[
         F.col("text").alias(c) if c == text_col else
         F.when(F.col("spans").isNull(), F.col("row")[c]).otherwise(
             F.char_length("text").cast(kinds[c])).alias(c) if c == length_col else F.col("row")[c].alias(c)
-        for c in docs.columns])
+        for c in docs.columns]).union(known.absent(rows).select("row.*"))

@@ -358,3 +358,22 @@ def test_other_distances(spark, distance):
     assert {(r.a, r.b) for r in simhash_dedup.near_pairs(nodes, distance).collect()} == want
     with pytest.raises(ValueError):
         simhash_dedup.near_pairs(nodes, 6, groups=6)
+
+
+def test_key_filter_keeps_every_key_and_few_others(spark):
+    from roomflow.llm.common import BITS_A_KEY, KeyFilter
+
+    rows = spark.range(200_000).withColumn("other", F.col("id") % 7)
+    for n, bits in ((0, 30), (1, 30), (5_000, 30), (5_000, 15), (200_000, 15)):
+        keys = rows.filter(F.col("id") < n)
+        known = KeyFilter(keys, ["id", "other"], most_bits=bits)
+        held, absent = known.held(rows), known.absent(rows)
+        assert held.filter(F.col("id") < n).count() == n
+        assert absent.filter(F.col("id") < n).count() == 0
+        chance = held.filter(F.col("id") >= n).count()
+        assert held.count() + absent.count() == 200_000  # also where the bitmaps are full
+        if bits == 30:
+            assert chance <= 1.2 * (200_000 - n) / BITS_A_KEY
+    nulls = spark.createDataFrame([(None,), (1,)], "k long")
+    known = KeyFilter(nulls.filter("k is null"), ["k"])
+    assert known.held(nulls).filter("k is null").count() == 1
