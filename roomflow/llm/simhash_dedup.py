@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, materialize
+from .common import KeyFilter, map_arrow, materialize
 
 SHINGLE = 3
 MAX_DISTANCE = 2
@@ -225,5 +225,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rank = F.struct(F.col("id").isNull().alias("null_id"), F.col("id"), F.col("tie"))
     classes = link_fingerprints(rows.select("fp", rank.alias("rank")), max_distance)
     keep = classes.select(F.col("component.tie").alias("keep_tie")).distinct()
-    # The same plan at every size: keys are hashed per partition, texts are neither sorted nor spilled.
-    return rows.join(keep.hint("shuffle_hash"), rows["tie"] == keep["keep_tie"], "left_semi").select("row.*")
+    gone = materialize(rows.select("tie").join(keep, F.col("tie") == F.col("keep_tie"), "left_anti"), "simhash-gone")
+    # Rows that surely stay are told apart where they are: only what may go moves with its text.
+    known = KeyFilter(gone, ["tie"])
+    stay = known.held(rows).join(gone.withColumnRenamed("tie", "gone_tie"), F.col("tie") == F.col("gone_tie"), "left_anti")
+    return known.absent(rows).select("row.*").union(stay.select("row.*"))
