@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, materialize, new_path
+from .common import KeyFilter, map_arrow, materialize, new_path
 
 CHUNK = 64 * 1024  # bytes of a chunk row; 10,000 rows of an Arrow batch stay under 1 GB
 MIN_REVISIT = 100
@@ -132,9 +132,14 @@ def write_archive(records: DataFrame, path: str, key_col: str, payload_col: str,
                   chunk_bytes: int = CHUNK, min_revisit: int = MIN_REVISIT) -> None:
     """Write a record (or its segments) per row as gzip files under ``path``."""
     chunks = chunk_table(records, key_col, payload_col, url_col, chunk_bytes)
-    chosen = choose_records(chunks, min_revisit).withColumnRenamed("record", "chosen")
-    rows = chunks.join(chosen, chunks["record"] == chosen["chosen"]).filter(
+    # A record of one chunk that is no revisit knows its digest and size: it is written where it is.
+    decided = materialize(choose_records(chunks, min_revisit).filter(
+        F.col("first_record").isNotNull() | (F.col("size") > chunk_bytes)), "warc-decided")
+    known = KeyFilter(decided.select("record"), ["record"])
+    moved = known.held(chunks).join(decided, "record", "left").filter(
         F.col("first_record").isNull() | (F.col("chunk_no") == 0))
+    rows = moved.unionByName(known.absent(chunks), allowMissingColumns=True).withColumns({
+        "digest": F.coalesce("digest", "sha256"), "size": F.coalesce("size", "upto")})
     run = uuid.uuid4().hex
     revisit, first = F.col("first_record").isNotNull(), F.col("chunk_no") == 0
     zero = F.lit(0)
