@@ -10,9 +10,9 @@ costs one shuffle rather than one per column:
 * numeric and datetime summaries: values are counted per (column, value) in the
   only scan of the table, written once in range partitions; moments are weighted
   aggregates of the counts, and exact quartiles with linear interpolation (pandas
-  ``describe``) come from running counts over the value order
-  (``functions.running``). Ranks are read off with an equi-join on the column
-  name. No column or value group ever funnels through one task. The approximate
+  ``describe``) come from running counts over the value order, inside the ranges
+  that hold a wanted rank. What is joined on the column name is broadcast. No
+  column or value group ever funnels through one task. The approximate
   form is one aggregate without writing;
 * categorical top value: counts per (column, value), then the most frequent
   value per column with ties to the smallest value.
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DateType,
@@ -38,7 +38,7 @@ from pyspark.sql.types import (
 )
 
 from ..functions import columns as C
-from ..functions.running import ranged_rows, running_totals
+from ..functions.running import ranged_rows
 from ..functions.timecols import epoch_micros
 from ..functions.totals import known
 from ..session import reliable
@@ -104,16 +104,27 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = QUARTILES,
 
 
 def _quantiles(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
-    cum = running_totals(counts, ["value"], {"after": F.col("c")}, group_by=["column"])
-    cum = cum.select("column", "value", (F.col("after") - F.col("c")).alias("before"), "after")
-    n = counts.groupBy("column").agg(F.sum("c").alias("n")).where("n > 0")
+    """From ranged counts. Ranks are found in two steps: a range's first rank comes
+    from the totals of the ranges before it, so only ranges that hold a wanted rank
+    are put in order. Wanted ranks are few (``probs`` x columns) and are broadcast: a
+    join that moves rows by column would bring a column together in one task."""
+    hit_lo = (F.col("before") <= F.col("lo")) & (F.col("lo") < F.col("after"))
+    hit_hi = (F.col("before") <= F.col("hi")) & (F.col("hi") < F.col("after"))
+    so_far = Window.partitionBy("column").orderBy("_pid")  # columns x ranges rows
+    ranges = reliable(counts.groupBy("column", "_pid").agg(F.sum("c").alias("c")).withColumn("after", F.sum("c").over(so_far))
+                      .select("column", "_pid", (F.col("after") - F.col("c")).alias("before"), "after"))
+    n = ranges.groupBy("column").agg(F.max("after").alias("n")).where("n > 0")
     targets = n.select("column", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"), "n")
     h = (F.col("n") - 1).cast("double") * F.col("p")
     targets = targets.select("column", "p", h.alias("h"),
                              F.floor(h).alias("lo"), F.ceil(h).alias("hi"))
-    hit_lo = (F.col("before") <= F.col("lo")) & (F.col("lo") < F.col("after"))
-    hit_hi = (F.col("before") <= F.col("hi")) & (F.col("hi") < F.col("after"))
-    picked = (cum.join(targets, "column")
+    wanted = ranges.join(targets, "column").where(hit_lo | hit_hi)
+    held = wanted.select("column", "_pid", F.col("before").alias("start")).distinct()
+    in_order = Window.partitionBy("column", "_pid").orderBy("value")
+    cum = (counts.join(F.broadcast(held), ["column", "_pid"])
+           .withColumn("after", F.col("start") + F.sum("c").over(in_order))
+           .select("column", "_pid", "value", (F.col("after") - F.col("c")).alias("before"), "after"))
+    picked = (cum.join(F.broadcast(wanted.select("column", "_pid", "p", "h", "lo", "hi")), ["column", "_pid"])
               .where(hit_lo | hit_hi)
               .groupBy("column", "p", "h", "lo", "hi")
               .agg(F.max(F.when(hit_lo, F.col("value"))).alias("v_lo"),
@@ -160,7 +171,7 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, approx:
         means = counts.groupBy("column").agg(
             n.alias("count"), F.when(n > 0, F.sum(v * c) / n).alias("mean"), *ends)
         # squares about the mean, so that nothing cancels; means has one row per column
-        squares = counts.join(means.select("column", "count", "mean"), "column").groupBy("column").agg(
+        squares = counts.join(F.broadcast(means.select("column", "count", "mean")), "column").groupBy("column").agg(
             F.when(F.first("count") > 1, F.sqrt(F.sum(c * (v - F.col("mean")) * (v - F.col("mean")))
                                                 / (F.first("count") - 1))).alias("std"))
         out = _with_quartiles(means.join(squares, "column"), counts)
