@@ -26,7 +26,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from ..functions import columns as C
 from ..functions.totals import known
-from ..session import reliable
+from ..session import reliable, stored
 
 KLL_K = 1000
 HLL_LOG2 = 12
@@ -127,21 +127,27 @@ def exact_top(df: DataFrame, columns: Sequence[str] | None = None, buckets: int
     best of them has a count ``c``. 3. A value can only beat or tie it when both its
     buckets hold ``c`` rows or more: those values, and no others, are counted. On
     skewed columns few rows are left; on flat ones step 3 counts nearly all values,
-    as a plain group-by would. The answer is exact either way."""
+    as a plain group-by would. The answer is exact either way.
+
+    ``df`` is read once: its columns are written and the steps read them. Buckets are
+    bounded, so their tables are broadcast and rows stay where they are until they
+    are counted."""
     names = list(columns) if columns else _typed(df, StringType)
+    places = [f"c{i}" for i in range(len(names))]  # a file takes these whatever the names
+    df = stored(df.select(*[C.col(n).alias(p) for n, p in zip(names, places)]), "values").toDF(*names)
     sketch = reliable(bucket_counts(df, names, buckets))  # at most columns x 2 x buckets rows
     rows = _stacked(df, (), names, lambda n: C.col(n)).where(F.col("value").isNotNull())
     rows = rows.withColumn("at", _buckets(F.col("value"), buckets)).select(
         "column", "value", F.get("at", F.lit(0)).alias("b0"), F.get("at", F.lit(1)).alias("b1"))
 
     def held(buckets_of: DataFrame, row: int) -> DataFrame:
-        return buckets_of.where(F.col("row") == row).select("column", F.col("bucket").alias(f"b{row}"))
+        return F.broadcast(buckets_of.where(F.col("row") == row).select("column", F.col("bucket").alias(f"b{row}")))
 
     # per column the fullest buckets: an array of a bounded size
     fullest = sketch.where("row = 0").groupBy("column").agg(
         F.slice(F.sort_array(F.collect_list(F.struct("c", "bucket")), False), 1, tried).alias("most")).select(
         "column", F.explode(F.transform("most", lambda x: x["bucket"])).alias("b0"))
-    first = rows.join(fullest, ["column", "b0"]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
+    first = rows.join(F.broadcast(fullest), ["column", "b0"]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
     least = first.groupBy("column").agg(F.max("c").alias("least"))
     open_ = reliable(sketch.join(least, "column").where(F.col("c") >= F.col("least")).select("column", "row", "bucket"))
     last = rows.join(held(open_, 0), ["column", "b0"]).join(held(open_, 1), ["column", "b1"]).groupBy(
