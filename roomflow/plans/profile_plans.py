@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.timecols import month_start
 from ..operators import profile as P
 from ..operators import sketches as S
-from ..session import ensure_checkpoint_dir
+from ..session import stored
 from ..sources.fixtures import read_table
 from .catalog import bookings, register, revenue
 
@@ -160,16 +158,11 @@ def diagnose_revenue(spark, sf_dir):
 
 # --- mergeable profiles: sketches stored per month, merged, checked against the table ------
 
-def _stored(spark, df, name: str):
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _merged_sketches(spark, sf_dir):
-    b = bookings(spark, sf_dir)
-    parts = S.column_sketches(b.withColumn("month", month_start(F.col("booking_start_time"))), ["month"], NUMERIC)
-    return b, S.merge_sketches(_stored(spark, parts, "sketches"))
+    # the view is joined once: sketches and the check read what it wrote
+    b = stored(bookings(spark, sf_dir).select(month_start(F.col("booking_start_time")).alias("month"), *NUMERIC), "numbers")
+    parts = S.column_sketches(b, ["month"], NUMERIC)
+    return b, S.merge_sketches(stored(parts, "sketches"))
 
 
 @register("profile_quantile_sketches", _union([
@@ -177,7 +170,7 @@ def _merged_sketches(spark, sf_dir):
     for c in NUMERIC for p in P.QUARTILES]))
 def profile_quantile_sketches(spark, sf_dir):
     b, merged = _merged_sketches(spark, sf_dir)
-    answers = _stored(spark, S.sketched_quantiles(merged, P.QUARTILES), "quantiles")
+    answers = stored(S.sketched_quantiles(merged, P.QUARTILES), "quantiles")
     return S.check_quantiles(b, answers)
 
 
@@ -203,5 +196,5 @@ def profile_top_values(spark, sf_dir):
 def diagnose_bookings_while_loading(spark, sf_dir):
     # The load itself (here a write) collects the metrics.
     load = P.LoadDiagnosis(bookings(spark, sf_dir), P.BOOKING_ROLES)
-    _stored(spark, load.table, "loaded")
+    stored(load.table, "loaded")
     return load.rows()
