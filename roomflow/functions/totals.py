@@ -16,11 +16,21 @@ def known(c: Column) -> Column:
     return F.when(~F.isnan(c.cast("double")), c)
 
 
+def total_of(s: Column) -> Column:
+    """:func:`total` from a sum."""
+    return F.coalesce(s.cast("double"), F.lit(0.0))
+
+
+def mean_of(s: Column, n: Column) -> Column:
+    """:func:`mean` from a sum and the count of what was summed."""
+    return F.try_divide(s.cast("double"), n.cast("double"))
+
+
 def total(c: Column) -> Column:
     """Sum as double; 0.0 when nothing is summed."""
-    return F.coalesce(F.sum(known(c)).cast("double"), F.lit(0.0))
+    return total_of(F.sum(known(c)))
 
 
 def mean(c: Column) -> Column:
     """Mean of the known values as double; null when there is none."""
-    return F.try_divide(F.sum(known(c)).cast("double"), F.count(known(c)).cast("double"))
+    return mean_of(F.sum(known(c)), F.count(known(c)))

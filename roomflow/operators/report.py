@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import timecols as T
 from ..functions.grouped import grouped_once
-from ..functions.totals import known, mean, total
+from ..functions.totals import known, mean, mean_of, total, total_of
 
 # ---------------------------------------------------------------------------
 # Pricing thresholds (exclusive) and suggestion texts.
@@ -205,12 +205,18 @@ def report_in_one_pass(bookings: DataFrame, revenue: DataFrame,
     b = b.select("month", "product_name", C.col(C.TENANT), *([room] if room else []), price.alias("_price"),
                  minutes.alias("_booked"), rate.alias("_rate"), F.col("product_name").alias("_product"))
     part = grouped_once(b, sets, {
-        "rows": F.count(F.lit(1)), "products": F.count("_product"), "total": total(F.col("_price")),
-        "mean": mean(F.col("_price")), "booked": F.sum("_booked"), "mean_rate": mean(F.col("_rate"))})
+        "rows": F.count(F.lit(1)), "products": F.count("_product"), "sum": F.sum(known(F.col("_price"))),
+        "priced": F.count(known(F.col("_price"))), "booked": F.sum("_booked"), "rates": F.sum(known(F.col("_rate"))),
+        "rated": F.count(known(F.col("_rate")))}, {
+        "rows": F.col("rows"), "products": F.col("products"), "total": total_of(F.col("sum")),
+        "mean": mean_of(F.col("sum"), F.col("priced")), "booked": F.col("booked"),
+        "mean_rate": mean_of(F.col("rates"), F.col("rated"))})
     r = prepare_revenue(revenue).select("month", "product_name", F.col("price").alias("_price"),
                                         F.col("product_name").alias("_product"))
     sold = grouped_once(r, {"month": ["month"], "product": ["product_name"]}, {
-        "products": F.count("_product"), "total": total(F.col("_price")), "mean": mean(F.col("_price"))})
+        "products": F.count("_product"), "sum": F.sum(known(F.col("_price"))),
+        "priced": F.count(known(F.col("_price")))}, {
+        "products": F.col("products"), "total": total_of(F.col("sum")), "mean": mean_of(F.col("sum"), F.col("priced"))})
     used = _against_open_minutes(part["month_product"].select(
         "month", "product_name", F.col("booked").alias("total_booked_minutes")), availability_hours_per_day * 60, True)
     series = part["series"].select(*([room] if room else []), F.col("month").alias("ds"), F.col("rows").alias("y"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import timecols as T
 from ..functions.grouped import grouped_once
-from ..functions.totals import mean, total
+from ..functions.totals import known, mean_of, total, total_of
 from .monthly import monthly_bookings_and_revenue, monthly_revenue_summary, revenue_month
 from .ranking import top_revenue_products, top_tenants
 from .utilization import clipped_micros, utilization_metrics, utilization_of, with_booking_times
@@ -49,8 +49,10 @@ def summary_in_one_pass(bookings: DataFrame, revenue: DataFrame) -> dict[str, Da
                  F.col("_start"), (C.col(price) if price else F.lit(0.0)).alias("_price"),
                  clipped_micros(F.col("_start"), F.col("_end")).alias("_micros"))
     part = grouped_once(b, {"monthly": ["month", *rooms], "used": ["month", *rooms[:1]], "tenant": [C.TENANT]}, {
-        "rows": F.count(F.lit(1)), "starts": F.count("_start"), "total": total(F.col("_price")),
-        "mean": mean(F.col("_price")), "_micros": F.sum("_micros")})
+        "rows": F.count(F.lit(1)), "starts": F.count("_start"), "sum": F.sum(known(F.col("_price"))),
+        "priced": F.count(known(F.col("_price"))), "_micros": F.sum("_micros")}, {
+        "rows": F.col("rows"), "starts": F.col("starts"), "total": total_of(F.col("sum")),
+        "mean": mean_of(F.col("sum"), F.col("priced")), "_micros": F.col("_micros")})
     sold_for = C.require(revenue, C.REVENUE_PRICE, C.NO_PRICE)
     keys = C.present(revenue, C.PRODUCT_KEYS)
     if not keys:
@@ -59,7 +61,9 @@ def summary_in_one_pass(bookings: DataFrame, revenue: DataFrame) -> dict[str, Da
     r = revenue.select(revenue_month(revenue).alias("month"), *[C.col(k) for k in keys],
                        C.col(sold_for).alias("_price"), C.col(counted).alias("_counted"))
     sold = grouped_once(r, {"month": ["month"], "product": keys}, {
-        "total_revenue": total(F.col("_price")), "avg_revenue": mean(F.col("_price")), "count": F.count("_counted")})
+        "sum": F.sum(known(F.col("_price"))), "priced": F.count(known(F.col("_price"))), "count": F.count("_counted")}, {
+        "total_revenue": total_of(F.col("sum")), "avg_revenue": mean_of(F.col("sum"), F.col("priced")),
+        "count": F.col("count")})
     return {
         "bookings_monthly": part["monthly"].select("month", *rooms, F.col("starts").alias("bookings_count"),
                                                    F.col("mean").alias("avg_revenue")),
