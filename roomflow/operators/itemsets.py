@@ -1,13 +1,14 @@
 """Frequent itemsets by prefix classes with diffsets.
 
 Tenants are dealt into chunks of about ``CHUNK``; in a chunk an item is a bit per
-tenant, so all items of a chunk are a few hundred kilobytes. Items are numbered
+tenant, so all items of a chunk are a few megabytes. Items are numbered
 from the rarest on. A class holds the itemsets with one smallest item: a task takes
 the bits of that item and of the more frequent ones and walks its itemsets depth
 first. Below the first level an itemset keeps its diffset only, the tenants that
 its prefix has and it has not (``d(PXY) = d(PY) - d(PX)``,
 ``support(PXY) = support(PX) - |d(PXY)|``): diffsets shrink on dense baskets, and a
-branch ends as soon as its support does.
+branch ends as soon as its support does. A diffset is taken in blocks of words and
+left where its prefix can no longer stay frequent, which most that fail show early.
 
 With more than one chunk every itemset that is frequent as a whole is frequent in
 some chunk. Chunks where a found itemset stayed under the local limit are counted
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..session import reliable, ship_package
 
-CHUNK = 1 << 16  # tenants
+CHUNK = 1 << 18  # tenants
+BLOCKS = (4, 2, 1)  # a diffset is tested at these parts of its words
 TOGETHER = 50_000  # itemsets in an output batch
 COUNTED = 100_000  # itemsets counted by a task of the second pass
 _FOUND = "chunk int, items array<int>, freq bigint, least bigint"
@@ -54,14 +56,32 @@ def class_itemsets(bits: np.ndarray, least: int, max_size: int | None = None) ->
     if max_size is not None and max_size < 2:
         return
 
-    def frame(prefix: tuple, of: int, items: np.ndarray, diffs: np.ndarray) -> tuple | None:
-        support = of - np.bitwise_count(diffs).sum(axis=1, dtype=np.int64)
-        keep = support >= least
-        if not keep.any():
-            return None
-        return prefix, items[keep], diffs[keep], support[keep]
+    width = bits.shape[1]
+    ends = sorted({-(-width // b) for b in BLOCKS})
 
-    top = frame((0,), whole, np.arange(1, len(bits)), bits[0] & ~bits[1:])
+    def frame(prefix: tuple, of: int, items: np.ndarray, has: np.ndarray, but: np.ndarray) -> tuple | None:
+        """Items whose diffset ``has & ~but`` leaves enough of ``of`` (either may be one row)."""
+        if not len(items):
+            return None
+        alive, support, done, start = None, of, [], 0
+        for end in ends:
+            a, b = has[..., start:end], but[..., start:end]
+            if alive is not None:
+                a, b = (a if a.ndim == 1 else a[alive]), (b if b.ndim == 1 else b[alive])
+            diffs = a & ~b
+            support = support - np.bitwise_count(diffs).sum(axis=1, dtype=np.int64)
+            keep = np.flatnonzero(support >= least)
+            if not len(keep):
+                return None
+            done.append(diffs)
+            if len(keep) < len(support):
+                support, done = support[keep], [d[keep] for d in done]
+                alive = keep if alive is None else alive[keep]
+            start = end
+        return (prefix, items if alive is None else items[alive],
+                done[0] if len(done) == 1 else np.concatenate(done, axis=1), support)
+
+    top = frame((0,), whole, np.arange(1, len(bits)), bits[0], bits[1:])
     stack = [[*top, 0]] if top else []
     if top:
         yield top[0], top[1], top[3]
@@ -71,21 +91,25 @@ def class_itemsets(bits: np.ndarray, least: int, max_size: int | None = None) ->
             stack.pop()
             continue
         stack[-1][4] += 1
-        below = frame((*prefix, int(items[at])), int(support[at]), items[at + 1:], diffs[at + 1:] & ~diffs[at])
+        below = frame((*prefix, int(items[at])), int(support[at]), items[at + 1:], diffs[at + 1:], diffs[at])
         if below:
             yield below[0], below[1], below[3]
             if len(below[1]) > 1:
                 stack.append([*below, 0])
 
 
-def _matrix(items: list[dict], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Item numbers, ascending, and their rows of bits."""
-    items = sorted(items, key=lambda x: x["item"])
-    bits = np.zeros((len(items), words), dtype=np.uint64)
-    for k, x in enumerate(items):
-        for w in x["words"]:
-            bits[k, w["word"]] = np.uint64(w["bits"] & 0xFFFFFFFFFFFFFFFF)
-    return np.array([x["item"] for x in items], dtype=np.int32), bits
+def _matrix(items: pa.StructArray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Item numbers, ascending, and their rows of bits, from ``item, words`` of a row."""
+    number, lists = items.flatten()
+    number = number.to_numpy(zero_copy_only=False).astype(np.int32)
+    order = np.argsort(number)
+    row = np.empty(len(number), np.int64)
+    row[order] = np.arange(len(number))
+    word, value = lists.flatten().flatten()
+    bits = np.zeros((len(number), words), dtype=np.uint64)
+    at = np.repeat(row, lists.value_lengths().to_numpy(zero_copy_only=False))
+    bits[at, word.to_numpy(zero_copy_only=False)] = value.to_numpy(zero_copy_only=False).view(np.uint64)
+    return number[order], bits
 
 
 def _mined(classes: DataFrame, min_support: float, max_size: int | None) -> DataFrame:
@@ -102,17 +126,17 @@ def _mined(classes: DataFrame, min_support: float, max_size: int | None) -> Data
             return done
 
         for b in batches:
-            for r in b.to_pylist():
+            for of_chunk, n, items in zip(b.column("chunk").to_pylist(), b.column("n").to_pylist(), b.column("items")):
                 # a local limit is a little low rather than high: what counts is the sum
-                least = max(1, math.ceil(min_support * r["n"] * (1 - 1e-12)))
-                names, bits = _matrix(r["items"], -(-r["n"] // 64))
+                least = max(1, math.ceil(min_support * n * (1 - 1e-12)))
+                names, bits = _matrix(items.values, -(-n // 64))
                 for prefix, more, support in class_itemsets(bits, least, max_size):
                     head = names[list(prefix)].tolist() if prefix else []
                     for x, s in zip(names[more].tolist(), support.tolist()):
                         flat += [*head, x]
                         ends.append(len(flat))
                         freq.append(s)
-                    chunk += [r["chunk"]] * len(more)
+                    chunk += [of_chunk] * len(more)
                     limit += [least] * len(more)
                     if len(freq) >= TOGETHER:
                         yield batch()
@@ -126,8 +150,8 @@ def _counted(missing: DataFrame, chunks: DataFrame, groups: int) -> DataFrame:
     def count(want: pa.Table, have: pa.Table) -> pa.Table:
         lists = want.column("items").to_pylist()
         freq = [0] * len(lists)
-        for r in have.to_pylist():
-            names, bits = _matrix(r["items"], -(-r["n"] // 64))
+        for n, held in zip(have.column("n").to_pylist(), have.column("items")):
+            names, bits = _matrix(held.values, -(-n // 64))
             row = {int(x): k for k, x in enumerate(names)}
             for k, items in enumerate(lists):
                 if all(x in row for x in items):
